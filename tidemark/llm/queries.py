@@ -27,6 +27,12 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substring import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import token_digests
 
@@ -51,7 +57,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_bpe_round_trip, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup)}
 
 _OP1 = """
 WITH RECURSIVE v AS (
