@@ -39,6 +39,12 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack_documents
 
@@ -57,7 +63,24 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    return identify(docs, train(docs, fold != 0)).withColumn("held_out", fold == 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = train(docs, _table(spark, sf_dir, "labels"), fold != 2)
+    return score(docs, model).withColumn("held_out", fold == 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_secret_scan, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup, op9_language_id, op10_toxicity)}
 
 _OP1 = """
 WITH RECURSIVE v AS (
