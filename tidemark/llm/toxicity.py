@@ -16,8 +16,9 @@ from tidemark.llm.features import word_set
 
 #: Confirmed toxic rows and unlabelled rows that the classifier is fitted on, at most.
 POSITIVE, UNLABELLED = 3000, 9000
-#: Texts of the sample that a word must be in.
-SEEN = 4
+#: Texts of the sample that a word must be in; and deviations by which its share of toxic texts must differ from its
+#: share of unlabelled ones.
+SEEN, APART = 4, 4.0
 THRESHOLD = 0.3
 
 
@@ -42,12 +43,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     sets = positive + unlabelled
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
     vocabulary, n = np.unique(flat, return_counts=True)
-    vocabulary = vocabulary[n >= SEEN]
+    p, u = len(positive), len(unlabelled)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    toxic = np.bincount(np.searchsorted(vocabulary, flat[row < p]), minlength=len(vocabulary))
+    share = n / max(1, p + u)
+    z = (toxic - p * share) / np.sqrt(np.maximum(p * share * (1 - share) * u / max(1, p + u), 1e-12))
+    vocabulary = vocabulary[(n >= SEEN) & (np.abs(z) >= APART)]
     at = np.minimum(np.searchsorted(vocabulary, flat), max(0, len(vocabulary) - 1))
     known = vocabulary[at] == flat if len(vocabulary) else np.zeros(len(flat), bool)
     row, at = row[known], at[known]
-    p, u = len(positive), len(unlabelled)
     label = np.arange(len(sets)) < p
     w, b = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -60,7 +64,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             g = np.where(label, prior * (s - 1) / p - prior * s / p, s / u)
         else:
             g = np.where(label, prior * s / p, -s / u)
-        gw, gb = np.bincount(at, g[row], len(w)) + 1e-5 * w, g.sum()
+        gw, gb = np.bincount(at, g[row], len(w)) + 1e-4 * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.1 * (1 - t / (steps + 1))
