@@ -63,6 +63,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import counted, pseudonymised
+
+    return counted(pseudonymised(_table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.langid import identify, train
 
@@ -80,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).withColumn("held_out", fold == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_secret_scan, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_secret_scan, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup, op8_pii_surrogates, op9_language_id, op10_toxicity)}
 
 _OP1 = """
 WITH RECURSIVE v AS (
