@@ -1,6 +1,6 @@
 """Registered queries, each with its DuckDB equivalent where SQL can express it."""
 
-from tidemark.plans import ranges
+from tidemark.plans import ranges, texts
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ranges"]
+__all__ = ["ORACLES", "QUERIES", "ranges", "texts"]

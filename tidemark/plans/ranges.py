@@ -103,7 +103,7 @@ def merge_overlapping_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("owner", "kind", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("value").alias("score"), best.alias("best_id")).drop("island")
 
 
-@query(f"""WITH {RANGES}, {merged('m', "kind = 'signup'")}, c AS (SELECT a.owner, a.id, a."end" - a.start AS length, coalesce(sum(least(a."end", m."end") - greatest(a.start, m.start)), 0) AS spoken
+@query(f"""WITH {RANGES}, {merged('m', "kind = 'signup'")}, c AS (SELECT a.owner, a.id, a."end" - a.start AS length, coalesce(sum(CASE WHEN m.start IS NOT NULL THEN least(a."end", m."end") - greatest(a.start, m.start) END), 0) AS spoken
   FROM (SELECT * FROM r WHERE kind = 'view') a LEFT JOIN m ON a.owner = m.owner AND a.start < m."end" AND m.start < a."end" GROUP BY ALL)
   SELECT owner, id, CASE WHEN length > 0 THEN floor(least(1, spoken / length) * 1000 + 0.5) / 1000 ELSE 0 END AS ratio FROM c""")
 def overlap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
