@@ -13,7 +13,8 @@ def rounded(x: Column, places: int = 4) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """``x`` between two bounds; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def decibels(amplitude: Column) -> Column:

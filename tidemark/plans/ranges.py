@@ -146,7 +146,8 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, min(i) AS "first", max(i) AS "last", count(*) AS n FROM g GROUP BY user_id, island HAVING count(*) >= 3""")
 def boolean_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("high", F.col("value") > 50)
-    return scans.runs(e, ["user_id"], ["ts", "event_id"], "high").where("n >= 3")
+    out = scans.runs(e, ["user_id"], ["ts", "event_id"], "high").where("n >= 3")
+    return out.select("user_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n")
 
 
 @query("""WITH o AS (SELECT user_id, event_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after
