@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Scripts written without spaces, as a character class.
 SPACELESS = r"぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
@@ -15,7 +16,7 @@ SPACELESS = r"぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
 OTHER_SCRIPTS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsCyrillic}\p{IsArabic}\p{IsHebrew}\p{IsThai}\p{IsDevanagari}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

@@ -52,7 +52,7 @@ _SESSION = "s AS (SELECT event_id AS id, user_id, event_type, value, ts, CAST(ro
 
 
 @query(f"""WITH {_SESSION}, m AS (SELECT *, greatest(0, least(1, value / 250)) AS emo, greatest(0, least(1, 0.7 * greatest(0, least(1, value / greatest(1, value / 20) / 10)) + CASE WHEN id % 3 = 0 THEN 0.15 ELSE 0 END + 0.25 * greatest(0, least(1, (id % 7) / 5)))) AS dense,
-    CASE WHEN before = event_type THEN greatest(0, least(1, (0.9 - 0.6) / 0.4)) ELSE 0.2 END AS red FROM s)
+    CASE WHEN before = event_type THEN 1.0 ELSE 0.2 END AS red FROM s)
   SELECT id, floor(dense * 10000 + 0.5) / 10000 AS density, floor(red * 10000 + 0.5) / 10000 AS redundancy,
     floor(CASE WHEN value > 400 THEN 1 ELSE greatest(0, least(1, 0.3 + 0.25 * emo + 0.2 * dense + 0.15 * 0.5 + CASE WHEN id % 2 = 0 THEN 0.1 ELSE 0 END - 0.25 * red - CASE WHEN value < 1.5 THEN 0.1 ELSE 0 END)) END * 10000 + 0.5) / 10000 AS story,
     floor(greatest(0, least(1, CASE WHEN position < 0.2 THEN 0.4 ELSE 0.05 END + 0.4 * emo + CASE WHEN event_type = 'signup' THEN 0.2 ELSE 0 END)) * 10000 + 0.5) / 10000 AS opening,
@@ -64,7 +64,7 @@ def metric_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_, v, position = F.col("event_id"), F.col("value"), (F.col("i") - 1) / F.greatest(F.lit(1), F.col("n") - 1)
     emo = nm.clamp(v / 250)
     dense = judge.density(v, v / 20, id_ % 3 == 0, id_ % 7)
-    red = judge.redundancy(F.when(F.col("before") == F.col("event_type"), 0.9))
+    red = judge.redundancy(F.when(F.col("before") == F.col("event_type"), 1.0))
     story = judge.story(v > 400, emo, dense, judge.context(F.array().cast("array<string>"), F.lit(0.0)), id_ % 2 == 0, red, v * 1000)
     shown = {"density": dense, "redundancy": red, "story": story, "opening": judge.opening(position, emo, F.col("event_type") == "signup"), "ending": judge.ending(position, emo, F.col("event_type") == "purchase")}
     return e.select(id_.alias("id"), *[nm.rounded(c).alias(k) for k, c in shown.items()])
