@@ -109,6 +109,31 @@ class MergeAutomaton:
         """Tokens on the only path that spells ``symbols`` and ends with a last arc; longest arcs are tried first."""
         n, trie, final, arc, arcs = len(symbols), self.trie, self.last, self.arc, self.arcs
         path: list[int] = []
+        i, last = 0, -1
+        while True:  # mostly the longest arcs will do
+            t = final.get(symbols[i:] if i else symbols)
+            if t is None:
+                node, t, j = trie, None, i
+                for c in symbols[i:-1]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    j += 1
+                    if "" in node:
+                        t, end = node[""], j
+                if t is None:
+                    break
+            else:
+                end = n
+            if last >= 0:
+                known = arcs.get(last << 20 | t)
+                if not (arc(last, t) if known is None else known):
+                    break
+            path.append(t)
+            if end == n:
+                return path
+            i, last = end, t
+        path.clear()
         steps: list[tuple[int, list[tuple[int, int]]]] = []  # where a step began, the inner arcs left to try there
         dead: set[tuple[int, int]] = set()
         i, last = 0, -1
@@ -206,10 +231,12 @@ class WordCodec:
                 piece = self.library.normalizer.normalize_str(piece)
             else:
                 piece = piece.lower()
-            if max(piece) > "\xff":
+            if max(piece, default="") > "\xff":
                 back = {c: b for b, c in enumerate(self.alphabet)}
                 split = [bytes(back[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
                 return b"".join(map(self._word, split))
+        if piece.isalpha():
+            return self._word(piece)
         return b"".join(map(self._word, _WORD.findall(piece)))
 
     def encode(self, text: bytes) -> bytes:
