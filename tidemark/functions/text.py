@@ -48,7 +48,9 @@ def features(text: Column, compatibility: bool = False) -> Column:
         spaceless = run.rlike(f"^[{SPACELESS}]")
         return F.when(spaceless & (F.length(run) == 1), F.array(run)).when(spaceless, pairs).when(F.length(run) > 1, F.array(run)).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.flatten(F.transform(runs, of_run)))
+    plain = F.filter(tokens(text, compatibility), lambda w: F.length(w) > 1)
+    split = F.coalesce(text.rlike(f"[{SPACELESS}]"), F.lit(False))
+    return F.array_distinct(F.when(split, F.flatten(F.transform(runs, of_run))).otherwise(plain))
 
 
 def coverage(needle: Column, haystack: Column) -> Column:
