@@ -1,6 +1,6 @@
 """Registered queries, each with its DuckDB equivalent where SQL can express it."""
 
-from tidemark.plans import decisions, observations, ranges, signals, texts
+from tidemark.plans import clips, decisions, observations, ranges, signals, texts
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decisions", "observations", "ranges", "signals", "texts"]
+__all__ = ["ORACLES", "QUERIES", "clips", "decisions", "observations", "ranges", "signals", "texts"]
