@@ -142,6 +142,50 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in now.select("doc_id").collect()}
 
 
+def shingles(text):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = lambda frame: {r["doc_id"]: r["text"] for r in frame.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["toxicity"](spark, docs, sf_dir).cache()
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    scores = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn))
+    assert set(text(first)) == {r["doc_id"] for r in scores.where("predicted = 0").collect()}
+
+    sets = {i: shingles(t) for i, t in text(first).items()}
+    root = {i: i for i in sets}
+    find = lambda a: a if root[a] == a else find(root[a])
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    second = stages["minhash_near_dedup"](spark, first, sf_dir).cache()
+    assert set(text(second)) == {i for i in sets if find(i) == i}
+
+    before, third = text(second), stages["substring_dedup"](spark, second, sf_dir).cache()
+    after, seen, repeated = text(third), {}, set()
+    for i in sorted(before):
+        w = before[i].lower().split()
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) != i:
+                repeated.add(i)
+    assert set(after) == set(before) and repeated <= {i for i in before if before[i] != after[i]}
+    left = {}
+    for i in sorted(after):
+        w = after[i].lower().split()
+        assert all(left.setdefault(tuple(w[k : k + 50]), i) == i for k in range(len(w) - 49))
+
+    fourth = text(stages["pii_surrogates"](spark, third, sf_dir))
+    private = re.compile(r"[\w.]+@mail\d\.example\.com|(?<!\d)4\d{15}(?!\d)|\+1 \(\d{3}\) \d{3}-\d{4}")
+    for i, t in after.items():
+        assert not set(private.findall(t)) & set(private.findall(fourth[i])) and (private.search(t) or re.search(r"\d", t) or fourth[i] == t)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
