@@ -55,7 +55,9 @@ def test_shingle_hashes():
     assert [len(s) for s in shingle_sets(texts)] == [len(shingles(t)) for _, t in rows]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = corpus()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicate_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)
@@ -65,7 +67,8 @@ def test_blocks_find_what_hubs_leave_apart(spark, monkeypatch):
     rows = corpus(9)
     sets = dict(zip([i for i, _ in rows], shingle_sets([(t or "").encode() for _, t in rows])))
     members = [i for i in sets if len(sets[i])]
-    links = minhash.block_links(np.array(members), np.zeros(len(members)), np.array(members), [sets[i] for i in members], True, 75)
+    links, component = minhash.block_links(np.array(members), np.zeros(len(members)), np.array(members), [sets[i] for i in members], True, 75)
+    assert dict(zip(members, component.tolist())) == {i: c for i, (_, c, _) in brute(rows).items() if i in members}
     root = {i: i for i in members}
 
     def find(a):

@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,32 +27,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable id for every node of ``edges`` (longs ``u``, ``v``): rows ``node``, ``component_id``.
-
-    Alternates large-star and small-star steps until the edge set is a forest of stars; each step is a
-    pre-aggregated minimum and an equi-join, and each round is checkpointed. Self loops and nulls are ignored;
-    nodes without an edge to another node are absent from the result.
-    """
-    shared_dir(edges.sparkSession)
-    e = edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct().checkpoint()
-    seen = None
-    while True:
-        both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(e.select("v", "u"))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        star = both.join(low, "a").where("b > a").select(F.col("b").alias("u"), F.least("a", "m").alias("v"))
-        star = star.where("u <> v").distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        small = star.join(low, "u")
-        e = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    roots = e.select(F.col("v").alias("node")).distinct().withColumn("component_id", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(roots)
-
-
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null reads as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -14,15 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import connected_components, texts, written
+from tidemark.llm._common import texts, written
 from tidemark.llm.shingles import WORDS, mix, shingle_sets
+from tidemark.operators.components import connected_components
 
 #: Symbols of 16 bits in a signature, and in a chunk; one error is allowed in each chunk, so that all pairs of
 #: signatures that differ in up to 2 * 12 - 1 = 23 of 60 symbols share a key. A pair at similarity 0.75 shares none
 #: with a chance of 6e-6.
 SYMBOLS, CHUNK = 60, 5
-#: Differing symbols, of 4 bits each, beyond which a pair isn't confirmed: at 0.75 the mean is 14 and the deviation 3.3.
-APART = 34
+#: Differing symbols, of 4 bits each, up to which documents may be linked: at 0.75 the mean is 14 and the deviation 3.3.
+APART = 29
+#: Documents in a block of a class.
+BLOCK = 512
 
 
 def _signature(s: np.ndarray, multipliers: np.ndarray) -> bytes:
@@ -96,14 +99,20 @@ def apart(a: str, b: str) -> Column:
     return total
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
-    """Of distinct ``a``, ``b`` pairs of ids, those whose full sets' intersection is ``percent`` of the union or more."""
+def full_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id``, ``s``: the shingle sets, as sorted hashes, of the documents whose ids are given."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [s.tobytes() for s in shingle_sets(texts(b.column(1)), words)]
             yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], names=["doc_id", "s"])
 
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Of distinct ``a``, ``b`` pairs of ids, those whose full sets' intersection is ``percent`` of the union or more."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -114,12 +123,75 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    full = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"))
-    both = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("s")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(check, "u long, v long")
 
 
+def block_links(doc: np.ndarray, side: np.ndarray, component: np.ndarray, sets: list[np.ndarray], within: bool, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join different components of one block, or of two (``side``), found on full sets, and the components
+    that result: each document outside the largest component meets the others, all intersections of one at a time."""
+    names, label = np.unique(component, return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(a: int) -> int:
+        while (b := root[a]) != a:
+            root[a] = a = root[b]
+        return a
+
+    size = np.array([len(x) for x in sets])
+    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    mark = np.zeros(len(ids), np.int64)
+    largest = np.bincount(label).argmax()
+    out = []
+    for i in np.flatnonzero(label != largest):
+        mine = inverse[first[i] : first[i] + size[i]]
+        mark[mine] = 1
+        shared = np.add.reduceat(mark[inverse], first)
+        mark[mine] = 0
+        near = (100 * shared >= percent * (size + size[i] - shared)) & (label != label[i])
+        if not within:
+            near &= side != side[i]
+        for j in np.flatnonzero(near):
+            a, b = find(label[i]), find(label[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(doc[i]), int(doc[j])))
+    return out, names[[find(x) for x in label]]
+
+
+def small_classes(member: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Components (``node``, ``component_id``) of classes of at most a block of documents, each resolved in one task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        doc = t.column("doc_id").to_numpy()
+        _, component = block_links(doc, doc, doc, [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()], True, percent)
+        return pa.table({"node": pa.array(doc), "component_id": pa.array(component)})
+
+    return member.join(sets, "doc_id").select("class", "doc_id", "s").groupBy("class").applyInArrow(run, "node long, component_id long")
+
+
+def class_links(classes: DataFrame, component: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Links within candidate classes (``doc_id``, ``class``) that join components (``node``, ``component_id``).
+
+    A class is split into blocks, and each pair of blocks is one group of bounded size in which full sets are compared;
+    no pair of documents leaves it but the links that are needed.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        sets_ = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+        one = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        found, _ = block_links(t.column("doc_id").to_numpy(), t.column("own").to_numpy(), t.column("c").to_numpy(), sets_, one, percent)
+        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
+
+    member = classes.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("class", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    several = member.groupBy("class").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("class", "blocks")
+    own = member.join(several, "class").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).join(sets, "doc_id")
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = both.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "own", "c", "s")
+    return dealt.groupBy("class", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """Groups documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -129,9 +201,10 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
     unique; a null ``doc_id`` links with nothing and has a null component. Extra columns are ignored; an empty table
     gives an empty result.
 
-    Candidates are sought in two rounds. First each document meets the first of those that share one of its keys;
-    then, under keys whose documents aren't in one component yet, documents of different components meet if their
-    signatures are near.
+    Documents under a key meet the first of them, the hub: those with near signatures form a class with it. A document
+    that isn't near its hub meets the others under the key. Full sets are compared within a class, in one task if it
+    is small; in a large one they are confirmed against hubs first, and what that leaves apart is compared block by
+    block, so that no link is lost and no pairs are listed.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     about = written(signatures(docs, words))
@@ -142,29 +215,32 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
     near = reps.select("doc_id", "n", packed().alias("p"))
 
     keys = chunk_keys(reps)
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    stars = written(keys.join(shared, "key").select("key", "doc_id", "hub", "n"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Candidates of similar size with near signatures."""
-        a = near.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-        b = near.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-        both = pairs.join(a, "a").join(b, "b")
-        return both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("pa", "pb") <= APART)).select("a", "b")
-
-    first = stars.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(confirmed(written(alike(first)), docs, words, percent))
-    component = written(connected_components(links))
-
-    placed = stars.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = placed.join(open_keys, "key", "left_semi").join(near.select("doc_id", "p"), "doc_id")
-    a = left.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    b = left.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    met = a.join(b, "key").where((F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("pa", "pb") <= APART))
-    second = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = written(confirmed(second, docs, words, percent))
-    component = written(connected_components(links.union(more))) if more.limit(1).count() else component
+    # Written first: a join of two tables can be split where a key is very frequent, one above an aggregate can't.
+    shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"))
+    stars = written(keys.join(shared, "key").select("key", "doc_id", "hub"))
+    alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("pa", "pb") <= APART)
+    side = lambda x: near.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
+    pairs = stars.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    first = written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"))
+
+    far = written(stars.where("doc_id <> hub").join(first.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")), ["hub", "doc_id"], "left_anti").select("key", "doc_id"))
+    under = stars.join(far.select("key").distinct(), "key", "left_semi").select("key", "doc_id")
+    a = far.withColumnRenamed("doc_id", "a").join(side("a"), "a")
+    b = under.withColumnRenamed("doc_id", "b").join(side("b"), "b")
+    met = a.join(b, "key").where((F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    candidates = written(first.union(met).distinct())
+    classes = written(connected_components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component_id").alias("class")))
+    sets = written(full_sets(docs, classes.select("doc_id"), words))
+    sizes = classes.groupBy("class").agg((F.count("*") > BLOCK).alias("large"))
+    member = written(classes.join(sizes, "class"))
+    component = written(small_classes(member.where("not large"), sets, percent))
+    large = member.where("large").drop("large")
+    if large.limit(1).count():
+        # First the hubs connect what they can, so that blocks compare only what is left apart.
+        mine = first.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
+        links = written(confirmed(mine, sets, percent))
+        more = written(class_links(large, written(connected_components(links)), sets, percent))
+        component = component.union(connected_components(links.union(more)))
 
     member = reps.select(*same, F.col("doc_id").alias("rep")).join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("c"))
     out = about.join(member, same, "left")
