@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text hashed at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
