@@ -24,6 +24,8 @@ from tidemark.operators.components import connected_components
 SYMBOLS, CHUNK = 60, 5
 #: Differing symbols, of 4 bits each, up to which documents may be linked: at 0.75 the mean is 14 and the deviation 3.3.
 APART = 29
+#: Differing symbols up to which a document is put in its hub's class, so that few are left to meet the others.
+CLASS_APART = 38
 #: Documents in a block of a class.
 BLOCK = 512
 
@@ -218,17 +220,18 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
     # Written first: a join of two tables can be split where a key is very frequent, one above an aggregate can't.
     shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"))
     stars = written(keys.join(shared, "key").select("key", "doc_id", "hub"))
-    alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("pa", "pb") <= APART)
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    alike = sized & (apart("pa", "pb") <= APART)
     side = lambda x: near.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
     pairs = stars.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"))
+    first = written(pairs.join(side("a"), "a").join(side("b"), "b").where(apart("pa", "pb") <= CLASS_APART).select("a", "b", alike.alias("alike")))
 
     far = written(stars.where("doc_id <> hub").join(first.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")), ["hub", "doc_id"], "left_anti").select("key", "doc_id"))
     under = stars.join(far.select("key").distinct(), "key", "left_semi").select("key", "doc_id")
     a = far.withColumnRenamed("doc_id", "a").join(side("a"), "a")
     b = under.withColumnRenamed("doc_id", "b").join(side("b"), "b")
     met = a.join(b, "key").where((F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    candidates = written(first.union(met).distinct())
+    candidates = written(first.select("a", "b").union(met).distinct())
     classes = written(connected_components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component_id").alias("class")))
     sets = written(full_sets(docs, classes.select("doc_id"), words))
     sizes = classes.groupBy("class").agg((F.count("*") > BLOCK).alias("large"))
@@ -237,7 +240,7 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
     large = member.where("large").drop("large")
     if large.limit(1).count():
         # First the hubs connect what they can, so that blocks compare only what is left apart.
-        mine = first.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
+        mine = first.where("alike").select("a", "b").join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
         links = written(confirmed(mine, sets, percent))
         more = written(class_links(large, written(connected_components(links)), sets, percent))
         component = component.union(connected_components(links.union(more)))
