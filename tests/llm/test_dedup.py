@@ -125,3 +125,18 @@ def test_passages(spark):
     assert found[3]["other_id"] == 2 and found[3]["n_words"] >= 80 and found[3]["n_same"] >= 0.75 * found[3]["n_words"]
     left = {r["doc_id"]: r["text"] for r in substring.without_repeats(docs).collect()}
     assert shared not in left[1] and shared in left[0] and left[4] == text[4] and left[90] is None and len(left) == 8
+
+
+def test_passage_whose_parts_occur_first_elsewhere(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    some = lambda n: [word() for _ in range(n)]
+    for n in (50, 51, 60, 90):
+        shared = some(n)
+        # Every 45 words occur earlier, each in a document of its own, so only runs of more lead to document 400.
+        parts = [(i, some(3) + shared[i : i + 45] + some(3)) for i in range(0, n - 44)]
+        # The second half occurs earlier in the holder, too.
+        rows = [*parts, (400, some(20) + shared[-30:] + some(80) + shared + some(9)), (500, some(30) + shared + some(30))]
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)
+        found = [r for r in substring.repeated_passages(docs).where("doc_id = 500").collect() if r["other_id"] == 400]
+        assert any(rows[-1][1][30 : 30 + n] == " ".join(rows[-1][1])[r["start"] : r["end"]].split() for r in found), n
