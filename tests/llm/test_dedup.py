@@ -140,3 +140,30 @@ def test_passage_whose_parts_occur_first_elsewhere(spark):
         docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)
         found = [r for r in substring.repeated_passages(docs).where("doc_id = 500").collect() if r["other_id"] == 400]
         assert any(rows[-1][1][30 : 30 + n] == " ".join(rows[-1][1])[r["start"] : r["end"]].split() for r in found), n
+
+
+@pytest.mark.parametrize("percent, least", [(75, 0.75), (80, 0.85), (90, 0.97)])
+def test_recall_of_fuzzy_passages(spark, percent, least):
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    some = lambda n: [word() for _ in range(n)]
+    rows, true = [], {}
+    for k in range(200):
+        n = rng.randrange(50, 101)
+        base, before = some(n), some(rng.randrange(30, 80))
+        new = list(base)
+        for i in rng.sample(range(n), n * (100 - percent) // 100):
+            new[i] = word()
+        rows += [(2 * k, " ".join(some(60) + base + some(40))), (2 * k + 1, " ".join(before + new + some(40)))]
+        # Words in one place are aligned with no gap, so the best alignment runs from the first equal word to the last.
+        same = [i for i in range(n) if base[i] == new[i]]
+        if same[-1] - same[0] >= 49 and 100 * len(same) >= 75 * (same[-1] - same[0] + 1):
+            at = len(" ".join(before)) + 1
+            true[2 * k + 1] = (at, at + len(" ".join(new)))
+    found = set()
+    for r in substring.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect():
+        at, end = true.get(r["doc_id"], (0, 0))
+        if r["other_id"] == r["doc_id"] - 1 and 2 * (min(end, r["end"]) - max(at, r["start"])) >= end - at:
+            found.add(r["doc_id"])
+    print(f"recall at {percent} %: {len(found)} of {len(true)}")
+    assert len(true) > 150 and len(found) >= least * len(true)
