@@ -167,3 +167,51 @@ def test_recall_of_fuzzy_passages(spark, percent, least):
             found.add(r["doc_id"])
     print(f"recall at {percent} %: {len(found)} of {len(true)}")
     assert len(true) > 150 and len(found) >= least * len(true)
+
+
+@pytest.mark.parametrize("seed, common", [(1, 200), (2, 1), (3, 200)])
+def test_every_run_of_50_words_is_found(spark, monkeypatch, seed, common):
+    monkeypatch.setattr(substring, "SAMPLE", 1)
+    monkeypatch.setattr(substring, "COMMON", common)  # 1: only what each document holds is dealt out as runs
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    parts = [[word() for _ in range(rng.randrange(20, 140))] for _ in range(25)]
+    everywhere = [word() for _ in range(60)]
+    docs = []
+    for i in range(60):
+        d = [word() for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(1, 6)):
+            p = rng.choice(parts)
+            a = rng.randrange(len(p) // 2)
+            d += p[a : a + rng.randrange(15, 140)] + [word() for _ in range(rng.randrange(1, 40))]
+        docs.append(d + everywhere if seed == 2 or i % 3 == 0 else d)
+    rows = [(7 * i, " ".join(d)) for i, d in enumerate(docs)] + [(7 * 3, " ".join(docs[3]))]
+    found = {}
+    for r in substring.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect():
+        assert r["other_id"] <= r["doc_id"] and 100 * r["n_same"] >= 75 * r["n_words"]
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    first = {}
+    missed = 0
+    for i, d in enumerate(docs):
+        begin = np.cumsum([0, *(len(w) + 1 for w in d)])
+        for a in range(len(d) - 49):
+            run = tuple(d[a : a + 50])
+            j, b = first.setdefault(run, (i, a))
+            if j < i or a - b >= 50:
+                missed += not any(s <= begin[a] and e >= begin[a + 50] - 1 for s, e in found.get(7 * i, []))
+    assert not missed
+
+
+def test_substring_edges(spark):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(70))
+    rows = [(1, "x", text, 5), (2, "y", "z " + text, 5), (2, "y", text[:40], 5), (3, "z", None, None), (None, "n", text, 1), (4, "p", "same old words here " * 80, 2), (5, "q", "w" * 300_000 + " " + text, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, other_id string, text string, start int")
+    found = {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in substring.repeated_passages(docs.where("doc_id <> 4 or doc_id is null")).collect()}
+    assert found == {(5, 1, 300_001, 300_001 + len(text))}  # of the rows of id 2 the least counts, which is short
+    # Few words over and over: what is listed of them does lie 50 words apart.
+    again = substring.repeated_passages(docs.where("doc_id = 4")).collect()
+    assert all(r["start"] - r["other_start"] >= 50 * 4 for r in again)
+    left = {(r["doc_id"], r["other_id"], r["text"], r["start"]) for r in substring.without_repeats(docs).collect()}
+    assert {x for x in left if x[0] != 4} == {(a, b, "w" * 300_000 + " " if a == 5 else c, d) for a, b, c, d in rows if a != 4}
+    assert substring.without_repeats(docs.limit(0)).columns == docs.columns
