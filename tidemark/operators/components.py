@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     equi-join, and each round is checkpointed in the folder that ``spark.checkpoint.dir`` names. Self loops and nulls
     are ignored; a node without an edge to another is absent from the result.
     """
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():  # without a folder of its own, the warehouse is what executors share
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     e = edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct().checkpoint()
     while not _stars(e):
         small = e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
