@@ -55,31 +55,33 @@ def test_shingle_hashes():
     assert [len(s) for s in shingle_sets(texts)] == [len(shingles(t)) for _, t in rows]
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, shingles_", [(512, 1 << 19), (7, 1 << 19), (7, 900)])
+def test_near_duplicates(spark, monkeypatch, block, shingles_):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SHINGLES", shingles_)
     rows = corpus()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicate_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)
 
 
-def test_blocks_find_what_hubs_leave_apart(spark, monkeypatch):
+@pytest.mark.parametrize("least", [0, 32])
+def test_links_of_what_hubs_leave_apart(monkeypatch, least):
     rows = corpus(9)
     sets = dict(zip([i for i, _ in rows], shingle_sets([(t or "").encode() for _, t in rows])))
-    members = [i for i in sets if len(sets[i])]
-    links, component = minhash.block_links(np.array(members), np.zeros(len(members)), np.array(members), [sets[i] for i in members], True, 75)
-    assert dict(zip(members, component.tolist())) == {i: c for i, (_, c, _) in brute(rows).items() if i in members}
-    root = {i: i for i in members}
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for u, v in links:
-        a, b = find(u), find(v)
-        root[max(a, b)] = min(a, b)
-    assert {i: find(i) for i in members} == {i: c for i, (_, c, _) in brute(rows).items() if i in root}
+    members = np.array([i for i in sets if len(sets[i])])
+    near = np.zeros((len(members), 4), np.uint64)  # all signatures alike: full sets decide
+    links, component = minhash.links_of(np.arange(len(members)), members, members, [sets[i] for i in members], near, 75)
+    true = {i: c for i, (_, c, _) in brute(rows).items() if i in sets and len(sets[i])}
+    assert dict(zip(members.tolist(), component.tolist())) == true
+    assert len(links) == len(members) - len(set(true.values()))
+
+
+def test_near_duplicate_edges(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(3, text, 1, 2), (2, text + " end", 1, 2), (2, text[:9], 1, 2), (7, "x" * 500_000 + " " + long, 1, 2), (8, "x" * 500_000 + " " + long + " y", 1, 2), (9, None, 1, 2)]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string, hub int, key int")).collect()}
+    assert {(d, c) for d, _, c in got} == {(3, 3), (2, 2), (7, 7), (8, 7), (9, 9)}  # of the rows of id 2 the least text counts
 
 
 def test_empty_and_null_ids(spark):

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; where the session names none, one in the warehouse, which executors
+    share with the driver, too."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -24,7 +25,25 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once all that was read from them is written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """``docs`` (``doc_id``, ``text``) with one row for each id that isn't null, that of the least text; as they are, if no
+    id is repeated."""
+    known = docs.where("doc_id is not null")
+    if not known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs
+    return known.groupBy("doc_id").agg(F.min("text").alias("text")).union(docs.where("doc_id is null").select("doc_id", "text"))
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import texts, written
+from tidemark.llm._common import discard, one_each, texts, written
 from tidemark.llm.shingles import WORDS, mix, shingle_sets
 from tidemark.operators.components import connected_components
 
@@ -26,8 +26,8 @@ SYMBOLS, CHUNK = 60, 5
 APART = 29
 #: Differing symbols up to which a document is put in its hub's class, so that few are left to meet the others.
 CLASS_APART = 38
-#: Documents in a block of a class.
-BLOCK = 512
+#: Documents of a class, and shingles in all, up to which it is one group; and shingles in a block of a larger class.
+BLOCK, SHINGLES = 512, 1 << 19
 
 
 def _signature(s: np.ndarray, multipliers: np.ndarray) -> bytes:
@@ -129,69 +129,112 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     return both.select("a", "b", "s", "t").mapInArrow(check, "u long, v long")
 
 
-def block_links(doc: np.ndarray, side: np.ndarray, component: np.ndarray, sets: list[np.ndarray], within: bool, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links that join different components of one block, or of two (``side``), found on full sets, and the components
-    that result: each document outside the largest component meets the others, all intersections of one at a time."""
-    names, label = np.unique(component, return_inverse=True)
-    root = list(range(len(names)))
+class _Components:
+    """Union-find over the components of a group's documents."""
 
-    def find(a: int) -> int:
+    def __init__(self, component: np.ndarray):
+        self.names, self.label = np.unique(component, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def find(self, a: int) -> int:
+        root = self.root
         while (b := root[a]) != a:
             root[a] = a = root[b]
-        return a
-
-    size = np.array([len(x) for x in sets])
-    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        return int(a)
+
+    def roots(self) -> np.ndarray:
+        """The component of every document, as a number."""
+        while (self.root[self.root] != self.root).any():
+            self.root = self.root[self.root]
+        return self.root[self.label]
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether ``i`` and ``j`` weren't in one component; they are now."""
+        a, b = self.find(self.label[i]), self.find(self.label[j])
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def differing(p: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many symbols packed signatures (rows of ``p``) differ from one."""
+    x = p ^ one
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1)
+
+
+def links_of(mine: np.ndarray, doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray], p: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of the documents ``mine`` (row numbers) with all others of a group that join components, found on full sets,
+    and the components that result. Only documents with near signatures are compared; one that has many in other
+    components meets all in one pass."""
+    state, size = _Components(component), np.array([len(x) for x in sets])
     first = np.cumsum(size) - size
-    mark = np.zeros(len(ids), np.int64)
-    largest = np.bincount(label).argmax()
+    flat = mark = inverse = None
     out = []
-    for i in np.flatnonzero(label != largest):
-        mine = inverse[first[i] : first[i] + size[i]]
-        mark[mine] = 1
-        shared = np.add.reduceat(mark[inverse], first)
-        mark[mine] = 0
-        near = (100 * shared >= percent * (size + size[i] - shared)) & (label != label[i])
-        if not within:
-            near &= side != side[i]
-        for j in np.flatnonzero(near):
-            a, b = find(label[i]), find(label[j])
-            if a != b:
-                root[max(a, b)] = min(a, b)
+    for i in mine.tolist():
+        root = state.roots()
+        near = np.flatnonzero((root != root[i]) & (differing(p, p[i]) <= APART) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+        if len(near) > 32:
+            if flat is None:
+                flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+                mark = np.zeros(len(flat), np.int32)
+            own = inverse[first[i] : first[i] + size[i]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[inverse], first)[near]
+            mark[own] = 0
+        else:
+            at = [np.minimum(np.searchsorted(sets[i], sets[j]), size[i] - 1) for j in near]
+            shared = np.array([(sets[i][a] == sets[j]).sum() for a, j in zip(at, near)], np.int64)
+        for j in near[100 * shared >= percent * (size[near] + size[i] - shared)].tolist():
+            if state.join(i, j):
                 out.append((int(doc[i]), int(doc[j])))
-    return out, names[[find(x) for x in label]]
+    return out, state.names[state.roots()]
+
+
+def _arrays(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Ids, sets and packed signatures of a group."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("s").chunks for x in c]
+    return t.column("doc_id").to_numpy(), sets, np.array(t.column("p").to_pylist(), np.int64).view(np.uint64)
 
 
 def small_classes(member: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Components (``node``, ``component_id``) of classes of at most a block of documents, each resolved in one task."""
+    """Components (``node``, ``component_id``) of classes of few documents (``class``, ``doc_id``, ``p``), each resolved in
+    one task."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc = t.column("doc_id").to_numpy()
-        _, component = block_links(doc, doc, doc, [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()], True, percent)
+        doc, full, p = _arrays(t)
+        _, component = links_of(np.arange(1, len(doc)), doc, doc, full, p, percent)
         return pa.table({"node": pa.array(doc), "component_id": pa.array(component)})
 
-    return member.join(sets, "doc_id").select("class", "doc_id", "s").groupBy("class").applyInArrow(run, "node long, component_id long")
+    return member.join(sets, "doc_id").select("class", "doc_id", "p", "s").groupBy("class").applyInArrow(run, "node long, component_id long")
 
 
-def class_links(classes: DataFrame, component: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Links within candidate classes (``doc_id``, ``class``) that join components (``node``, ``component_id``).
+def class_links(member: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Links within large classes (``class``, ``doc_id``, ``c``: component so far, ``n``, ``p``) that join components.
 
-    A class is split into blocks, and each pair of blocks is one group of bounded size in which full sets are compared;
-    no pair of documents leaves it but the links that are needed.
+    The members outside a class's largest component meet all others: these are split into blocks, and those into parts,
+    of bounded size, and each part and block are one group in which full sets are compared. No pair of documents leaves
+    it but the links that are needed.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        sets_ = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
-        one = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        found, _ = block_links(t.column("doc_id").to_numpy(), t.column("own").to_numpy(), t.column("c").to_numpy(), sets_, one, percent)
+        doc, full, p = _arrays(t)
+        mine = np.flatnonzero(t.column("outside").to_numpy())
+        found, _ = links_of(mine, doc, t.column("c").to_numpy(), full, p, percent)
         return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
 
-    member = classes.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("class", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    several = member.groupBy("class").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("class", "blocks")
-    own = member.join(several, "class").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).join(sets, "doc_id")
-    both = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = both.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "own", "c", "s")
-    return dealt.groupBy("class", "i", "j").applyInArrow(run, "u long, v long")
+    parts = member.groupBy("class", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    whole = parts.groupBy("class").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
+    rest = parts.join(whole, "class").where("c <> main").groupBy("class", "main", "all").agg(F.sum("n").alias("some"))
+    count = lambda c: F.ceil(F.col(c) / SHINGLES).cast("int")
+    sized = written(rest.select("class", "main", count("all").alias("blocks"), count("some").alias("parts")))
+    own = member.join(sized, "class").join(sets, "doc_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    cols = ["doc_id", "c", "p", "s"]
+    members = own.select("class", dealt("blocks").alias("i"), every("parts").alias("j"), F.lit(False).alias("outside"), *cols)
+    asked = own.where("c <> main").select("class", every("blocks").alias("i"), dealt("parts").alias("j"), F.lit(True).alias("outside"), *cols)
+    return members.union(asked).groupBy("class", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
@@ -199,16 +242,17 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
 
     Returns a row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest ``doc_id`` reachable by links)
     and ``kept``. Null and empty texts, and those of white space only, have an empty set and link with nothing. Texts
-    of fewer words than a shingle have one, the whole sequence. Equal sets are compared once. Ids are taken to be
-    unique; a null ``doc_id`` links with nothing and has a null component. Extra columns are ignored; an empty table
-    gives an empty result.
+    of fewer words than a shingle have one, the whole sequence. Equal sets are compared once. Rows that repeat an id
+    count once, with the least text, and come out once; a null ``doc_id`` links with nothing and has a null component.
+    Extra columns are ignored; an empty table gives an empty result.
 
     Documents under a key meet the first of them, the hub: those with near signatures form a class with it. A document
     that isn't near its hub meets the others under the key. Full sets are compared within a class, in one task if it
-    is small; in a large one they are confirmed against hubs first, and what that leaves apart is compared block by
-    block, so that no link is lost and no pairs are listed.
+    is small; in a large one they are confirmed against hubs first, and what that leaves outside the largest component
+    meets the rest block by block, so that no link is lost and no pairs are listed.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = one_each(docs)
     about = written(signatures(docs, words))
     full = about.where("n > 0 and doc_id is not null")
     same = ["h1", "h2", "n"]
@@ -218,8 +262,13 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
 
     keys = chunk_keys(reps)
     # Written first: a join of two tables can be split where a key is very frequent, one above an aggregate can't.
-    shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"))
-    stars = written(keys.join(shared, "key").select("key", "doc_id", "hub"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    held = written(keys.join(shared, "key").select("key", "doc_id", "c"))
+    # The hub is the document whose keys are the most frequent: what copies were made from, rather than one of them.
+    fame = written(held.groupBy("doc_id").agg(F.sum("c").alias("fame")))
+    hubs = written(held.join(fame, "doc_id").groupBy("key").agg(F.max(F.struct("fame", -F.col("doc_id"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub")))
+    stars = written(held.join(hubs, "key").select("key", "doc_id", "hub"))
+    discard(shared, held, fame, hubs)
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     alike = sized & (apart("pa", "pb") <= APART)
     side = lambda x: near.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
@@ -233,17 +282,23 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
     met = a.join(b, "key").where((F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     candidates = written(first.select("a", "b").union(met).distinct())
     classes = written(connected_components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component_id").alias("class")))
+    discard(stars, far, candidates)
     sets = written(full_sets(docs, classes.select("doc_id"), words))
-    sizes = classes.groupBy("class").agg((F.count("*") > BLOCK).alias("large"))
-    member = written(classes.join(sizes, "class"))
+    member = classes.join(near, "doc_id")
+    sizes = member.groupBy("class").agg(((F.count("*") > BLOCK) | (F.sum("n") > SHINGLES)).alias("large"))
+    member = written(member.join(sizes, "class"))
     component = written(small_classes(member.where("not large"), sets, percent))
     large = member.where("large").drop("large")
     if large.limit(1).count():
-        # First the hubs connect what they can, so that blocks compare only what is left apart.
+        # First the hubs connect what they can, so that only what is left apart meets the others.
         mine = first.where("alike").select("a", "b").join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
         links = written(confirmed(mine, sets, percent))
-        more = written(class_links(large, written(connected_components(links)), sets, percent))
-        component = component.union(connected_components(links.union(more)))
+        so_far = connected_components(links).withColumnRenamed("node", "doc_id")
+        now = written(large.join(so_far, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id"))
+        more = written(class_links(now, sets, percent))
+        component = written(component.union(connected_components(links.union(more))))
+        discard(links, now, more)
+    discard(first, classes, sets, member)
 
     member = reps.select(*same, F.col("doc_id").alias("rep")).join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("c"))
     out = about.join(member, same, "left")
