@@ -66,7 +66,7 @@ PII = [
 
 def test_surrogates(spark):
     docs = spark.createDataFrame([(*r, "k", 5) for r in PII], DOCS + ", kind string, n_entities int")
-    out = pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, "k")
     assert out.columns == ["doc_id", "text", "kind", "n_entities"] and out.count() == len(PII)
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[4]["text"] is None and got[5]["text"] == "" and got[6]["text"] == PII[5][1] and got[6]["n_entities"] == 0
@@ -80,7 +80,39 @@ def test_surrogates(spark):
     assert "24.50.146.129" not in two and "123-45-6789" not in two
     names = re.findall(r"Mrs\. (\S+) (\S+?)[ .]", three)
     assert names[0] == names[1] and names[0][0].endswith("a") and re.search(r"Mr\. \S+o \S+ and", three) and re.search(r"Herr [А-Яа-я]+ий [А-Яа-я]+", three)
-    assert pii.pseudonymised(docs.limit(0)).count() == 0
+    assert pii.pseudonymised(docs.limit(0), "k").count() == 0
+
+
+def test_names_stay_one_person(spark):
+    rows = [(1, "Mr. Smith came. Smith left. Mrs. Smith stayed. Mrs. Anna Smith saw Mr. John Brown; Anna waved, Brown and Smithson did not."), (2, "Frau Anna Smith-Brown? Smith."), (3, "Dr. Rose Brown met Mr. Rose Brown and Mrs. Rose Brown.")]
+    got = {r["doc_id"]: r for r in pii.pseudonymised(spark.createDataFrame(rows, DOCS), "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) came\. (\w+) left\. Mrs\. (\w+) stayed\. Mrs\. (\w+) (\w+) saw Mr\. (\w+) (\w+); (\w+) waved, (\w+) and Smithson did not\.", got[1]["text"])
+    assert m and m[1] == m[2] == m[3] == m[5] and m[4] == m[8] and m[7] == m[9] and len({m[1], m[4], m[6], m[7]}) == 4
+    assert m[4].endswith("a") and m[6].endswith("o") and got[1]["n_entities"] == 7 and not re.search("Anna|John|Brown|Smith\\b", got[1]["text"])
+    assert m[4] in got[2]["text"] and m[1] in got[2]["text"]  # the same names elsewhere
+    assert re.fullmatch(rf"Frau {m[4]} {m[1]}-{m[7]}\? {m[1]}\.", got[2]["text"])
+
+
+def test_every_form_is_replaced(spark):
+    forms = ["+15551234567", "06 12 34 56 78", "+4915112345678", "GB29 NWBK 6016 1331 9268 19", "2001:db8:85a3:0:0:8a2e:370:7334", "fe80:1::8a2e:7334", "a@b.co", "x.y@mail.example.org", "(414) 555-7134"]
+    rows = [(i, f"see {f}. and {f}, or") for i, f in enumerate(forms)] + [(50, "call 5551234567 now; item 5551234567")]
+    for r in pii.pseudonymised(spark.createDataFrame(rows, DOCS), "k").collect():
+        if r["doc_id"] < 50:
+            a, b = re.fullmatch(r"see (.*)\. and (.*), or", r["text"]).groups()
+            assert a == b != forms[r["doc_id"]] and re.sub(r"\w", "x", a) == re.sub(r"\w", "x", forms[r["doc_id"]]), (r, forms[r["doc_id"]])
+        else:
+            assert re.fullmatch(r"call (?!5551234567)\d{10} now; item 5551234567", r["text"])
+
+
+def test_long_texts_and_small_formats(spark):
+    n = 1_000_000
+    texts = ["x@" + "a." * (n // 2) + "com", "x" * n + "@a.com", "1 " * (n // 2), "1-" * (n // 2), "+" + "1" * n, "a:" * (n // 2), "AB12" * (n // 4), "Mr. A" + "b" * n, "Mr. " * (n // 4), "1.2." * (n // 4), "call " * (n // 5)]
+    got = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(4), "k")
+    assert got.agg(F.count("*"), F.min(F.length("text"))).first()[0] == len(texts)
+    # All mail addresses of one letter: surrogates must grow to stay distinct and unlike any of them.
+    rows = [(i, f"{c}@{c}.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(100 + 26 * i + j, f"{c}@{d}.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz") for j, d in enumerate("abcdefghijklmnopqrstuvwxyz") if c != d]
+    out = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(rows, DOCS), "k").collect()]
+    assert len(set(out)) == len(rows) and not set(out) & {t for _, t in rows}
 
 
 def test_surrogates_stay_distinct(spark):

@@ -37,6 +37,16 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that are broadcast, at most.
+FEW = 1_000_000
+
+
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is among ``ids``, a written table of distinct ids: broadcast if they are few, so
+    that texts needn't be shuffled, by a shuffle beyond that."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge"), "doc_id", "left_semi")
+
+
 def one_each(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id``, ``text``) with one row for each id that isn't null, that of the least text; as they are, if no
     id is repeated."""

@@ -85,9 +85,10 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> O
     """Fits on a bounded sample, drawn by a hash of the text, of the rows where ``learn`` holds and ``lang`` is not
     null; languages with up to ``per_language`` rows are taken whole. None if there is no such row."""
     own = docs.where(learn).where("lang is not null and text is not null and text <> ''")
-    sizes = own.groupBy("lang").count()
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("count"))
     chance = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = own.join(sizes, "lang").withColumn("r", chance).where(F.col("r") < 1.5 * per_language / F.col("count"))
+    # Languages are few, and a bound on their number is part of what the classifier can tell apart at all.
+    drawn = own.join(F.broadcast(sizes), "lang").withColumn("r", chance).where(F.col("r") < 1.5 * per_language / F.col("count"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,7 +96,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> O
             yield pa.record_batch([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["lang", "r", "x"])
 
     # At most 2 * per_language rows of a language come to the driver, each of a fixed size.
-    rows = drawn.select("lang", "text", "r").mapInArrow(run, "lang string, r double, x binary")
+    # Copies of a text count once, before any language's rows come together.
+    rows = drawn.select("lang", "text", "r").dropDuplicates(["lang", "text"]).mapInArrow(run, "lang string, r double, x binary")
     kept = rows.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("r", "x"))), 1, 2 * per_language).alias("s")).orderBy("lang").collect()
     if not kept:
         return None

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import discard, one_each, texts, written
+from tidemark.llm._common import discard, of_ids, one_each, texts, written
 from tidemark.llm.shingles import WORDS, mix, shingle_sets
 from tidemark.operators.components import connected_components
 
@@ -109,7 +109,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
             found = [s.tobytes() for s in shingle_sets(texts(b.column(1)), words)]
             yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], names=["doc_id", "s"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
+    return of_ids(docs.select("doc_id", "text"), ids).mapInArrow(sets, "doc_id long, s binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -263,7 +263,7 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
     keys = chunk_keys(reps)
     # Written first: a join of two tables can be split where a key is very frequent, one above an aggregate can't.
     shared = written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    held = written(keys.join(shared, "key").select("key", "doc_id", "c"))
+    held = written(keys.join(shared.hint("merge"), "key").select("key", "doc_id", "c"))
     # The hub is the document whose keys are the most frequent: what copies were made from, rather than one of them.
     fame = written(held.groupBy("doc_id").agg(F.sum("c").alias("fame")))
     hubs = written(held.join(fame, "doc_id").groupBy("key").agg(F.max(F.struct("fame", -F.col("doc_id"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub")))

@@ -15,8 +15,8 @@ from tidemark.llm._common import texts
 from tidemark.llm.bpe import codec
 
 LENGTH = 2048
-#: Documents in a group, on average.
-GROUP = 2000
+#: Bytes of text in a group, on average.
+GROUP = 8 << 20
 
 
 class CapacityTree:
@@ -126,7 +126,9 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
             out["ids"] = pa.array([x.tolist() for x in cut], pa.list_(pa.int32()))
         return pa.table(out)
 
-    groups = max(1, -(-docs.select(F.count("*")).first()[0] // group))
+    # A document has one byte at least, for its end.
+    size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    groups = max(1, -(-size // group))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id bigint, ids binary, small boolean")
     key = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(groups)).cast("long")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * keep_ids

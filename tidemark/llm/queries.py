@@ -63,10 +63,16 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(_table(spark, sf_dir, "documents"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret that surrogates are drawn by: ``spark.tidemark.piiKey``; where a session sets none, as in tests, one that
+    keeps nothing secret."""
+    return spark.conf.get("spark.tidemark.piiKey", "for tests only")
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pii import counted, pseudonymised
 
-    return counted(pseudonymised(_table(spark, sf_dir, "documents")))
+    return counted(pseudonymised(_table(spark, sf_dir, "documents"), pii_key(spark)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

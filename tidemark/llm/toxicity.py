@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import texts
+from tidemark.llm._common import texts, written
 from tidemark.llm.features import word_set
 
 #: Confirmed toxic rows and unlabelled rows that the classifier is fitted on, at most.
@@ -96,7 +96,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positive: int = POS
             yield pa.record_batch([b.column(0), b.column(2), pa.array(sets, pa.binary())], names=["doc_id", "p", "s"])
 
     drawn = F.broadcast(p.union(u))  # at most positive + unlabelled ids
-    rows = own.join(drawn, "doc_id").select("doc_id", "text", "p").mapInArrow(run, "doc_id long, p boolean, s binary").collect()
+    sets_ = written(own.join(drawn, "doc_id").select("doc_id", "text", "p").mapInArrow(run, "doc_id long, p boolean, s binary"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, p in zip(b.column(2), b.column(1).to_pylist()):
+                w = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.record_batch([pa.array(w), pa.array(np.full(len(w), int(p)))], names=["w", "p"])
+
+    # Words are screened before texts come together: what is collected is bounded by the rows and the words that tell.
+    of = {r["p"]: r["count"] for r in sets_.groupBy("p").count().collect()}
+    share = F.col("n") / max(1, sum(of.values()))
+    z = (F.col("t") - of.get(True, 0) * share) / F.sqrt(F.greatest(of.get(True, 0) * share * (1 - share) * of.get(False, 0) / max(1, sum(of.values())), F.lit(1e-12)))
+    counts = sets_.mapInArrow(each, "w long, p long").groupBy("w").agg(F.count("*").alias("n"), F.sum("p").alias("t"))
+    words = np.array(sorted(r["w"] for r in counts.where((F.col("n") >= SEEN) & (F.abs(z) >= 0.99 * APART)).select("w").collect()), np.int64)
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own_ = [np.frombuffer(s.as_buffer(), np.int64) for s in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([s[np.isin(s, words)].tobytes() for s in own_], pa.binary())], names=["doc_id", "p", "s"])
+
+    rows = sets_.mapInArrow(screened, "doc_id long, p boolean, s binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["p"], r["s"]))
     sets = {k: [np.frombuffer(r["s"], np.uint64) for r in rows if r["p"] == k] for k in (True, False)}
     return fit(sets[True], sets[False], min(0.9, max(1e-3, toxic / n)))
