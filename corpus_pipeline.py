@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, packing, pii, substring, toxicity
 from tidemark.llm._common import written
-from tidemark.llm.queries import word_bpe
+from tidemark.llm.queries import pii_key, word_bpe
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates."""
-    return pii.counted(pii.pseudonymised(docs).select(*docs.columns))
+    return pii.counted(pii.pseudonymised(docs, pii_key(spark)).select(*docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
