@@ -85,8 +85,8 @@ def check_pieces(rows, ids):
 def test_packing(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = {r["doc_id"]: [*library.encode(r["text"], add_special_tokens=False).ids, 1] for r in docs.collect()}
-    for group in (10**6, 40):
-        assert check_pieces(packing.pack_documents(docs, word_bpe(), group=group).collect(), ids) > (0.98 if group > 40 else 0.9)
+    for group in (10**9, 40_000):
+        assert check_pieces(packing.pack_documents(docs, word_bpe(), group=group).collect(), ids) > (0.98 if group > 40_000 else 0.9)
 
 
 def test_packing_edges(spark):
