@@ -58,3 +58,40 @@ def b_roll(speech: Column, quality: Column) -> Column:
 def escalation(confidence: Column, share: Column, speech: Column, ocr: Column) -> Column:
     """How much a closer look at an event is worth."""
     return clamp(0.6 * (1 - confidence) + 0.3 * F.least(F.lit(1.0), share * 20) + _if(speech, 0.2) + _if(ocr, 0.1))
+
+
+# Terms of the flags and role weights below.
+def establishing(speechless: Column, places: Column, shots: Column, ms: Column) -> Column:
+    return clamp(F.when(speechless, 0.4).otherwise(0.05) + _if(places, 0.3) + _if(shots <= 2, 0.2) + _if(ms >= 2000, 0.1))
+
+
+def opening_flag(position: Column, emotional: Column, arrives: Column) -> Column:
+    return clamp(F.when(position < 0.2, 0.35).otherwise(0.05) + 0.4 * emotional + _if(arrives, 0.2))
+
+
+def needs_context(opener: Column, reaction: Column, deictic: list[str]) -> Column:
+    """Whether a normalised first utterance leans on what was said before: it begins with a pointing word."""
+    points = F.lit(False)
+    for word in deictic:
+        points = points | opener.startswith(word)
+    return clamp(F.when(F.coalesce(points, F.lit(False)), 0.55).otherwise(0.15) + _if(reaction, 0.25))
+
+
+def role_weights(kind: Column, position: Column, emotional: Column, speechless: Column, no_text: Column, nothing_seen: Column) -> Column:
+    """Map of narrative roles to weights, from an event's kind, place, intensity and what is said and seen in it."""
+    filler = speechless & (emotional < 0.3) & no_text & nothing_seen
+    seen = speechless & ~nothing_seen & ~filler
+    travels, broll = kind.isin("travel", "departure"), kind == "b_roll"
+    weights = {
+        "setup": 0.1 + _if(kind == "arrival", 0.15) + _if(position < 0.15, 0.3),
+        "context": 0.1 + _if(kind == "explanation", 0.5) + _if(broll, 0.2) + _if(seen, 0.2),
+        "build_up": F.lit(0.1),
+        "transition": 0.1 + _if(travels, 0.5) + _if(broll, 0.2) + _if(seen, 0.15),
+        "payoff": 0.1 + _if(kind == "arrival", 0.35) + _if((emotional > 0.6) & (emotional <= 0.8), 0.25),
+        "climax": 0.05 + F.when(emotional > 0.8, 0.3 * emotional).otherwise(0.0),
+        "reaction": 0.1 + _if(kind == "reaction", 0.5),
+        "resolution": 0.05 + _if(position > 0.85, 0.25),
+        "ending": 0.05 + _if(kind == "farewell", 0.6) + _if(position > 0.85, 0.25),
+        "filler": 0.1 + _if(filler, 0.4),
+    }
+    return F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), v)])

@@ -99,3 +99,46 @@ def shortened(text: Column, most: int) -> Column:
 def line_key(text: Column) -> Column:
     """Key under which two readings of a line are the same: lower case, no white space."""
     return F.lower(F.regexp_replace(text, r"\s+", ""))
+
+
+def display_length(text: Column) -> Column:
+    """Characters as they are counted on a caption's line."""
+    return F.length(text)
+
+
+#: Characters on a line of a caption, of spaced scripts and of others, and the lines of one. Fixed values.
+SPACED_LINE, DENSE_LINE, LINES = 42, 13, 2
+_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+
+
+def is_dense(text: Column) -> Column:
+    """Whether half of a text's characters or more are of scripts written without spaces."""
+    plain = F.regexp_replace(text, r"\s", "")
+    return (F.length(plain) > 0) & (F.length(F.regexp_replace(plain, _DENSE, "")) * 2 <= F.length(plain))
+
+
+def _greedy(words: Column, limit: int) -> Column:
+    """Lines filled with words one after another."""
+
+    def add(done: Column, w: Column) -> Column:
+        joins = F.length(done["line"]) + 1 + F.length(w) <= limit
+        empty = F.length(done["line"]) == 0
+        line = F.when(empty, w).when(joins, F.concat_ws(" ", done["line"], w)).otherwise(w)
+        lines = F.when(empty | joins, done["lines"]).otherwise(F.concat(done["lines"], F.array(done["line"])))
+        return F.struct(lines.alias("lines"), line.alias("line"))
+
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+    return F.aggregate(words, start, add, lambda d: F.when(F.length(d["line"]) > 0, F.concat(d["lines"], F.array(d["line"]))).otherwise(d["lines"]))
+
+
+def wrapped(text: Column, limit: int = SPACED_LINE) -> Column:
+    """Lines of a caption of a spaced script: two, as equal as they can be and rather the second longer, or as many as it
+    takes to fill them one by one where two won't hold it."""
+    words = F.split(text, " ")
+    head = lambda at: F.array_join(F.slice(words, F.lit(1), at), " ")
+    tail = lambda at: F.array_join(F.slice(words, at + 1, F.size(words)), " ")
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1))
+    scored = F.transform(places, lambda at: F.struct((F.abs(F.length(head(at)) - F.length(tail(at))) + F.when(F.length(head(at)) > F.length(tail(at)), 0.5).otherwise(0.0)).alias("score"), at.alias("at"), (F.greatest(F.length(head(at)), F.length(tail(at))) <= limit).alias("fits")))
+    best = F.array_min(F.filter(scored, lambda s: s["fits"]))
+    two = F.array(head(best["at"]), tail(best["at"]))
+    return F.when(F.length(text) <= limit, F.array(text)).when((F.length(text) > limit * LINES) | (F.size(words) < 2) | best.isNull(), _greedy(words, limit)).otherwise(two)

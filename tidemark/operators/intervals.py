@@ -118,3 +118,20 @@ def topmost(clips: DataFrame, by: list[str], width: int) -> DataFrame:
     new = (F.lag("id").over(order) != F.col("id")) | (F.lag("end").over(order) != F.col("start")) | F.lag("id").over(order).isNull()
     run = best.withColumn("_new", new.cast("long")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("id").alias("id")).drop("_run")
+
+
+def same_moments(events: DataFrame, offsets: DataFrame, width: int, least: float = 0.5) -> DataFrame:
+    """Pairs of events (``asset``, ``id``, ``start``, ``end``) on two recordings that ``offsets`` (``asset``, ``reference``,
+    ``offset``) line up, which share ``least`` of the shorter one: ``source`` < ``target`` and the largest share."""
+    shifted = events.join(offsets, "asset").select(F.col("reference").alias("asset"), "id", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"))
+    pairs = overlap_join(events.select("asset", "id", "start", "end"), shifted, ["asset"], width).where("id <> r_id")
+    share = F.col("overlap") / F.least(F.col("end") - F.col("start"), F.col("r_end") - F.col("r_start"))
+    out = pairs.withColumn("share", share).where(F.col("share") >= least)
+    strength = F.floor(F.least(F.lit(1.0), F.col("share")) * 10000 + 0.5) / 10000
+    return out.groupBy(F.least("id", "r_id").alias("source"), F.greatest("id", "r_id").alias("target")).agg(F.max(strength).alias("strength"))
+
+
+def inactive(still: DataFrame, silent: DataFrame, by: list[str], margin: int = 500, least: int = 3000) -> DataFrame:
+    """Ranges that are still and silent at once, less a margin at both ends, of ``least`` or more."""
+    both = intersect(still, silent, by).select(*by, (F.col("start") + margin).alias("start"), (F.col("end") - margin).alias("end"))
+    return both.where(F.col("end") - F.col("start") >= least)

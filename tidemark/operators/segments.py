@@ -29,6 +29,15 @@ def thinned(frame: DataFrame, by: list[str], at: str, least: int) -> DataFrame:
     return spans.select(*by, "start", F.get("k", F.col("i") + 1).alias("end"))
 
 
+def windows(frame: DataFrame, length: int, least: int = 200) -> DataFrame:
+    """Ranges cut into parts of ``length``; a last part shorter than ``least`` is left out. Adds ``part``."""
+    size = F.col("end") - F.col("start")
+    n = F.floor(size / length) + F.when(size % length >= F.greatest(F.lit(1), F.lit(least)), 1).otherwise(0)
+    cut = frame.withColumn("_n", n).where("_n > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    begin = F.col("start") + F.col("part") * length
+    return cut.withColumn("_end", F.least("end", begin + length)).withColumn("start", begin).withColumn("end", F.col("_end")).drop("_n", "_end")
+
+
 def atoms(frame: DataFrame, length: int, least: int) -> DataFrame:
     """Ranges cut into parts of ``length``; a last part shorter than ``least`` joins the one before. Adds ``part``."""
     size = F.col("end") - F.col("start")
@@ -71,3 +80,16 @@ def merged(frame: DataFrame, by: str, least: int, most: int, threshold: float) -
         return pd.DataFrame([(pdf[by].iloc[0], s, e) for s, e, _ in a], columns=[by, "start", "end"])
 
     return frame.groupBy(by).applyInPandas(merge, f"{by} {dict(frame.dtypes)[by]}, start long, end long")
+
+
+def separation(forced: Column, speech_spans: Column, terms: dict[str, tuple[Column, float]]) -> Column:
+    """How strongly two neighbours stay apart, 0 to 1: a forced split or merge decides, then speech across the boundary,
+    else the weighted mean of the signals (name: value, weight) that are not null; 0.5 with none."""
+    total = sum((F.when(v.isNotNull(), w).otherwise(0.0) for v, w in terms.values()), F.lit(0.0))
+    value = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in terms.values()), F.lit(0.0))
+    mean = F.when(total == 0, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value / total)))
+    return F.when(forced == "split", 1.0).when(forced == "merge", 0.0).when(speech_spans, 0.05).otherwise(mean)
+
+
+#: Weights of the signals of a boundary. Fixed values.
+SIGNALS = {"visual": 0.4, "silence": 0.25, "shot_change": 0.15, "topic": 0.2, "speaker_change": 0.15}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +17,8 @@ from tidemark.streaming import windows
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; a temporary one only where the session names none."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the shared one, or below the warehouse where the session names none."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -128,7 +127,7 @@ def streaming_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     stream = _stream(spark, path)
     out = windows.tumbling(stream, "ts", ["event_type"], "value", "6 hours", "60 days")
-    done = windows.run_available(out, f"tumbling_{uuid.uuid4().hex}", _folder(spark, "tumbling"), "complete")
+    done = windows.run_available(out, _folder(spark, "tumbling-rows"), _folder(spark, "tumbling"), ["event_type", "start"])
     return done.select("event_type", F.unix_timestamp("start").alias("start"), "n", F.round("total", 2).alias("total"))
 
 
@@ -147,10 +146,18 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
   SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM n GROUP BY user_id, k""")
 def streaming_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windows.sessions(_stream(spark, f"{sf_dir}/events.parquet"), "ts", ["user_id"], "value", "4 hours", "60 days")
-    done = windows.run_available(out, f"sessions_{uuid.uuid4().hex}", _folder(spark, "sessions"), "complete")
+    done = windows.run_available(out, _folder(spark, "session-rows"), _folder(spark, "sessions"), ["user_id", "start"], "complete")
     return done.select("user_id", "n", F.round("total", 2).alias("total"))
 
 
+@query("""WITH w AS (SELECT event_type, value, (epoch_us(ts) // 1000000 // 43200 - k) * 43200 AS start FROM events, (SELECT unnest([0, 1]) AS k))
+  SELECT event_type, start, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY ALL""")
+def streaming_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.sliding(_stream(spark, f"{sf_dir}/events.parquet"), "ts", ["event_type"], "value", "24 hours", "12 hours", "60 days")
+    done = windows.run_available(out, _folder(spark, "sliding-rows"), _folder(spark, "sliding"), ["event_type", "start"])
+    return done.select("event_type", F.unix_timestamp("start").alias("start"), "n", F.round("total", 2).alias("total"))
+
+
 @query("""WITH k AS (SELECT DISTINCT event_type, user_id % 10 AS version FROM events), c AS (SELECT DISTINCT event_type, user_id % 10 AS version FROM events WHERE user_id % 10 < 7) SELECT * FROM k EXCEPT SELECT * FROM c""")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).alias("version")).distinct().withColumn("key", windows.cache_key("event_type", "version"))

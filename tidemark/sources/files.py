@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from tidemark.functions.numbers import clamp, rounded
 
 # File name suffixes by kind.
-VIDEO = "mp4 mov mkv avi webm m4v mts m2ts ts mpg mpeg wmv flv 3gp mxf".split()
-AUDIO = "wav mp3 m4a aac flac ogg opus wma aiff aif caf".split()
-IMAGE = "jpg jpeg png heic heif webp tif tiff gif".split()
+VIDEO = "mp4 mov mkv m4v avi webm mts m2ts ts mxf mpg mpeg 3gp 3g2 ogv".split()
+AUDIO = "wav mp3 m4a aac flac ogg oga opus aif aiff caf".split()
+IMAGE = "jpg jpeg png webp heic heif avif tif tiff".split()
 
 PROBE = "streams array<struct<index:int,codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string,avg_frame_rate:string,channels:int,sample_rate:string,tags:map<string,string>>>, format struct<format_name:string,duration:string,tags:map<string,string>>"
 TRANSCRIPT = "segments array<struct<start:double,end:double,text:string,avg_logprob:double,words:array<struct<start:double,end:double,word:string>>>>"

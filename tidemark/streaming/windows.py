@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _aggregated(stream: DataFrame, at: str, late: str, window, by: list[str], value: str) -> DataFrame:
@@ -28,11 +29,28 @@ def sessions(stream: DataFrame, at: str, by: list[str], value: str, gap: str = "
     return _aggregated(stream, at, late, F.session_window(at, gap), by, value)
 
 
-def run_available(frame: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a streaming frame over what is there now, into an in-memory table, and returns that table."""
-    q = frame.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return frame.sparkSession.table(table)
+def run_available(frame: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Runs a streaming aggregate over what is there now and returns its rows, written as Parquet below ``path``.
+
+    A micro-batch's rows go to a folder named by its number, so a batch that is repeated after a failure replaces its
+    own. In update mode a batch holds what it changed, and the last row of each of ``keys`` counts; in complete mode
+    (sessions, which Spark doesn't update) the last batch holds all.
+    """
+    last = [-1]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[0] = max(last[0], number)
+
+    frame.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = frame.sparkSession
+    if last[0] < 0:
+        return spark.createDataFrame([], frame.schema)
+    if mode == "complete":
+        return spark.read.schema(frame.schema).parquet(f"{path}/batch={last[0]}")
+    rows = spark.read.option("basePath", path).parquet(path)
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("batch").desc()))
+    return rows.withColumn("_n", newest).where("_n = 1").drop("_n", "batch")
 
 
 def each_batch(frame: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
