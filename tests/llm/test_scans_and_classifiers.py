@@ -56,6 +56,18 @@ def test_random_strings_are_added(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_spans_dont_depend_on_how_often_the_table_is_repeated(spark):
+    rng = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    rows = [(i, f"a {some(rng.randrange(20, 70))} b {'internationalization' * rng.randrange(1, 3) if i % 9 == 0 else 'x'} path/to/some/module_{i}/file c") for i in range(60)]
+    spans = []
+    for times in (1, 5, 50):
+        got = secrets.find_secrets(spark.createDataFrame([(i + 1000 * k, t) for k in range(times) for i, t in rows], DOCS))
+        spans.append({r["doc_id"]: r["spans"] for r in got.where("doc_id < 1000").collect()})
+    assert spans[0] == spans[1] == spans[2] and sum("random" in s for s in spans[0].values()) > 30
+
+
 PII = [
     (1, "Mail ann.lee@corp.example.com or Ann.Lee@corp.example.com, call +1 (414) 555-7134."),
     (2, "Again +1-414-555-7134 and 24.50.146.129; card 4539 1488 0343 6467, 123-45-6789"),

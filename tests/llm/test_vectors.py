@@ -78,3 +78,22 @@ def test_top_k(spark, k):
         best = sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:k]
         want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_audits_measure_where_links_are_rare(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24))
+    x[1] = x[0] + 1e-3  # the only link
+    docs = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    audits = vectors.search_audits(docs, shard=1000).collect()
+    assert len(audits) == 9 and all(r["queries"] == 64 and r["recall"] >= 0.97 for r in audits)
+    # A beam of one finds no ten neighbours: the audit must fail it.
+    g = vectors.SmallWorld(vectors._unit(x))
+    unit, ids = vectors._unit(x), g.order.astype(np.int64)
+    s = unit[:50] @ unit.T
+    s[np.arange(50), np.arange(50)] = -2
+    nearest = -np.sort(-s, axis=1)[:, 9]
+    low, high = (vectors.audited(g, unit[:50], np.arange(50), ids, nearest, beam) for beam in (1, 512))
+    assert low < 0.5 and high > 0.97
+    got = {r["vec_id"]: r for r in vectors.near_duplicate_vectors(docs, shard=1000).collect()}
+    assert sum(r["n_links"] for r in got.values()) == 2 and got[1]["component_id"] == 0

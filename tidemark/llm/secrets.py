@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "random")
 CLASSES = (24, 32, 48, 64, 128)
 #: Classes of p-values: powers of ten, the last open.
 BINS = 16
+#: Power of ten of the share of strings that aren't random which the first class of p-values admits, at least.
+LEAST_SHARE = -4
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -108,9 +110,10 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     ``base_sha256``, ``spans`` (``kind:start:end``, comma-joined) and ``n_random``.
 
     Base patterns are always reported. Encoded-looking strings are added as ``random`` where the battery doesn't
-    reject randomness: natural words, put through the same battery, show how often the tests pass what isn't random
-    at each length, and a length class admits p-values down to the point where that share of its discoveries would
-    pass ``rate``. Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows are
+    reject randomness: natural words, put through the same battery, show which share of what isn't random passes the
+    tests at each length, and a length class admits p-values down to the point where its discoveries would be false
+    at more than ``rate``. That share is taken as 10^-4 at least for p-values over 0.1, and ten times as much for each
+    power of ten below: one rule, with and without words to learn from, that depends on shares and not on counts. Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows are
     scanned each on its own; extra columns are ignored; an empty table gives an empty result.
     """
     span = "array<struct<start:int,kind:int,end:int>>"
@@ -139,11 +142,10 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
         most = -1
         for b in range(BINS):
             decoys, targets = decoys + n.get((size, b, True), 0), targets + n.get((size, b, False), 0)
-            false = max(decoys, 1) / (all_decoys + 1) * sum(n.get((size, x, False), 0) for x in range(BINS))
+            share = max(decoys / all_decoys if all_decoys else 0.0, 10.0 ** (b + LEAST_SHARE))
+            false = min(1.0, share) * sum(n.get((size, x, False), 0) for x in range(BINS))
             if targets and b < BINS - 1 and false <= rate * targets:
                 most = b
-        if most < 0 and all_decoys < 1 / rate:  # too few words of this length to estimate by: the tests' own level
-            most = 1
         cut.append(most)
     limits = F.array(*map(F.lit, cut))
     random = F.filter("found", lambda c: ~c["decoy"] & (c["bin"] <= F.element_at(limits, c["size"] + 1)))

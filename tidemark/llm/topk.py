@@ -57,11 +57,11 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, scale: float = 64.0) ->
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; fewer than ``k`` rows where a query has fewer
     candidates. Equal scores are ranked by ``vec_id``; rows that share an id are candidates of their own, except to
-    a query of that id. Scores beyond a long are held at its bounds. Empty tables give an empty result.
+    a query of that id, which is the least vector of the id. Scores beyond a long are held at its bounds. Empty tables give an empty result.
     """
     rows = written(integer_vectors(vectors, scale))
     whole = rows.withColumn("q", is_query)
-    queries = written(_blocks(rows.where(is_query).dropDuplicates(["vec_id"]), QUERIES, "qb"))
+    queries = written(_blocks(rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")), QUERIES, "qb"))
     blocks = written(_blocks(whole.select("vec_id", "x"), ROWS, "rb"))
     # Both sides come in blocks: a pair of blocks is a row, dealt out by the pair.
     n = blocks.groupBy("dim").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import written
+from tidemark.llm.shingles import mix
 from tidemark.operators.components import connected_components
 
 #: Vectors in a shard and in a block of queries, on average.
@@ -19,6 +20,8 @@ SHARD = 8000
 UPPER, LOWEST = 16, 32
 #: Searches that advance together, and nodes that each expands at a time.
 TOGETHER, EXPAND = 256, 4
+#: Share of audited queries' nearest neighbours and links that a search must find; neighbours of each that are audited.
+RECALL, NEAREST = 0.97, 10
 
 
 class SmallWorld:
@@ -156,18 +159,34 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return out.where(fine).withColumn("m", most).select("vec_id", "label", F.transform("x", lambda v: v / F.col("m")).alias("x"))
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, shard: int = SHARD, recall: float = 0.99, audits: int = 32) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, shard: int = SHARD, recall: float = RECALL, audits: int = 64) -> DataFrame:
     """Links vectors of one label at cosine ``least`` or more and keeps the first of each component.
 
     Returns a row per vector: ``vec_id``, ``n_links`` (other vectors linked directly), ``component_id`` (smallest
     ``vec_id`` reachable) and ``kept``. Vectors that are null, zero, of a null label, or hold null or non-finite
     components link with nothing, as do vectors of different lengths. Equal vectors of a label are searched once
     and count as that many partners. A null ``vec_id`` is returned with no links and null elsewhere. Ids are taken
-    to be unique; rows that repeat an id come out once for each row. An empty table gives an empty result.
+    to be unique; rows that repeat an id come out once for each row, with the most links and the least component of
+    its vectors. An empty table gives an empty result.
 
-    Every vector queries the graph of every shard of its label. In each block of queries ``audits`` queries are
-    compared with brute force, and the beam doubles until their recall is at least ``recall``.
+    Every vector queries the graph of every shard of its label. In each block of queries ``audits`` queries, drawn by a
+    hash of their ids, are compared with brute force, and the beam doubles until ``recall`` of their ten nearest
+    neighbours are found, whether these are links or not, and as much of their links, copies counted once.
+    ``search_audits`` returns what was measured.
     """
+    rows, alike, found = _searched(vectors, least, shard, recall, audits)
+    return _result(vectors, rows, alike, found)
+
+
+def search_audits(vectors: DataFrame, least: float = 0.98, shard: int = SHARD, recall: float = RECALL, audits: int = 64) -> DataFrame:
+    """The audits of that search: per block of queries and shard ``queries`` audited, ``recall`` of their ten nearest
+    neighbours and the ``beam`` that reached it."""
+    found = _searched(vectors, least, shard, recall, audits)[2]
+    return found.where("u is null").select(F.col("n_links").alias("queries"), "recall", "beam")
+
+
+def _searched(vectors: DataFrame, least: float, shard: int, recall: float, audits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Valid rows, distinct vectors with their copies, and what searches found."""
     rows = written(valid_vectors(vectors))
     # Copies stand as one: the first of them, with how many they are.
     alike = rows.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
@@ -195,14 +214,19 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, shard: int =
 
     # A block of queries meets a shard's graph: one row for each pair of shards.
     blocks = graphs.select("label", "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    found = written(blocks.join(graphs, ["label", "dim"]).mapInPandas(ask, "u long, v long, n_links long"))
-    counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n_links").alias("n"))
+    found = written(blocks.join(graphs, ["label", "dim"]).mapInPandas(ask, "u long, v long, n_links long, recall double, beam long"))
+    return rows, alike, found
+
+
+def _result(vectors: DataFrame, rows: DataFrame, alike: DataFrame, found: DataFrame) -> DataFrame:
+    """Links and components per row of the table."""
+    counts = found.where("u is not null and v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n_links").alias("n"))
     linked = connected_components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     about = alike.join(counts, "rep", "left").join(linked, "rep", "left")
     about = about.select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     valid = rows.join(about, ["label", "x"]).select("vec_id", "n_links", "component_id")
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = every.join(valid.dropDuplicates(["vec_id"]), "vec_id", "left")
+    out = every.join(valid.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")), "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 
@@ -220,19 +244,40 @@ def _asked(r, least: float, recall: float, audits: int) -> pd.DataFrame:
         width = LOWEST if h == 0 else UPPER
         g.links.append(flat[at : at + n * width].reshape(n, width))
         at += n * width
-    sample = np.unique(np.linspace(0, len(q) - 1, min(audits, len(q))).astype(int))
-    other = q_ids[sample, None] != ids[None, :]
-    true = [((x @ q[i] >= least) & o) @ copies for i, o in zip(sample, other)]
-    beam = 32
+    sample = np.argsort(mix(q_ids.view(np.uint64)), kind="stable")[:audits]
+    true = q[sample] @ x.T
+    true[q_ids[sample, None] == ids[None, :]] = -2
+    nearest = -np.sort(-true, axis=1)[:, min(NEAREST, len(ids)) - 1]  # the least similarity of what must be found
+    alone = np.ones(len(ids), np.int64)
+    partners = (true >= least).sum(1)
+    beam, measured = 64, 0.0
     while True:
-        links, forest = _linked(g, q, q_ids, x, ids, copies, least, beam)
-        if links[sample].sum() >= recall * sum(true) or beam >= len(ids):
-            break
+        measured = audited(g, q[sample], q_ids[sample], ids, nearest, beam)
+        wide = beam >= len(ids)
+        if measured >= recall or wide:
+            # Links are counted once a copy here, so that no crowd outweighs the other queries.
+            own, _ = _linked(g, q[sample], q_ids[sample], x, ids, alone, least, beam)
+            if (np.minimum(own, partners) / np.maximum(partners, 1))[partners > 0].sum() >= recall * (partners > 0).sum() or wide:
+                break
         beam *= 2
+    links, forest = _linked(g, q, q_ids, x, ids, copies, least, beam)
     some = np.flatnonzero(links)
-    u = np.concatenate([q_ids[some], np.array([a for a, _ in forest], np.int64)])
-    v = pd.array([None] * len(some) + [b for _, b in forest], "Int64")
-    return pd.DataFrame({"u": u, "v": v, "n_links": np.concatenate([links[some], np.zeros(len(forest), np.int64)])})
+    u = pd.array([*q_ids[some].tolist(), *(a for a, _ in forest), None], "Int64")
+    v = pd.array([*[None] * len(some), *(b for _, b in forest), None], "Int64")
+    n = np.concatenate([links[some], np.zeros(len(forest), np.int64), [len(sample)]])
+    none = [None] * (len(n) - 1)
+    return pd.DataFrame({"u": u, "v": v, "n_links": n, "recall": pd.array([*none, measured], "Float64"), "beam": pd.array([*none, beam], "Int64")})
+
+
+def audited(g: SmallWorld, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, nearest: np.ndarray, beam: int) -> float:
+    """Share of the nearest neighbours of some queries (as similar as ``nearest`` or more) that a search of this beam finds."""
+    found, sims = g.search(q.astype(np.float32), min(beam, len(ids)))
+    own = (found >= 0) & (ids[np.maximum(found, 0)] != q_ids[:, None])
+    got = (own & (sims >= nearest[:, None] - 1e-5)).sum(1)
+    want = min(NEAREST, len(ids))
+    # A query that is a row of the shard itself has one neighbour less to find where the shard is small.
+    want = np.minimum(want, np.maximum(1, len(ids) - np.isin(q_ids, ids)))
+    return float(np.minimum(1, got / want)[np.isfinite(nearest) & (nearest > -2)].mean()) if (nearest > -2).any() else 1.0
 
 
 def _linked(g: SmallWorld, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
