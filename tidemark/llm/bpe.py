@@ -79,7 +79,7 @@ class MergeAutomaton:
         key = last << 20 | token
         known = self.arcs.get(key)
         if known is None:
-            if len(self.arcs) > 1_000_000:
+            if len(self.arcs) > 300_000:
                 self.arcs.clear()
             known = self.arcs[key] = self._has(self.state[last], token)
         return known
@@ -176,7 +176,7 @@ class WordCodec:
     """Encoder and decoder for one ``tokenizers`` file with an end-of-word BPE model, as that library has them."""
 
     #: Words, and white-space-separated pieces, whose ids are remembered; forgotten when full.
-    REMEMBERED = 800_000
+    REMEMBERED = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
