@@ -61,6 +61,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def each_text(column: pa.Array, rows: int = 128) -> Iterator[bytes]:
+    """The same one after another: few texts are copied at a time."""
+    for at in range(0, len(column), rows):
+        yield from texts(column.slice(at, rows))
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Re-cuts batches sorted by ``keys`` so that no group of equal keys is split between two tables.
 

@@ -8,6 +8,7 @@ arcs' labels.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm._common import texts
+from tidemark.llm._common import each_text
 
 #: Pre-split words of text that is lower-case and within Latin-1, by the vocabulary's own pattern.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
@@ -179,8 +180,7 @@ class WordCodec:
     REMEMBERED = 500_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -202,7 +202,6 @@ class WordCodec:
         self.of_bytes = str.maketrans({chr(b): c for b, c in enumerate(self.alphabet)})
         self.specials = re.compile("|".join(map(re.escape, self.special)))
         self.marks = [s.encode() for s in self.special]
-        self.library = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         codec = self
 
@@ -215,6 +214,13 @@ class WordCodec:
 
         self.pieces = Pieces()
 
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer, whose normalizer and pre-tokenizer serve text beyond Latin-1."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _word(self, word: str) -> bytes:
         """Ids of a pre-split word as little-endian 32-bit numbers."""
         ids = self.words.get(word)
@@ -274,7 +280,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            flat = [c.encode(t) for t in texts(b.column(1))]
+            flat = [c.encode(t) for t in each_text(b.column(1))]
             offsets = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype("int32")
             ids = pa.array(np.frombuffer(b"".join(flat), "<u4").astype("int32"))
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=[id_col, "ids"])
@@ -302,7 +308,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for b in batches:
             n, first, second = [], [], []
-            for t in texts(b.column(1)):
+            for t in each_text(b.column(1)):
                 ids = np.frombuffer(c.encode(t), "<u4").tolist()
                 n.append(len(ids))
                 first.append(hashlib.sha256(b" ".join(map(c.decimals.__getitem__, ids))).hexdigest())

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import texts, written
+from tidemark.llm._common import each_text, written
 from tidemark.llm.features import word_set
 
 #: Confirmed toxic rows and unlabelled rows that the classifier is fitted on, at most.
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positive: int = POS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [word_set(t).tobytes() for t in texts(b.column(1))]
+            sets = [word_set(t).tobytes() for t in each_text(b.column(1))]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(sets, pa.binary())], names=["doc_id", "p", "s"])
 
     drawn = F.broadcast(p.union(u))  # at most positive + unlabelled ids
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: ToxicWords | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            s = [m.score(t) if m is not None else 0.0 for t in texts(b.column(1))]
+            s = [m.score(t) if m is not None else 0.0 for t in each_text(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -147,7 +147,7 @@ def without_toxic(docs: DataFrame, model: ToxicWords | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            keep = [m is None or m.score(t) < THRESHOLD for t in texts(b.column(place))]
+            keep = [m is None or m.score(t) < THRESHOLD for t in each_text(b.column(place))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
