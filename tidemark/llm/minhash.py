@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm._common import discard, of_ids, one_each, texts, written
+from tidemark.llm._common import FEW, discard, one_each, texts, written
+from tidemark.llm.features import by_size
 from tidemark.llm.shingles import WORDS, mix, shingle_sets
 from tidemark.operators.components import connected_components
 
@@ -101,15 +103,20 @@ def apart(a: str, b: str) -> Column:
     return total
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``s``: the shingle sets, as sorted hashes, of the documents whose ids are given."""
+def full_sets(docs: DataFrame, member: DataFrame, words: int = WORDS) -> DataFrame:
+    """``member``, a written table of distinct ids (``doc_id`` and what is known of each), with ``s``: the document's shingle
+    set as sorted hashes. Members are broadcast if they are few, so that texts needn't be shuffled."""
+    names = member.columns
+    few = member.count() <= FEW // 4  # a member is some 90 bytes
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [s.tobytes() for s in shingle_sets(texts(b.column(1)), words)]
-            yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], names=["doc_id", "s"])
+            for at, some in by_size(texts(b.column(0))):
+                found = [s.tobytes() for s in shingle_sets(some, words)]
+                yield pa.record_batch([*(c.slice(at, len(some)) for c in b.columns[1:]), pa.array(found, pa.binary())], names=[*names, "s"])
 
-    return of_ids(docs.select("doc_id", "text"), ids).mapInArrow(sets, "doc_id long, s binary")
+    held = docs.select("doc_id", "text").join(F.broadcast(member) if few else member.hint("merge"), "doc_id")
+    return held.select("text", *names).mapInArrow(sets, T.StructType([*member.schema, T.StructField("s", T.BinaryType())]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -197,16 +204,16 @@ def _arrays(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     return t.column("doc_id").to_numpy(), sets, np.array(t.column("p").to_pylist(), np.int64).view(np.uint64)
 
 
-def small_classes(member: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Components (``node``, ``component_id``) of classes of few documents (``class``, ``doc_id``, ``p``), each resolved in
-    one task."""
+def small_classes(sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Components (``node``, ``component_id``) of classes of few documents (``class``, ``doc_id``, ``p``, ``s``), each
+    resolved in one task."""
 
     def run(t: pa.Table) -> pa.Table:
         doc, full, p = _arrays(t)
         _, component = links_of(np.arange(1, len(doc)), doc, doc, full, p, percent)
         return pa.table({"node": pa.array(doc), "component_id": pa.array(component)})
 
-    return member.join(sets, "doc_id").select("class", "doc_id", "p", "s").groupBy("class").applyInArrow(run, "node long, component_id long")
+    return sets.select("class", "doc_id", "p", "s").groupBy("class").applyInArrow(run, "node long, component_id long")
 
 
 def class_links(member: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -228,7 +235,7 @@ def class_links(member: DataFrame, sets: DataFrame, percent: int = 75) -> DataFr
     rest = parts.join(whole, "class").where("c <> main").groupBy("class", "main", "all").agg(F.sum("n").alias("some"))
     count = lambda c: F.ceil(F.col(c) / SHINGLES).cast("int")
     sized = written(rest.select("class", "main", count("all").alias("blocks"), count("some").alias("parts")))
-    own = member.join(sized, "class").join(sets, "doc_id")
+    own = member.join(sized, "class").join(sets.select("doc_id", "s"), "doc_id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     cols = ["doc_id", "c", "p", "s"]
@@ -283,19 +290,21 @@ def near_duplicate_documents(docs: DataFrame, words: int = WORDS, percent: int =
     candidates = written(first.select("a", "b").union(met).distinct())
     classes = written(connected_components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component_id").alias("class")))
     discard(stars, far, candidates)
-    sets = written(full_sets(docs, classes.select("doc_id"), words))
     member = classes.join(near, "doc_id")
     sizes = member.groupBy("class").agg(((F.count("*") > BLOCK) | (F.sum("n") > SHINGLES)).alias("large"))
     member = written(member.join(sizes, "class"))
-    component = written(small_classes(member.where("not large"), sets, percent))
+    # A small class's sets are shuffled once, to their class; only a large one's are joined with links and blocks.
+    sets = written(full_sets(docs, member, words))
+    component = written(small_classes(sets.where("not large"), percent))
     large = member.where("large").drop("large")
     if large.limit(1).count():
+        some = sets.where("large").select("doc_id", "s")
         # First the hubs connect what they can, so that only what is left apart meets the others.
         mine = first.where("alike").select("a", "b").join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
-        links = written(confirmed(mine, sets, percent))
+        links = written(confirmed(mine, some, percent))
         so_far = connected_components(links).withColumnRenamed("node", "doc_id")
         now = written(large.join(so_far, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id"))
-        more = written(class_links(now, sets, percent))
+        more = written(class_links(now, some, percent))
         component = written(component.union(connected_components(links.union(more))))
         discard(links, now, more)
     discard(first, classes, sets, member)
