@@ -161,3 +161,15 @@ def test_files(spark, tmp_path):
 def test_chapters(spark):
     c = spark.createDataFrame([(1, 5000, "a"), (1, 16000, "a"), (1, 20000, "b"), (1, 20500, "c"), (1, 24000, "d"), (1, 40000, "e")], "p long, start long, title string")
     assert [(r["start"], r["title"]) for r in writers.chapter_lines(c, "p").orderBy("n").collect()] == [(0, "a"), (20500, "c"), (40000, "e")]
+
+
+def test_bounded_plans(spark):
+    from tidemark.operators import planner
+
+    rows = [(1, i, i // 3) for i in range(25)] + [(2, 100, 0), (2, 101, 50), (None, 102, None)]
+    out = planner.bounded_plans(spark.createDataFrame(rows, "owner long, id long, start long"), "owner", "start", 20, 8).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["plan"], []).append(r["id"])
+    assert len(out) == len(rows)
+    assert {k: sorted(v) for k, v in groups.items()} == {"1/0/0": [*range(8)], "1/0/1": [*range(8, 16)], "1/0/2": [*range(16, 24)], "1/0/3": [24], "2/0/0": [100], "2/2/0": [101], "-/-/0": [102]}

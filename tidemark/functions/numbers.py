@@ -33,10 +33,14 @@ def strength(score: Column, centre: Column, spread: Column, undiscriminating: Co
     return F.when(off | (z <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), z / 4))
 
 
+def rank_at(n: Column, q: float) -> Column:
+    """Place of a quantile among ``n`` sorted values, from 1, without interpolation."""
+    return F.floor((n - 1) * q + 0.5).cast("int") + 1
+
+
 def nearest_rank(values: Column, q: float) -> Column:
-    """Element of a sorted array at the rounded index of a quantile, without interpolation; -100 if there is none."""
-    at = F.floor((F.size(values) - 1) * q + 0.5).cast("int") + 1
-    return F.when(F.size(values) > 0, F.element_at(values, at)).otherwise(F.lit(-100.0))
+    """Element of a sorted array at the rounded index of a quantile; -100 if there is none."""
+    return F.when(F.size(values) > 0, F.element_at(values, rank_at(F.size(values), q))).otherwise(F.lit(-100.0))
 
 
 def silence_threshold(p10: Column, p90: Column, configured: float = -45.0) -> Column:

@@ -1,7 +1,7 @@
 """Budgeted selection plans: candidates, greedy choice, duration allocation, layout on a frame grid and captions.
 
-A plan's candidates are few (the clips of one cut), so the order-sensitive steps run as one group per plan; plans are
-independent and Spark deals them out.
+The order-sensitive steps run as one group per plan; plans are independent and Spark deals them out. A plan's candidates
+must be bounded (the clips of one cut): ``bounded_plans`` cuts owners of any size into such plans.
 """
 
 from __future__ import annotations
@@ -16,6 +16,15 @@ from pyspark.sql.window import Window
 from tidemark.functions.time import frame_at
 
 
+def bounded_plans(frame: DataFrame, by: str, at: str, width: int, most: int = 500) -> DataFrame:
+    """Adds ``plan`` (string): an owner's rows of one ``width`` of time, in parts of ``most`` rows in their order by time and
+    ``id``, so that no plan is larger, however many rows an owner has. A null owner or time makes plans of its own."""
+    block = F.floor(F.col(at) / width)
+    n = F.row_number().over(Window.partitionBy(by, block).orderBy(at, "id")) - 1
+    part = [F.coalesce(c.cast("string"), F.lit("-")) for c in (F.col(by), block)]
+    return frame.withColumn("plan", F.concat_ws("/", *part, F.floor(n / most).cast("string")))
+
+
 def exclusion_reason(excluded: Column, dropped: Column, ms: Column, least_ms: int) -> Column:
     """Why an event is no candidate; null if it is one."""
     return F.when(excluded, "excluded").when(dropped, "dropped_by_rules").when(ms < least_ms, "too_short")

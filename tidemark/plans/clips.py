@@ -10,7 +10,7 @@ from tidemark.functions.embedding import hashing_embedding
 from tidemark.functions.numbers import dot, rounded
 from tidemark.functions.text import tokens
 from tidemark.operators import clips
-from tidemark.plans.decisions import candidates, greedy_selection
+from tidemark.plans.decisions import candidates, greedy_selection, plans
 from tidemark.plans.registry import RANGES, query, ranges, table
 
 HOUR = 3600000
@@ -52,10 +52,9 @@ def duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def context_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = greedy_selection(spark, sf_dir)
-    e = table(spark, sf_dir, "events")
-    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    needs = e.withColumn("needs", before).where("event_id % 5 = 0 and needs is not null").select(F.col("event_id").alias("id"), "needs")
-    return clips.with_context(chosen, needs, "owner")
+    before = F.lag("id").over(Window.partitionBy("plan").orderBy("start", "id"))
+    needs = plans(spark, sf_dir).withColumn("needs", before).where("id % 5 = 0 and needs is not null").select("id", "needs")
+    return clips.with_context(chosen, needs, "plan")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type, event_id % 3 = 0 AS used, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
@@ -84,6 +83,8 @@ def cost_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders)
   SELECT o_custkey, list_aggregate(list(price ORDER BY price), 'min') AS low, CAST(quantile_disc(price, 0.5) AS BIGINT) AS lower_median, max(price) AS high FROM p GROUP BY o_custkey""")
 def lower_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "orders").select("o_custkey", F.floor("o_totalprice").alias("price")).groupBy("o_custkey").agg(F.sort_array(F.collect_list("price")).alias("ps"))
-    middle = F.floor((F.size("ps") - 1) / 2).cast("int") + 1
-    return p.select("o_custkey", F.array_min("ps").alias("low"), F.element_at("ps", middle).alias("lower_median"), F.array_max("ps").alias("high"))
+    own = Window.partitionBy("o_custkey")
+    p = table(spark, sf_dir, "orders").select("o_custkey", F.floor("o_totalprice").alias("price"))
+    p = p.withColumn("i", F.row_number().over(own.orderBy("price"))).withColumn("n", F.count("*").over(own))
+    middle = F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) / 2) + 1, F.col("price")))
+    return p.groupBy("o_custkey").agg(F.min("price").alias("low"), middle.alias("lower_median"), F.max("price").alias("high"))

@@ -84,8 +84,12 @@ def narrative_role_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH h AS (SELECT user_id, list(value ORDER BY value, event_id) AS v FROM events GROUP BY user_id), q AS (SELECT user_id, v[CAST(floor((len(v) - 1) * 0.1 + 0.5) AS INTEGER) + 1] - 100 AS p10, v[CAST(floor((len(v) - 1) * 0.9 + 0.5) AS INTEGER) + 1] - 100 AS p90 FROM h)
   SELECT user_id, floor(p10 * 100 + 0.5) / 100 AS p10, floor(p90 * 100 + 0.5) / 100 AS p90, floor(CASE WHEN p90 - p10 < 10 THEN least(-45, p10 - 1) ELSE p10 + least(8, 0.3 * (p90 - p10)) END * 100 + 0.5) / 100 AS threshold FROM q""")
 def silence_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    low, high = nm.nearest_rank(F.col("v"), 0.1) - 100, nm.nearest_rank(F.col("v"), 0.9) - 100
+    # Ranks in a window, which can spill, rather than all values of a user in one array.
+    e = table(spark, sf_dir, "events").select("user_id", "value")
+    e = e.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("value"))).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    at = lambda q: F.max(F.when(F.col("i") == nm.rank_at(F.col("n"), q), F.col("value"))) - 100
+    v = e.groupBy("user_id").agg(at(0.1).alias("low"), at(0.9).alias("high"))
+    low, high = F.col("low"), F.col("high")
     return v.select("user_id", nm.rounded(low, 2).alias("p10"), nm.rounded(high, 2).alias("p90"), nm.rounded(nm.silence_threshold(low, high), 2).alias("threshold"))
 
 
@@ -134,15 +138,25 @@ def default_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).groupBy("owner").agg(F.sum("ms").alias("total")).select("owner", planner.default_target(F.col("total")).alias("target"))
 
 
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in plans of ten days, 500 in each at most."""
+    return planner.bounded_plans(candidates(spark, sf_dir), "owner", "start", 10 * 86400000)
+
+
+def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = plans(spark, sf_dir).groupBy("plan").agg(F.sum("ms").alias("total"))
+    return total.select("plan", planner.default_target(F.col("total")).alias("budget"))
+
+
 @query()
 def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.greedy(candidates(spark, sf_dir).where("kind <> 'error'"), default_targets(spark, sf_dir).withColumnRenamed("target", "budget"), "owner")
+    return planner.greedy(plans(spark, sf_dir).where("kind <> 'error'"), budgets(spark, sf_dir), "plan")
 
 
 @query()
 def duration_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = greedy_selection(spark, sf_dir).withColumn("position", F.col("rank")).withColumn("min_ms", F.least(F.lit(1200).cast("long"), F.col("ms"))).withColumn("max_ms", F.col("ms")).withColumn("preferred_ms", F.floor(F.col("ms") * 0.6))
-    return planner.allocate(chosen.join(default_targets(spark, sf_dir), "owner"), "owner", "target")
+    return planner.allocate(chosen.join(budgets(spark, sf_dir), "plan"), "plan", "budget")
 
 
 @query(f"""WITH {RANGES}, n AS (SELECT *, (start % 86400000 * 30 + 500) // 1000 AS first_frame, lead(start) OVER w AS nx, lead((start % 86400000 * 30 + 500) // 1000) OVER w AS nf FROM (SELECT owner, id, start % 86400000 AS start, "end" - start + start % 86400000 AS "end" FROM r) WINDOW w AS (PARTITION BY owner ORDER BY start, id))

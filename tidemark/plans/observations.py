@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.numbers import clamp, rounded
 from tidemark.operators import intervals as iv
-from tidemark.operators import segments
+from tidemark.operators import planner, segments
 from tidemark.plans.registry import RANGES, merged, query, ranges, table
 from tidemark.sources import files, writers
 from tidemark.streaming import windows
@@ -85,10 +85,10 @@ def caption_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chapter_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ranges(spark, sf_dir)
-    first = F.min("start").over(Window.partitionBy("owner"))
-    out = writers.chapter_lines(r.select("owner", (F.col("start") - first).alias("start"), F.col("kind").alias("title")), "owner", 3600000)
-    return out.select("owner", "n", writers.chapter_line(F.col("start"), F.col("title")).alias("line"))
+    r = planner.bounded_plans(ranges(spark, sf_dir), "owner", "start", 10 * 86400000)
+    first = F.min("start").over(Window.partitionBy("plan"))
+    out = writers.chapter_lines(r.select("plan", (F.col("start") - first).alias("start"), F.col("kind").alias("title")), "plan", 3600000)
+    return out.select("plan", "n", writers.chapter_line(F.col("start"), F.col("title")).alias("line"))
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY start, id) AS n FROM (SELECT o_custkey, o_orderkey AS id, o_orderkey * 40 AS start, o_orderkey % 100 * 1000 AS a, o_orderkey % 100 * 1000 + 2000 AS b, replace(o_orderpriority, '-', '') AS source FROM orders)), f AS (SELECT *, [a, b, start, start + 2000] AS t FROM c)
@@ -118,8 +118,8 @@ def fixed_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ranges(spark, sf_dir)
-    return segments.merged(r.select("owner", "start", "end", (F.col("value") / 500).alias("separation")), "owner", 3600000, 14400000, 0.38)
+    r = planner.bounded_plans(ranges(spark, sf_dir), "owner", "start", 10 * 86400000)
+    return segments.merged(r.select("plan", "start", "end", (F.col("value") / 500).alias("separation")), "plan", 3600000, 14400000, 0.38)
 
 
 @query("""WITH b AS (SELECT user_id, event_type, CAST(floor(epoch_us(ts) / 1000000 / 21600) AS BIGINT) * 21600 AS start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL) SELECT event_type, start, CAST(sum(n) AS BIGINT) AS n, round(sum(total), 2) AS total FROM b GROUP BY ALL""")

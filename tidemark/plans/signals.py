@@ -60,10 +60,10 @@ def zero_shot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recording_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's envelope against the next user's, as pairs of recordings."""
-    e = envelope(spark, sf_dir).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("hop", "db"))), lambda s: s["db"]).alias("a"))
-    other = e.select((F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b"))
-    return signals.offsets(e.join(other, "user_id"), "a", "b", 20)
+    """Each user's envelope against the next user's, as pairs of recordings of 500 hops at most."""
+    e = envelope(spark, sf_dir).groupBy("user_id", F.floor(F.col("hop") / 500).alias("recording")).agg(F.transform(F.sort_array(F.collect_list(F.struct("hop", "db"))), lambda s: s["db"]).alias("a"))
+    other = e.select((F.col("user_id") - 1).alias("user_id"), "recording", F.col("a").alias("b"))
+    return signals.offsets(e.join(other, ["user_id", "recording"]), "a", "b", 20)
 
 
 _EVENTS = f"{RANGES}, e AS (SELECT owner, id, start, \"end\", CASE WHEN kind <> 'error' THEN kind END AS place, id % 97 = 0 AS card FROM r), b AS (SELECT *, CASE WHEN lag(id) OVER w IS NULL OR card OR coalesce(start - lag(\"end\") OVER w >= 86400000, false) OR coalesce(lag(place) OVER w <> place, false) THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY owner ORDER BY start, id)), c AS (SELECT *, sum(fresh) OVER (PARTITION BY owner ORDER BY start, id ROWS UNBOUNDED PRECEDING) AS chapter FROM b)"
