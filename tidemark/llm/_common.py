@@ -37,6 +37,18 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch, about: rows may hold long texts or blocks of vectors.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """Has Spark hand rows to Python in batches of about ``most`` bytes, unless the session was started with a limit of its
+    own. Both sides hold a batch or two for each task, so this bounds what a task needs beside its own data."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(most))
+
+
 #: Ids that are broadcast, at most.
 FEW = 1_000_000
 
@@ -67,6 +79,20 @@ def each_text(column: pa.Array, rows: int = 128) -> Iterator[bytes]:
         yield from texts(column.slice(at, rows))
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have about ``most`` bytes, for what is combined within each."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Re-cuts batches sorted by ``keys`` so that no group of equal keys is split between two tables.
 
