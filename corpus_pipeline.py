@@ -11,24 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, packing, pii, substring, toxicity
-from tidemark.llm._common import written
+from tidemark.llm._common import bounded_batches, written
 from tidemark.llm.queries import pii_key, word_bpe
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
+    bounded_batches(spark)
     learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id, and those with a null id."""
+    bounded_batches(spark)
     gone = minhash.near_duplicate_documents(docs).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages cut from all but their first occurrence."""
+    bounded_batches(spark)
     return substring.without_repeats(docs)
 
 
@@ -39,6 +42,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, word_bpe())
 
 
