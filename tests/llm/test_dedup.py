@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import minhash, substring
+from tidemark.llm import _common, minhash, substring
 from tidemark.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string"
@@ -217,3 +218,16 @@ def test_substring_edges(spark):
     left = {(r["doc_id"], r["other_id"], r["text"], r["start"]) for r in substring.without_repeats(docs).collect()}
     assert {x for x in left if x[0] != 4} == {(a, b, "w" * 300_000 + " " if a == 5 else c, d) for a, b, c, d in rows if a != 4}
     assert substring.without_repeats(docs.limit(0)).columns == docs.columns
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(3)
+    for x in (np.zeros(0, np.int64), np.array([-1, 2**62, -(2**63)]), rng.integers(-(2**63), 2**63 - 1, 1000)):
+        assert (substring._unpacked(substring._packed(x), len(x)) == x).all()
+
+
+def test_batches_are_gathered_whole():
+    batches = [pa.record_batch([pa.array([i] * n), pa.array(["x" * 100] * n)], names=["i", "t"]) for i, n in enumerate([3, 0, 5, 400, 1])]
+    got = list(_common.gathered(iter(batches), 1500))
+    assert [r for b in got for r in b.column(0).to_pylist()] == [r for b in batches for r in b.column(0).to_pylist()]
+    assert len(got) == 3 and list(_common.gathered(iter([]), 10)) == []
