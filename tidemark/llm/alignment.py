@@ -8,12 +8,15 @@ tasks and put together by a tree.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
+import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +25,8 @@ from tidemark.llm._common import discard, runs, written
 
 #: Characters of a part of a long text, and fragments that a step of the tree composes, about.
 CHUNK, FAN = 1 << 16, 16
-#: Distinct segments that a worker remembers, and characters of the longest of them.
-REMEMBERED, SHORT = 100_000, 64
+#: Texts that are aligned together.
+LOT = 64
 #: Pairs of ids that are broadcast together; beyond that only those in a share of 1 / HEAVY of all rows are, which are HEAVY at most.
 PAIRS, HEAVY = 4_000_000, 100_000
 
@@ -70,7 +73,7 @@ def _joined(a: str, b: str) -> str:
     return f"{a},{b}" if a and b else a or b
 
 
-def fragments(a: Sequence[int], b: Sequence[int], size_a: Sequence[int], size_b: Sequence[int], step: int) -> Iterator[tuple[int, Fragment]]:
+def fragments(a: Sequence[int], b: Sequence[int], size_a: Sequence[int] | np.ndarray, size_b: Sequence[int] | np.ndarray, step: int) -> Iterator[tuple[int, Fragment]]:
     """The fragments of byte ranges of ``step`` bytes, with their first bytes: tokens ``a`` and ``b`` of one text, whose lengths
     in bytes are ``size_a[id]`` and ``size_b[id]``. A token belongs to the range that its last byte lies in."""
     i = j = end_a = end_b = 0
@@ -116,7 +119,7 @@ def segments(text: str) -> list[str]:
     """A text cut before each space that stands between two characters which aren't white space; the space is left out.
 
     A token of either tokenizer can begin with a space, but none holds one after another character, so tokens of both end there
-    and segments can be encoded one by one. ``Pair`` checks that of B's pieces; A's pre-splitting pattern says it.
+    and the sides can be encoded one by one. ``Pair`` checks that of B's pieces; A's pre-splitting pattern says it.
     """
     parts = text.split(" ")
     if all(parts) and text.isprintable():
@@ -143,16 +146,26 @@ def cut(text: str, size: int) -> Iterator[str]:
     yield " ".join(held)
 
 
+#: The byte-level pattern that such files stand for: a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs too long for the faster encoder, whose work on one grows with its square.
+_RUN = re.compile(r"\s{500}|\S{500}")
+
+
 class Pair:
     """A byte-level BPE file (A) and a sentencepiece model (B), with the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
+        rules = json.loads(self.a.to_str())
+        if rules["normalizer"] is not None or rules["pre_tokenizer"].get("type") != "ByteLevel" or not rules["pre_tokenizer"].get("use_regex"):
+            raise ValueError(f"{path_a}: not split before spaces by the byte-level pattern")
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(c): c for c in visible} | {chr(256 + n): c for n, c in enumerate(x for x in range(256) if x not in set(visible))}
@@ -163,77 +176,60 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any(b" " in x.lstrip(b" ") for x in self.bytes_b) or self.b.encode("  a  b", out_type=str) != ["▁▁", "▁a", "▁", "▁b"]:
             raise ValueError(f"{path_b}: spaces aren't kept, or stand within pieces")
-        split = json.loads(self.a.to_str())
-        if split["normalizer"] is not None or split["pre_tokenizer"].get("type") != "ByteLevel" or not split["pre_tokenizer"].get("use_regex"):
-            raise ValueError(f"{path_a}: not split before spaces by the byte-level pattern")
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.known: dict[str, Fragment] = {}
-
-    def encode(self, some: list[str], step: int) -> list[list[tuple[int, Fragment]]]:
-        """Fragments of segments, each with the space before it."""
-        a = [e.ids for e in self.a.encode_batch_fast([f" {s}" for s in some], add_special_tokens=False)]
-        out = []
-        for s, x, y in zip(some, a, self.b.encode(some, num_threads=1)):
-            whole = f" {s}".encode()
-            same = b"".join([self.bytes_a[i] for i in x]) == whole == b"".join([self.bytes_b[i] for i in y])
-            out.append(list(fragments(x, y, self.size_a, self.size_b, step)) if same else [(0, Fragment(fine=False))])
-        return out
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Remembers the fragments of segments, in lots."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            self.known.update(zip(some, (f[0][1] for f in self.encode(some, 1 << 40))))
-
-    def part(self, text: str, step: int) -> list[tuple[int, Fragment]]:
-        """Fragments of a part of a text that begins after a space and ends where a segment does, by their first bytes; one
-        where no segment is longer than ``step`` bytes."""
-        out: list[tuple[int, Fragment]] = []
-        run: list[str] = []
-        at = 0
-
-        def close() -> None:
-            nonlocal at, run
-            if not run:
-                return
-            count = Counter(run)
-            self.learn(w for w in count if len(w) <= SHORT)
-            long = [w for w in count if len(w) > SHORT]
-            own = dict(zip(long, (f[0][1] for f in self.encode(long, 1 << 40))))
-            known = self.known
-            found = {w: own[w] if len(w) > SHORT else known[w] for w in count}
-            pairs: dict[int, int] = {}
-            for w, n in count.items():
-                for k, m in found[w].pairs.items():
-                    pairs[k] = pairs.get(k, 0) + m * n
-            size = sum(len(w.encode()) + 1 for w in run)
-            if all(f.fine for f in found.values()):
-                text_of = {w: f.groups for w, f in found.items()}
-                first, _, body = ";".join([text_of[w] for w in run]).partition(";")
-                prefix_a, _, prefix_b = first.partition("|")
-                total = [sum(getattr(found[w], x) * n for w, n in count.items()) for x in ("n_a", "n_b", "closed")]
-                out.append((at, Fragment(*total, prefix_a, prefix_b, body, pairs=pairs)))
-            else:
-                out.append((at, Fragment(fine=False)))
-            at += size
-            run = []
-
-        if len(text) * 4 <= step or len(text.encode()) <= step:
-            run = segments(text)
-        else:
-            for s in segments(text):
-                if len(s.encode()) > step:
-                    close()
-                    out += [(at + start, f) for start, f in self.encode([s], step)[0]]
-                    at += len(s.encode()) + 1
-                else:
-                    run.append(s)
-        close()
-        return out
+        self.quick = None
+        vocabulary, merges = rules["model"]["vocab"], rules["model"]["merges"]
+        if all(vocabulary[x + y] == 256 + n for n, (x, y) in enumerate(m.split(" ") if isinstance(m, str) else m for m in merges)):
+            # Ids are the ranks of merges, so that the same merges can be had from a faster encoder.
+            self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={x: i for i, x in enumerate(self.bytes_a[: 256 + len(merges)])}, special_tokens={})
+        self.len_a, self.len_b = (np.array([len(x) for x in some]) for some in (self.bytes_a, self.bytes_b))
+        self.comma_a, self.bar_a, self.comma_b, self.semi_b = (np.array([f"{i}{then}" for i in range(n)], object) for n, then in ((len(self.len_a), ","), (len(self.len_a), "|"), (len(self.len_b), ","), (len(self.len_b), ";")))
+
+    def encode(self, some: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of texts in A and B, each with a space before it, and whether both keep its bytes."""
+        a = [self.quick.encode_ordinary(f" {s}") if self.quick and not _RUN.search(s) else self.a.encode(f" {s}", add_special_tokens=False).ids for s in some]
+        b = self.b.encode(some, num_threads=1)
+        get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        same = [b"".join(map(get_a, x)) == w == b"".join(map(get_b, y)) for x, y, w in zip(a, b, (f" {s}".encode() for s in some))]
+        return a, b, same
+
+    def closed(self, some: list[str]) -> dict[str, pa.Array]:
+        """Columns of the fragments of texts that begin after a space and end where tokens of both must; none for an empty one."""
+        none: list[int] = []
+        a, b, same = self.encode(some)
+        fine = np.array(same, bool)
+        a, b = ([x if ok and t else none for x, ok, t in zip(ids, same, some)] for ids in (a, b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
+        ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((a, n_a), (b, n_b)))
+        # Both have the same bytes, text for text, so offsets run on from one text to the next.
+        ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
+        last_a, last_b = (np.isin(x, y, assume_unique=True) for x, y in ((ends_a, ends_b), (ends_b, ends_a)))
+        group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))  # the groups before each token's
+        # Tokens in the order of the digest, with what follows each: those of A in a group, then those of B.
+        order = np.empty(len(ids_a) + len(ids_b), object)
+        before_b = np.searchsorted(group_b, group_a)  # tokens of B in earlier groups
+        order[np.arange(len(ids_a)) + before_b] = np.where(last_a, self.bar_a[ids_a], self.comma_a[ids_a])
+        order[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, side="right")] = np.where(last_b, self.semi_b[ids_b], self.comma_b[ids_b])
+        words, stop = order.tolist(), np.cumsum(n_a + n_b).tolist()
+        groups = ["".join(words[i:j])[:-1].partition(";") for i, j in zip([0, *stop], stop)]
+        prefix = [g[0].partition("|") for g in groups]
+        # Pairs that end together, counted for each text.
+        of = np.repeat(np.arange(len(some)), n_a)[last_a]
+        pair, at = np.unique(ids_a[last_a] << 32 | ids_b[last_b], return_inverse=True)
+        cell, times = np.unique(of * max(1, len(pair)) + at, return_counts=True)
+        n_pairs = np.bincount(cell // max(1, len(pair)), minlength=len(some))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n_pairs)]), pa.int32())
+        empty = pa.array([""] * len(some))
+        return {
+            "n_a": pa.array(n_a), "n_b": pa.array(n_b), "closed": pa.array(np.bincount(of, minlength=len(some))),
+            "prefix_a": pa.array([x[0] for x in prefix], pa.string()), "prefix_b": pa.array([x[2] for x in prefix], pa.string()), "body": pa.array([g[2] for g in groups], pa.string()),
+            "suffix_a": empty, "suffix_b": empty, "fine": pa.array(fine),
+            "pair": pa.ListArray.from_arrays(offsets, pa.array(pair[cell % max(1, len(pair))])), "times": pa.ListArray.from_arrays(offsets, pa.array(times)),
+        }
+
+    def ranged(self, text: str, step: int) -> list[tuple[int, Fragment]]:
+        """Fragments of one such text by byte ranges, with their first bytes."""
+        a, b, same = self.encode([text])
+        return list(fragments(a[0], b[0], self.len_a, self.len_b, step)) if same[0] else [(0, Fragment(fine=False))]
 
 
 @functools.lru_cache(1)
@@ -265,14 +261,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK) -> Da
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
     long = F.length("text") > chunk
-    step = 4 * chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(path_a, path_b)
         for batch in batches:
-            for lot in (batch.slice(at, 128) for at in range(0, batch.num_rows, 128)):
-                found = [pair.part(t, step)[0][1] if t else Fragment() for t in lot.column("text").to_pylist()]
-                yield _batch({"doc_id": lot.column("doc_id").to_pylist()}, found)
+            for lot in (batch.slice(at, LOT) for at in range(0, batch.num_rows, LOT)):
+                yield pa.RecordBatch.from_pydict({"doc_id": lot.column("doc_id"), **pair.closed(lot.column("text").to_pylist())})
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,9 +280,14 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK) -> Da
         pair = _pair(path_a, path_b)
         for batch in batches:
             for r in range(batch.num_rows):
-                found = pair.part(batch.column("part")[r].as_py(), step)
-                row, doc, at = (batch.column(c)[r].as_py() for c in ("row", "doc_id", "at"))
-                yield _batch({"row": [row] * len(found), "doc_id": [doc] * len(found), "at": [at + start for start, _ in found]}, [f for _, f in found])
+                lot = batch.slice(r, 1)
+                part = lot.column("part")[0].as_py()
+                if len(part) <= chunk:
+                    yield pa.RecordBatch.from_pydict({**{c: lot.column(c) for c in ("row", "doc_id", "at")}, **pair.closed([part])})
+                else:  # no place to cut: fragments with open ends
+                    found = pair.ranged(part, chunk)
+                    row, doc, at = (lot.column(c)[0].as_py() for c in ("row", "doc_id", "at"))
+                    yield _batch({"row": [row] * len(found), "doc_id": [doc] * len(found), "at": [at + start for start, _ in found]}, [f for _, f in found])
 
     def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["row", "up"]):

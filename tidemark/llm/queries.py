@@ -15,13 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_bpe() -> str:
-    """The vocabulary file that the queries use; operators take it as a parameter."""
+def vocabulary(name: str) -> str:
+    """The place of a vocabulary file that the queries use; operators take it as a parameter."""
     if (folder := os.environ.get("TOKENIZERS_DIR")) is not None:
-        return f"{folder}/word_bpe_49k.json"
+        return f"{folder}/{name}"
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
+
+
+def word_bpe() -> str:
+    return vocabulary("word_bpe_49k.json")
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +99,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).withColumn("held_out", fold == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_secret_scan, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup, op8_pii_surrogates, op9_language_id, op10_toxicity)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.alignment import alignment_digests
+
+    return alignment_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+_ALL = (
+    op1_embedding_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_secret_scan, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup,
+    op8_pii_surrogates, op9_language_id, op10_toxicity, op11_token_alignment,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _OP1 = """
 WITH RECURSIVE v AS (
