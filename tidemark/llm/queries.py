@@ -105,9 +105,21 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
 _ALL = (
     op1_embedding_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_secret_scan, op5_pack_sequences, op6_exact_top_k, op7_minhash_near_dedup,
-    op8_pii_surrogates, op9_language_id, op10_toxicity, op11_token_alignment,
+    op8_pii_surrogates, op9_language_id, op10_toxicity, op11_token_alignment, op12_embedding_whitening, op13_nearest_neighbours,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
