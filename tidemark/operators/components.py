@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: what ``spark.checkpoint.dir`` names, or else one in the warehouse, which executors share.
+
+    A warehouse on a local disk is shared with nobody: on a cluster that is refused.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+            if not sc.master.startswith("local") and folder.split(":")[0] in ("file", folder):
+                raise ValueError("executors can't read a local warehouse: set spark.checkpoint.dir to a folder that they share")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id for every node of ``edges`` (longs ``u``, ``v``): rows ``node``, ``component_id``.
 
@@ -13,9 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     equi-join, and each round is checkpointed in the folder that ``spark.checkpoint.dir`` names. Self loops and nulls
     are ignored; a node without an edge to another is absent from the result.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # without a folder of its own, the warehouse is what executors share
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    checkpoint_folder(edges.sparkSession)
     e = edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct().checkpoint()
     while not _stars(e):
         small = e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
