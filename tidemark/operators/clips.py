@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.intervals import points_in, subtract, union
+from tidemark.operators.selection import per_plan
 
 
 def words_in_clips(clips: DataFrame, words: DataFrame, by: list[str], width: int) -> DataFrame:
@@ -48,18 +48,22 @@ def without_duplicates(candidates: DataFrame, groups: DataFrame) -> DataFrame:
 def with_context(chosen: DataFrame, needs: DataFrame, by: str) -> DataFrame:
     """Chosen clips whose needed predecessors (``id``, ``needs``) are chosen too; a clip that goes takes those that need it
     along. Each plan is one group: its chosen clips and their needs."""
-    key = dict(chosen.dtypes)[by]
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(pdf["id"])
-        pairs = pdf[["id", "needs"]].dropna().astype("int64").itertuples(index=False)
-        pairs = [tuple(p) for p in pairs]
-        while gone := {i for i, n in pairs if i in left and n not in left}:
-            left -= gone
-        return pd.DataFrame({by: pdf[by].iloc[0], "id": sorted(left)}, columns=[by, "id"])
+    def prune(run: list[dict]) -> list[dict]:
+        left = {r["id"] for r in run}
+        pairs = [(r["id"], r["needs"]) for r in run if r["needs"] is not None]
+        dependants: dict[int, list[int]] = {}
+        for i, n in pairs:
+            dependants.setdefault(n, []).append(i)
+        gone = [n for n in dependants if n not in left]  # each is followed once
+        while gone:
+            for i in dependants.get(gone.pop(), ()):
+                if i in left:
+                    left.discard(i)
+                    gone.append(i)
+        return [{by: run[0][by], "id": i} for i in sorted(left)]
 
     both = chosen.select(by, "id").join(needs.select("id", "needs"), "id", "left")
-    return both.groupBy(by).applyInPandas(prune, f"{by} {key}, id long")
+    return per_plan(both, by, ["id"], prune, f"{by} {dict(chosen.dtypes)[by]}, id long")
 
 
 def bridges(events: DataFrame, used: DataFrame, by: list[str], order: list[str], roles: list[str], back: int = 4) -> DataFrame:

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.time import frame_at
+from tidemark.operators.selection import per_plan
 
 
 def bounded_plans(frame: DataFrame, by: str, at: str, width: int, most: int = 500) -> DataFrame:
@@ -35,25 +35,23 @@ def default_target(total_ms: Column) -> Column:
     return F.greatest(F.lit(30000), F.least(F.lit(600000), F.floor(total_ms / 10 + 0.5)))
 
 
-def greedy(candidates: DataFrame, budgets: DataFrame, by: str) -> DataFrame:
+def greedy(candidates: DataFrame, budgets: DataFrame | None, by: str) -> DataFrame:
     """Chooses candidates within each plan's budget: required ones first, then by falling value, each if it still fits.
 
-    ``candidates``: ``by``, ``id``, ``ms``, ``value``, ``required``; ``budgets``: ``by``, ``budget``. Equal values go by
+    ``candidates``: ``by``, ``id``, ``ms``, ``value``, ``required``; ``budgets``: ``by``, ``budget``, or none where candidates have
+    a ``budget`` themselves. Equal values go by
     value per millisecond, then by id. Returns the chosen rows with ``rank``. Plans without a budget choose nothing.
     """
-    schema = f"{by} {dict(candidates.dtypes)[by]}, id long, ms long, value double, rank int"
+    def choose(run: list[dict]) -> list[dict]:
+        left, out = run[0]["budget"], []
+        for r in run:
+            if r["ms"] <= left:
+                left -= r["ms"]
+                out.append({by: r[by], "id": r["id"], "ms": r["ms"], "value": r["value"], "rank": len(out) + 1})
+        return out
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = int(pdf["budget"].iloc[0])
-        order = pdf.assign(density=pdf["value"] / pdf["ms"].clip(lower=1)).sort_values(["required", "value", "density", "id"], ascending=[False, False, False, True])
-        rows = []
-        for r in order.itertuples():
-            if r.ms <= left:
-                left -= r.ms
-                rows.append((getattr(r, by), r.id, r.ms, r.value, len(rows) + 1))
-        return pd.DataFrame(rows, columns=[by, "id", "ms", "value", "rank"])
-
-    return candidates.join(budgets, by).groupBy(by).applyInPandas(choose, schema)
+    rows = (candidates if budgets is None else candidates.join(budgets, by)).select(by, "id", "ms", "value", "budget", (~F.coalesce(F.col("required"), F.lit(False))).alias("_late"), (-F.col("value")).alias("_value"), (-F.col("value") / F.greatest(F.lit(1), "ms")).alias("_density"))
+    return per_plan(rows, by, ["_late", "_value", "_density", "id"], choose, f"{by} {dict(candidates.dtypes)[by]}, id long, ms long, value double, rank int")
 
 
 def allocate(chosen: DataFrame, by: str, target: str) -> DataFrame:
@@ -62,13 +60,10 @@ def allocate(chosen: DataFrame, by: str, target: str) -> DataFrame:
     Preferred lengths are clamped; what is too much is taken from the slack in proportion (rounded up, in order), and
     what is missing is added in proportion to value in at most 8 passes (rounded down).
     """
-    schema = f"{by} {dict(chosen.dtypes)[by]}, id long, ms long"
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["position", "id"])
-        low, high = pdf["min_ms"].tolist(), pdf["max_ms"].tolist()
-        ms = [min(h, max(a, p)) for a, h, p in zip(low, high, pdf["preferred_ms"].tolist())]
-        goal = int(pdf[target].iloc[0])
+    def spread(run: list[dict]) -> list[dict]:
+        low, high, value = ([r[c] for r in run] for c in ("min_ms", "max_ms", "value"))
+        ms = [min(h, max(a, r["preferred_ms"])) for a, h, r in zip(low, high, run)]
+        goal = int(run[0][target])
         over = sum(ms) - goal
         if over > 0:
             slack = sum(m - a for m, a in zip(ms, low))
@@ -79,14 +74,15 @@ def allocate(chosen: DataFrame, by: str, target: str) -> DataFrame:
         for _ in range(8):
             missing = goal - sum(ms)
             room = [i for i, (m, h) in enumerate(zip(ms, high)) if m < h]
-            weight = sum(pdf["value"].iloc[i] for i in room)
+            weight = sum(value[i] for i in room)
             if missing <= 0 or not room or weight <= 0:
                 break
             for i in room:
-                ms[i] = min(high[i], ms[i] + math.floor(missing * pdf["value"].iloc[i] / weight))
-        return pd.DataFrame({by: pdf[by], "id": pdf["id"], "ms": ms})
+                ms[i] = min(high[i], ms[i] + math.floor(missing * value[i] / weight))
+        return [{by: r[by], "id": r["id"], "ms": m} for r, m in zip(run, ms)]
 
-    return chosen.groupBy(by).applyInPandas(spread, schema)
+    rows = chosen.select(by, "id", "position", "min_ms", "max_ms", "preferred_ms", "value", target)
+    return per_plan(rows, by, ["position", "id"], spread, f"{by} {dict(chosen.dtypes)[by]}, id long, ms long")
 
 
 def frame_layout(clips: DataFrame, by: list[str], rate: int, per: int = 1) -> DataFrame:

@@ -10,12 +10,19 @@ from tidemark.functions.embedding import hashing_embedding
 from tidemark.functions.numbers import dot, rounded
 from tidemark.functions.text import tokens
 from tidemark.operators import clips
-from tidemark.plans.decisions import candidates, greedy_selection, plans
-from tidemark.plans.registry import RANGES, query, ranges, table
+from tidemark.plans.decisions import GREEDY, candidates, greedy_selection, plans
+from tidemark.plans.registry import RANGES, merged, query, ranges, table
 
 HOUR = 3600000
 
 
+def _minus(name: str, a: str, b: str) -> str:
+    """SQL for ranges of ``a`` (merged) without those of ``b`` (disjoint): the gaps that b leaves in each."""
+    return f"""{name}_e AS (SELECT {a}.owner, {a}.start AS lo, {a}."end" AS hi, CASE WHEN {b}.start IS NOT NULL THEN greatest({b}.start, {a}.start) END AS x, CASE WHEN {b}.start IS NOT NULL THEN least({b}."end", {a}."end") END AS y FROM {a} LEFT JOIN {b} ON {a}.owner = {b}.owner AND {b}.start < {a}."end" AND {b}."end" > {a}.start),
+{name}_g AS (SELECT owner, lo, hi, coalesce(lag(y) OVER (PARTITION BY owner, lo ORDER BY x), lo) AS start, coalesce(x, hi) AS "end" FROM {name}_e UNION ALL SELECT owner, lo, hi, max(y), hi FROM {name}_e WHERE y IS NOT NULL GROUP BY owner, lo, hi),
+{name} AS (SELECT owner, start, "end" FROM {name}_g WHERE "end" > start)"""
+
+
 @query(f"""WITH {RANGES} SELECT c.owner, c.id, w.id AS word FROM r c JOIN r w ON c.owner = w.owner AND (w.start + w."end") // 2 >= c.start AND (w.start + w."end") // 2 < c."end" WHERE c.kind = 'view' AND w.kind = 'click'""")
 def words_in_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ranges(spark, sf_dir)
@@ -23,7 +30,10 @@ def words_in_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.words_in_clips(r.where("kind = 'view'").select("owner", "id", "start", "end"), words, ["owner"], HOUR).select("owner", "id", "word")
 
 
-@query()
+@query(f"""WITH {RANGES}, {merged("v", "kind = 'view'")}, {merged("w", "kind = 'click'")}, {merged("s", "kind = 'signup'")},
+  {_minus("q", "v", "w")}, u AS (SELECT owner, start + 120000 AS start, "end" - 120000 AS "end" FROM q WHERE "end" - start >= 700000), {_minus("l", "s", "u")}
+  SELECT b.owner, coalesce(pieces, 0) AS pieces, CAST(b.before - coalesce(a.after, 0) AS BIGINT) AS removed FROM (SELECT owner, sum("end" - start) AS before FROM s GROUP BY owner) b
+  LEFT JOIN (SELECT owner, count(*) AS pieces, sum("end" - start) AS after FROM l GROUP BY owner) a ON a.owner = b.owner""")
 def pause_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ranges(spark, sf_dir)
     of = lambda kind: r.where(F.col("kind") == kind).select("owner", "start", "end")
@@ -49,7 +59,10 @@ def duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.without_duplicates(c, groups)
 
 
-@query()
+@query(f"""WITH RECURSIVE {GREEDY}, n AS (SELECT plan, id, lag(id) OVER (PARTITION BY plan ORDER BY start, id) AS needs FROM p),
+  d AS (SELECT c.plan, c.id, n.needs FROM chosen c JOIN n ON n.plan = c.plan AND n.id = c.id AND n.id % 5 = 0 AND n.needs IS NOT NULL),
+  gone AS (SELECT plan, id FROM d WHERE needs NOT IN (SELECT id FROM chosen) UNION SELECT d.plan, d.id FROM gone JOIN d ON d.plan = gone.plan AND d.needs = gone.id)
+  SELECT plan, id FROM chosen WHERE id NOT IN (SELECT id FROM gone)""")
 def context_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = greedy_selection(spark, sf_dir)
     before = F.lag("id").over(Window.partitionBy("plan").orderBy("start", "id"))

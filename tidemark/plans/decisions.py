@@ -10,6 +10,7 @@ from tidemark.functions import conditions, judge
 from tidemark.functions import numbers as nm
 from tidemark.functions import time as tm
 from tidemark.operators import planner
+from tidemark.operators.selection import Segment, Taste, arc_positions, preferred_durations, select_for_arc
 from tidemark.operators.rules import Rule, RuleSet, directives
 from tidemark.plans.registry import RANGES, query, ranges, table
 
@@ -143,14 +144,55 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.bounded_plans(candidates(spark, sf_dir), "owner", "start", 10 * 86400000)
 
 
+def with_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each plan's budget."""
+    total = F.sum("ms").over(Window.partitionBy("plan"))
+    return plans(spark, sf_dir).withColumn("budget", planner.default_target(total))
+
+
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = plans(spark, sf_dir).groupBy("plan").agg(F.sum("ms").alias("total"))
     return total.select("plan", planner.default_target(F.col("total")).alias("budget"))
 
 
-@query()
+_PLANS = """c AS (SELECT user_id AS owner, event_id AS id, (epoch_us(ts) // 1000) AS start, CAST(floor(value * 1000) AS BIGINT) AS ms, value / 500 AS value, event_type = 'purchase' AS required, event_type AS kind FROM events),
+p AS (SELECT *, owner || '/' || (start // 864000000) || '/' || ((row_number() OVER (PARTITION BY owner, start // 864000000 ORDER BY start, id) - 1) // 500) AS plan FROM c),
+b AS (SELECT *, greatest(30000, least(600000, CAST(floor(sum(ms) OVER (PARTITION BY plan) / 10 + 0.5) AS BIGINT))) AS budget FROM p)"""
+#: Greedy choice as a recursion over each plan's candidates in their order.
+GREEDY = f"""{_PLANS}, o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY required DESC, value DESC, value / greatest(1, ms) DESC, id) AS k FROM b WHERE kind <> 'error'),
+g AS (SELECT plan, 0::BIGINT AS k, max(budget) AS room, 0::BIGINT AS id, 0::BIGINT AS ms, 0::DOUBLE AS value, false AS took FROM o GROUP BY plan
+  UNION ALL SELECT o.plan, o.k, CASE WHEN o.ms <= room THEN room - o.ms ELSE room END, o.id, o.ms, o.value, o.ms <= room FROM g JOIN o ON o.plan = g.plan AND o.k = g.k + 1),
+chosen AS (SELECT plan, id, ms, value, CAST(row_number() OVER (PARTITION BY plan ORDER BY k) AS INTEGER) AS rank FROM g WHERE took)"""
+
+
+@query(f"""WITH RECURSIVE {GREEDY} SELECT * FROM chosen""")
 def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.greedy(plans(spark, sf_dir).where("kind <> 'error'"), budgets(spark, sf_dir), "plan")
+    c = with_budgets(spark, sf_dir)
+    return planner.greedy(c.where("kind <> 'error'"), None, "plan")
+
+
+ARC = [Segment("opening", 0.2, ("signup",), ("purchase", "signup")), Segment("middle", 0.6, ("click",)), Segment("ending", 0.2, ("view",), ("view",))]
+TASTE = Taste(continuity_bonus=0.05, duplicate_penalty=0.2, max_operations=14)
+
+
+def arc_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their part of an arc and the length they should get, and their relations: an event continues the one before it in
+    its plan, the nearer the more, and repeats the one before it of its kind, the more alike their values are."""
+    c = with_budgets(spark, sf_dir).where("ms > 0").withColumn("min_ms", F.least(F.lit(1500).cast("long"), F.col("ms"))).withColumn("max_ms", F.least(F.lit(30000).cast("long"), F.col("ms")))
+    c = arc_positions(preferred_durations(c, ["plan"]), ["plan"], ["start", "id"], "ms", ARC, F.when(F.col("id") % 17 == 0, "ending"))
+    before, alike = Window.partitionBy("plan").orderBy("start", "id"), Window.partitionBy("plan", "kind").orderBy("start", "id")
+    pairs = c.select(F.lag("id").over(before).alias("before"), (F.col("start") - F.lag("start").over(before)).alias("gap"), F.lag("id").over(alike).alias("same"), (F.col("value") - F.lag("value").over(alike)).alias("step"), "id")
+    near = pairs.where("before is not null").select(F.col("before").alias("source"), F.col("id").alias("target"), F.lit("continuation_of").alias("kind"), (1 / (1 + F.col("gap") / 3600000)).alias("strength"))
+    same = pairs.where("same is not null").select(F.col("same").alias("source"), F.col("id").alias("target"), F.lit("duplicate_of").alias("kind"), F.greatest(F.lit(0.0), 1 - 20 * F.abs("step")).alias("strength"))
+    rows = c.select("plan", "id", F.col("preferred_ms").alias("ms"), "value", ((F.col("kind") == "purchase") & (F.col("id") % 11 == 0)).alias("required"), F.col("kind").alias("role"), "segment", F.col("budget").alias("target"))
+    return rows, near.unionByName(same.where("strength > 0"))
+
+
+@query()
+def arc_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against a loop that ranks everything again after each choice."""
+    rows, relations = arc_candidates(spark, sf_dir)
+    return select_for_arc(rows, relations, "plan", ARC, TASTE).withColumn("worth", nm.rounded(F.col("worth"), 6))
 
 
 @query()
