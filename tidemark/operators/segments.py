@@ -1,13 +1,18 @@
 """Segmentation of an asset's time: boundaries thinned, atoms of bounded length, and greedy merging of weak boundaries.
 
-The thinning and the merge depend on what was kept before, so they run as one ordered pass per asset.
+The thinning and the merge depend on what was kept before, so they run as an ordered pass per asset: the thinning as a scan of
+sorted rows, the merge in memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def first_matching(text: Column, ladder: list[tuple[str, str]]) -> Column:
@@ -19,14 +24,37 @@ def first_matching(text: Column, ladder: list[tuple[str, str]]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def kept_apart(points: DataFrame, by: list[str], at: str, least: int, since: str | None = None) -> DataFrame:
+    """Points of which each is ``least`` or more behind the last one kept, in order; ``since`` (a column) stands before the first.
+
+    Rows are sorted by Spark and scanned; the scan holds one instant, however many points a group has. Of equal points one stays.
+    """
+    names = points.columns
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            times = batch.column(at).to_pylist()
+            starts = batch.column(since).to_pylist() if since else [None] * len(times)
+            keep = []
+            for i, (k, t, s) in enumerate(zip(keys, times, starts)):
+                if k != group:
+                    group, last = k, s
+                if last is None or t - last >= least:
+                    keep.append(i)
+                    last = t
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in points.dtypes)
+    return points.repartition(*by).sortWithinPartitions(*by, at).select(*names).mapInArrow(scan, schema)
+
+
 def thinned(frame: DataFrame, by: list[str], at: str, least: int) -> DataFrame:
     """Spans between boundaries, of which those closer than ``least`` to the last one kept are dropped. Rows ``start``,
-    ``end`` (null for the last span). Each group's boundaries are folded in one sorted array."""
-    times = frame.where(F.col(at).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_set(at)).alias("ts"))
-    # The last one kept is all that the fold looks at.
-    kept = F.aggregate("ts", F.array().cast("array<bigint>"), lambda done, t: F.when(F.coalesce(t - F.try_element_at(done, F.lit(-1)) >= least, F.lit(True)), F.concat(done, F.array(t))).otherwise(done))
-    spans = times.withColumn("k", kept).select(*by, "k", F.posexplode("k").alias("i", "start"))
-    return spans.select(*by, "start", F.get("k", F.col("i") + 1).alias("end"))
+    ``end`` (null for the last span)."""
+    kept = kept_apart(frame.where(F.col(at).isNotNull()).select(*by, at).distinct(), by, at, least)
+    return kept.select(*by, F.col(at).alias("start"), F.lead(at).over(Window.partitionBy(*by).orderBy(at)).alias("end"))
 
 
 def windows(frame: DataFrame, length: int, least: int = 200) -> DataFrame:
