@@ -95,3 +95,46 @@ def role_weights(kind: Column, position: Column, emotional: Column, speechless:
         "filler": 0.1 + _if(filler, 0.4),
     }
     return F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), v)])
+
+
+def entropy_distribution(mean: Column, levels: int) -> Column:
+    """Probabilities of levels 0 to ``levels`` - 1 with this mean that assume nothing else: p_i in proportion to exp(rate * i), the rate
+    found by 60 halvings of [-60, 60] at most. A mean at an end, or beyond, is a spike there."""
+    last = levels - 1
+    weights = lambda rate: [F.exp(rate * i - F.when(rate >= 0, rate * last).otherwise(0.0)) for i in range(levels)]
+
+    def halve(s: Column, _: Column) -> Column:
+        rate = (s["low"] + s["high"]) / 2
+        w = weights(rate)
+        now = sum((x * i for i, x in enumerate(w)), F.lit(0.0)) / sum(w[1:], w[0])
+        near = F.abs(now - mean) < 1e-9
+        kept = F.struct(s["low"].alias("low"), s["high"].alias("high"), s["rate"].alias("rate"), s["done"].alias("done"))
+        low, high = F.when(~near & (now < mean), rate).otherwise(s["low"]), F.when(~near & (now >= mean), rate).otherwise(s["high"])
+        return F.when(s["done"], kept).otherwise(F.struct(low.alias("low"), high.alias("high"), rate.alias("rate"), near.alias("done")))
+
+    start = F.struct(F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"), F.lit(0.0).alias("rate"), F.lit(False).alias("done"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve, lambda s: s["rate"])
+    spike = lambda k: F.array(*[F.lit(float(i == k)) for i in range(levels)])
+    shares = F.element_at(F.transform(F.array(found), lambda rate: F.array(*[x / sum(weights(rate)[1:], weights(rate)[0]) for x in weights(rate)])), 1)
+    return F.when(mean <= 0, spike(0)).when(mean >= last, spike(last)).otherwise(shares)
+
+
+def two_point_distribution(mean: Column, levels: int) -> Column:
+    """The narrowest one with this mean: the two levels around it."""
+    at = F.greatest(F.lit(0.0), F.least(F.lit(float(levels - 1)), mean))
+    return F.array(*[F.greatest(F.lit(0.0), 1 - F.abs(at - i)) for i in range(levels)])
+
+
+def unit_distribution(value: Column, levels: int, concentration: float = 0.4) -> Column:
+    """A value from 0 to 1 as probabilities of ``levels`` ordered levels with that mean, to four places: a blend of the widest and the
+    narrowest such distribution. One level takes all."""
+    if levels <= 1:
+        return F.array(F.lit(1.0))
+    mean, c = clamp(value) * (levels - 1), min(1.0, max(0.0, concentration))
+    return F.zip_with(entropy_distribution(mean, levels), two_point_distribution(mean, levels), lambda a, b: F.floor(((1 - c) * a + c * b) * 10000 + 0.5) / 10000)
+
+
+def unit_value(probabilities: Column, levels: int) -> Column:
+    """The mean of such a distribution on the scale from 0 to 1, to four places."""
+    total = F.aggregate(F.transform(probabilities, lambda p, i: p * i), F.lit(0.0), lambda a, x: a + x)
+    return F.floor(total / max(1, levels - 1) * 10000 + 0.5) / 10000

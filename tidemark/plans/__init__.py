@@ -1,6 +1,6 @@
 """Registered queries, each with its DuckDB equivalent where SQL can express it."""
 
-from tidemark.plans import clips, cuts, decisions, events, knowledge, observations, ranges, signals, syncs, takes, texts, trims
+from tidemark.plans import clips, cuts, decisions, events, knowledge, materials, observations, ranges, signals, syncs, takes, texts, trims
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "clips", "cuts", "decisions", "events", "knowledge", "observations", "ranges", "signals", "syncs", "takes", "texts", "trims"]
+__all__ = ["ORACLES", "QUERIES", "clips", "cuts", "decisions", "events", "knowledge", "materials", "observations", "ranges", "signals", "syncs", "takes", "texts", "trims"]
