@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import clamp
 
 
+# Words that point back, as an utterance begins.
+OPENERS = [
+    "それ", "これ", "あれ", "そこ", "ここ", "その", "この", "あの", "だから", "でも", "そして",
+    "this", "that", "these", "those", "so ", "but ", "and ", "then ", "it ",
+]
+
+
 def _if(test: Column, amount: float) -> Column:
     return F.when(test, amount).otherwise(0.0)
 

@@ -142,3 +142,36 @@ def wrapped(text: Column, limit: int = SPACED_LINE) -> Column:
     best = F.array_min(F.filter(scored, lambda s: s["fits"]))
     two = F.array(head(best["at"]), tail(best["at"]))
     return F.when(F.length(text) <= limit, F.array(text)).when((F.length(text) > limit * LINES) | (F.size(words) < 2) | best.isNull(), _greedy(words, limit)).otherwise(two)
+
+
+#: Marks and small letters that no line of a dense script begins with, and marks that one rather ends with. Fixed values.
+NOT_FIRST = "、。，．・：；？！ー」』）】〕〉》”’ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮヵヶ!?,.)]"
+LAST = "、。，．！？!?,"
+
+
+def wrapped_dense(text: Column, limit: int = DENSE_LINE) -> Column:
+    """Lines of a caption of a script without spaces: two, as equal as they can be, rather behind a mark and rather the second longer;
+    or lines filled one by one where two won't hold it. No line begins with a closing mark or a small letter, if that can be."""
+    chars = F.split(text, "")
+    n = F.size(chars)
+    one = lambda marks, c: F.contains(F.lit(marks), c)
+    part = lambda at, m: F.trim(F.array_join(F.slice(chars, at + 1, m), ""))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda at: (at <= limit) & (n - at <= limit) & ~one(NOT_FIRST, F.get(chars, at)))
+    score = lambda at: F.abs(2 * at - n) - F.when(one(LAST, F.get(chars, at - 1)), limit).otherwise(0) + F.when(2 * at > n, 0.5).otherwise(0.0)
+    best = F.coalesce(F.array_min(F.transform(places, lambda at: F.struct(score(at).alias("score"), at.alias("at"))))["at"], F.lit(limit))
+    two = F.filter(F.array(part(F.lit(0), best), part(best, F.greatest(F.lit(0), n - best))), lambda line: line != "")
+
+    def add(done: Column, _: Column) -> Column:
+        at = done["at"]
+        fit = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.lit(limit)), lambda m: (m == 1) | ~one(NOT_FIRST, F.get(chars, at + m)))), F.lit(1))
+        m = F.when(n - at <= limit, n - at).otherwise(fit)
+        more = F.struct((at + m).alias("at"), F.concat(done["lines"], F.array(part(at, m))).alias("lines"))
+        return F.when(at >= n, F.struct(at.alias("at"), done["lines"].alias("lines"))).otherwise(more)
+
+    filled = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("lines")), add, lambda d: d["lines"])
+    return F.when(n <= limit, F.array(text)).when(n > limit * LINES, filled).otherwise(two)
+
+
+def caption_lines(text: Column) -> Column:
+    """Lines of a caption, by its script."""
+    return F.when(is_dense(text), wrapped_dense(text)).otherwise(wrapped(text))

@@ -61,9 +61,10 @@ def text_roles(reads: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """Adds ``text_role``: ``junk`` for reads under two characters, ``subtitle`` for sentence-like text low in the picture
     of an asset that has such text at ``least`` moments or more, else ``scene``. Reads have ``start``, ``text``, ``centre``."""
     low = (F.size(F.split(F.trim("text"), r"\s+")) >= 3) & (F.col("centre") >= 0.75)
-    moments = F.size(F.collect_set(F.when(low, F.col("start"))).over(Window.partitionBy(*by)))
-    role = F.when(F.length(F.trim("text")) < 2, "junk").when(low & (moments >= least), "subtitle").otherwise("scene")
-    return reads.withColumn("text_role", role)
+    # Moments are counted apart, so that no row carries those of its asset.
+    moments = reads.where(low).select(*by, "start").distinct().groupBy(*by).agg(F.count("start").alias("_moments"))
+    role = F.when(F.length(F.trim("text")) < 2, "junk").when(low & (F.col("_moments") >= least), "subtitle").otherwise("scene")
+    return reads.join(moments, by, "left").withColumn("text_role", role).drop("_moments")
 
 
 def tier(decisive: Column, failed: Column) -> Column:

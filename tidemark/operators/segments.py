@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.selection import per_plan
+
 
 def first_matching(text: Column, ladder: list[tuple[str, str]]) -> Column:
     """Name of the first pattern that text matches; null if none does."""
@@ -83,31 +84,38 @@ def merged(frame: DataFrame, by: str, least: int, most: int, threshold: float) -
     boundary below ``threshold`` goes, again and again; no merge may exceed ``most`` or a separation of 1.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = [[int(r.start), int(r.end), float(r.separation)] for r in pdf.sort_values(["start", "end", "separation"]).itertuples()]
-
-        def join(i: int) -> None:
-            a[i][1] = max(a[i][1], a[i + 1][1])
-            del a[i + 1]
-
-        fits = lambda i: max(a[i][1], a[i + 1][1]) - a[i][0] <= most and a[i + 1][2] < 1
-        i = 0
-        while i < len(a):
-            if a[i][1] - a[i][0] < least:
-                left, right = i > 0 and fits(i - 1), i + 1 < len(a) and fits(i)
-                if left and (not right or a[i][2] <= a[i + 1][2]):
-                    join(i - 1)
-                    i = max(0, i - 1)
-                    continue
-                if right:
-                    join(i)
-                    continue
-            i += 1
-        while weak := [(a[i + 1][2], i) for i in range(len(a) - 1) if a[i + 1][2] < threshold and fits(i)]:
-            join(min(weak)[1])
-        return pd.DataFrame([(pdf[by].iloc[0], s, e) for s, e, _ in a], columns=[by, "start", "end"])
-
-    return frame.groupBy(by).applyInPandas(merge, f"{by} {dict(frame.dtypes)[by]}, start long, end long")
+    def merge(run: list[dict]) -> list[dict]:
+        fits = lambda a, b: max(a[1], b[1]) - a[0] <= most and b[2] < 1
+        done: list[list] = []
+        rest = [[int(r["start"]), int(r["end"]), float(r["separation"])] for r in reversed(run)]
+        while rest:
+            now = rest.pop()
+            while now[1] - now[0] < least:
+                left, right = bool(done) and fits(done[-1], now), bool(rest) and fits(now, rest[-1])
+                if left and (not right or now[2] <= rest[-1][2]):
+                    now = [done[-1][0], max(done[-1][1], now[1]), done.pop()[2]]
+                elif right:
+                    now[1] = max(now[1], rest.pop()[1])
+                else:
+                    break
+            done.append(now)
+        # Boundaries never change, and what is too long once stays so: the weakest first, each is looked at once.
+        into = list(range(len(done)))
+
+        def first(i: int) -> int:
+            while into[i] != i:
+                into[i] = i = into[into[i]]
+            return i
+
+        for _, i in sorted((x[2], i) for i, x in enumerate(done) if i and x[2] < threshold):
+            a = first(i - 1)
+            if fits(done[a], done[i]):
+                done[a][1] = max(done[a][1], done[i][1])
+                into[i] = a
+        return [{by: run[0][by], "start": s, "end": e} for i, (s, e, _) in enumerate(done) if into[i] == i]
+
+    rows = frame.select(by, "start", "end", "separation")
+    return per_plan(rows, by, ["start", "end", "separation"], merge, f"{by} {dict(frame.dtypes)[by]}, start long, end long")
 
 
 def separation(forced: Column, speech_spans: Column, terms: dict[str, tuple[Column, float]]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.numbers import nearest_rank, rounded, silence_threshold
+from tidemark.functions.numbers import rank_at, silence_threshold
 
 
 def onsets(frame: DataFrame, by: list[str], value: str, floor: float = -70.0) -> DataFrame:
@@ -37,9 +37,11 @@ def change_ahead(frame: DataFrame, by: list[str], value: str, hops: int) -> Data
 
 def levels(frame: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per asset the 10th and 90th percentile (nearest rank) and the threshold under which it is silent."""
-    v = frame.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    low, high = nearest_rank(F.col("v"), 0.1), nearest_rank(F.col("v"), 0.9)
-    return v.select(*by, low.alias("p10"), high.alias("p90"), silence_threshold(low, high).alias("threshold"))
+    order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    v = frame.select(*by, value).withColumns({"_i": F.row_number().over(order), "_n": F.count(value).over(Window.partitionBy(*by))})
+    at = lambda q: F.coalesce(F.max(F.when((F.col("_n") > 0) & (F.col("_i") == rank_at(F.col("_n"), q)), F.col(value))), F.lit(-100.0))
+    both = v.groupBy(*by).agg(at(0.1).alias("p10"), at(0.9).alias("p90"))
+    return both.withColumn("threshold", silence_threshold(F.col("p10"), F.col("p90")))
 
 
 def quiet_runs(frame: DataFrame, by: list[str], value: str, least: int) -> DataFrame:
@@ -111,9 +113,3 @@ def _offset(x: np.ndarray, y: np.ndarray, apart: int) -> tuple[float | None, flo
     far = np.abs(np.arange(n) - k) >= apart
     rival = float(c[far].max(initial=0.0))
     return round(lag, 4), round(float(c[k]) / rival, 4) if rival > 0 else None
-
-
-def level_table(frame: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Rounded levels, as they are reported."""
-    t = levels(frame, by, value)
-    return t.select(*by, *[rounded(F.col(c), 2).alias(c) for c in ("p10", "p90", "threshold")])

@@ -15,8 +15,6 @@ from tidemark.operators import cuts, segments
 from tidemark.operators import intervals as iv
 from tidemark.plans.registry import RANGES, query, ranges, table
 
-# Words that point back, as an utterance begins.
-DEICTIC = ["this", "that", "these", "those", "so ", "but ", "and ", "then ", "it "]
 KINDS = ["travel", "departure", "arrival", "reaction", "explanation", "farewell", "b_roll", "other"]
 
 
@@ -40,9 +38,9 @@ def flag_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", rounded(one, 4).alias("establishing"), rounded(two, 4).alias("opening"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN """ + " OR ".join(f"starts_with(lower(text), '{w}')" for w in DEICTIC) + """ THEN 0.55::DOUBLE ELSE 0.15 END + CASE WHEN role = 'user' THEN 0.25::DOUBLE ELSE 0 END AS needs FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN """ + " OR ".join(f"starts_with(lower(text), '{w}')" for w in judge.OPENERS) + """ THEN 0.55::DOUBLE ELSE 0.15 END + CASE WHEN role = 'user' THEN 0.25::DOUBLE ELSE 0 END AS needs FROM conversations""")
 def context_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", judge.needs_context(F.lower("text"), F.col("role") == "user", DEICTIC).alias("needs"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", judge.needs_context(F.lower("text"), F.col("role") == "user", judge.OPENERS).alias("needs"))
 
 
 @query(f"""WITH e AS (SELECT event_id, list_extract({KINDS}, CAST(event_id % 8 AS INTEGER) + 1) AS kind, {_PLACE} AS p, {_FEEL} AS f, user_id % 2 = 0 AS quiet, user_id % 3 = 0 AS bare, user_id % 5 = 0 AS blind FROM events),
@@ -142,9 +140,9 @@ def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.top_reasons(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("reason"), decision.alias("decision")), "user_id")
 
 
-@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, min(turn) AS start, max(turn) + 1 AS "end", count(*) AS n, array_to_string(list(left(coalesce(text, ''), 60) ORDER BY turn) FILTER (WHERE n <= 3), ' / ') AS summary FROM o GROUP BY conv_id""")
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, min(turn) AS start, max(turn) + 1 AS "end", count(*) AS n, array_to_string(list(coalesce(text, '') ORDER BY turn) FILTER (WHERE n <= 3), ' / ') AS summary FROM o GROUP BY conv_id""")
 def chapter_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("start"), (F.col("turn") + 1).alias("end"), F.left(F.coalesce("text", F.lit("")), F.lit(60)).alias("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("start"), (F.col("turn") + 1).alias("end"), "text")
     return cuts.chapter_summaries(c, ["conv_id"], "start", "text")
 
 
@@ -163,12 +161,13 @@ def validation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.reports(table(spark, sf_dir, "lineitem").select("l_orderkey", severity.alias("severity")), "l_orderkey")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, rtrim(left(text, 84)) AS t FROM conversations WHERE text IS NOT NULL), w AS (SELECT *, string_split(t, ' ') AS ws FROM c),
-  p AS (SELECT conv_id, turn, array_to_string(ws[1:k], ' ') AS a, array_to_string(ws[k + 1:], ' ') AS b, k FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM w WHERE length(t) > 42)),
-  b AS (SELECT conv_id, turn, arg_min([a, b], abs(length(a) - length(b)) + CASE WHEN length(a) > length(b) THEN 0.5 ELSE 0 END + k / 1e6) AS two FROM p WHERE length(a) <= 42 AND length(b) <= 42 GROUP BY ALL)
-  SELECT w.conv_id, w.turn, CASE WHEN length(t) <= 42 THEN t ELSE array_to_string(two, '|') END AS lines FROM w LEFT JOIN b USING (conv_id, turn) WHERE length(t) <= 42 OR two IS NOT NULL""")
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, text AS t FROM conversations WHERE text IS NOT NULL), w AS (SELECT *, string_split(t, ' ') AS ws FROM c),
+  p AS (SELECT conv_id, turn, array_to_string(ws[1:k], ' ') AS a, array_to_string(ws[k + 1:], ' ') AS b, k FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM w WHERE length(t) > 42 AND length(t) <= 84)),
+  b AS (SELECT conv_id, turn, arg_min([a, b], abs(length(a) - length(b)) + CASE WHEN length(a) > length(b) THEN 0.5 ELSE 0 END + k / 1e6) AS two FROM p WHERE length(a) <= 42 AND length(b) <= 42 GROUP BY ALL),
+  g AS (SELECT conv_id, turn, ws, 0 AS k, '' AS line, '' AS done FROM w WHERE length(t) > 42
+    UNION ALL SELECT conv_id, turn, ws, k + 1, CASE WHEN line <> '' AND length(line) + 1 + length(ws[k + 1]) <= 42 THEN line || ' ' || ws[k + 1] ELSE ws[k + 1] END,
+      CASE WHEN line = '' OR length(line) + 1 + length(ws[k + 1]) <= 42 THEN done ELSE done || line || '|' END FROM g WHERE k < len(ws))
+  SELECT w.conv_id, w.turn, CASE WHEN length(t) <= 42 THEN t WHEN two IS NOT NULL THEN array_to_string(two, '|') ELSE done || line END AS lines FROM w LEFT JOIN b USING (conv_id, turn) LEFT JOIN (SELECT conv_id, turn, done, line FROM g WHERE k = len(ws)) g USING (conv_id, turn)""")
 def wrapped_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions that two lines hold; those that take more are tested against a brute-force version."""
-    t = F.rtrim(F.left(F.col("text"), F.lit(84)))
-    c = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", t.alias("t"), tx.wrapped(t).alias("l"))
-    return c.where((F.size("l") <= 2) & F.forall("l", lambda x: tx.display_length(x) <= 42) & ((F.size("l") == 2) | (F.length("t") <= 42))).select("conv_id", "turn", F.array_join("l", "|").alias("lines"))
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", F.array_join(tx.caption_lines(F.col("text")), "|").alias("lines"))

@@ -112,14 +112,19 @@ def robust_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("query_id", nm.rounded(F.col("centre")).alias("centre"), nm.rounded(F.col("spread")).alias("spread"), "undiscriminating")
 
 
-@query(f"""WITH {_CALIBRATED}, z AS (SELECT s.*, CASE WHEN centre + 4 * spread > 1 OR score <= centre THEN 0 ELSE least(1, (score - centre) / spread / 4) END AS strength FROM s JOIN c USING (query_id) WHERE n >= 5 AND spread > 0),
-  b AS (SELECT query_id, id, floor((0.65 * strength + 0.35 * CASE WHEN id % 7 = query_id % 7 THEN 1 ELSE 0 END) * 10000 + 0.5) / 10000 AS score FROM z),
+@query(f"""WITH {_CALIBRATED}, f AS (SELECT doc_id AS id, {_FEATURES.format('text')} AS f FROM documents), qf AS (SELECT id AS query_id, len(f) AS n, unnest(f) AS w FROM f WHERE id % 50 = 0), ef AS (SELECT id, unnest(f) AS w FROM f),
+  lex AS (SELECT query_id, id, count(*) / any_value(n) AS coverage FROM qf JOIN ef USING (w) GROUP BY query_id, id),
+  z AS (SELECT s.*, CASE WHEN centre IS NULL OR n < 5 OR spread <= 0 THEN score WHEN centre + 4 * spread > 1 OR score <= centre THEN 0 ELSE least(1, (score - centre) / spread / 4) END AS strength FROM s JOIN c USING (query_id)),
+  b AS (SELECT query_id, id, floor((0.65 * strength + 0.35 * coalesce(coverage, 0)) * 10000 + 0.5) / 10000 AS score FROM z LEFT JOIN lex USING (query_id, id)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE score > 0) SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries are documents with the vector of their number; a query is searched among the entries of its kind (label)."""
     s = _vectors(spark, sf_dir)
-    both = s.join(search.calibration(s, ["query_id"]), "query_id").where("centre is not null")
-    lexical = F.when(F.col("id") % 7 == F.col("query_id") % 7, 1.0).otherwise(0.0)  # the tables have no text for vectors
-    out = both.select("query_id", "id", search.blended(F.col("score"), F.col("centre"), F.col("spread"), F.col("undiscriminating"), lexical).alias("score"))
+    both = s.join(search.calibration(s, ["query_id"]), "query_id")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.features(F.col("text")).alias("features"))
+    lexical = search.lexical(d.where("id % 50 = 0").withColumnRenamed("id", "query_id"), d)
+    both = both.join(lexical, ["query_id", "id"], "left")
+    out = both.select("query_id", "id", search.blended(F.col("score"), F.col("centre"), F.col("spread"), F.col("undiscriminating"), F.coalesce("coverage", F.lit(0.0))).alias("score"))
     return search.best(out.where("score > 0"), 10, ["query_id"])
 
 
