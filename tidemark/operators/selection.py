@@ -100,6 +100,31 @@ def per_plan(frame: DataFrame, by: str, order: list[str], choose: Callable[[list
     return frame.repartition(by).sortWithinPartitions(by, *order).mapInArrow(walk, schema)
 
 
+def scanned(frame: DataFrame, by: list[str], order: list[str], start: Callable[[dict], dict], step: Callable[[dict, dict], list[dict]], finish: Callable[[dict], list[dict]], schema: str) -> DataFrame:
+    """An ordered pass over each group's rows that holds no more than a state: ``start`` makes it from the first row, ``step`` takes each
+    row and gives what is known by then, ``finish`` the rest. One shuffle by ``by``; a group may be of any size."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    into = to_arrow_schema(StructType.fromDDL(schema))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, None
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                key = tuple(row[c] for c in by)
+                if state is None or key != group:
+                    out += finish(state) if state is not None else []
+                    group, state = key, start(row)
+                out += step(state, row)
+            yield pa.RecordBatch.from_pylist(out, into)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist(finish(state), into)
+
+    return frame.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(walk, schema)
+
+
 def select_for_arc(candidates: DataFrame, relations: DataFrame, by: str, arc: Sequence[Segment], taste: Taste) -> DataFrame:
     """Chooses candidates of each plan, part by part of its arc, and says why.
 

@@ -1,6 +1,6 @@
 """Registered queries, each with its DuckDB equivalent where SQL can express it."""
 
-from tidemark.plans import clips, cuts, decisions, events, knowledge, materials, observations, pictures, ranges, signals, syncs, takes, texts, trims, validations
+from tidemark.plans import budgets, clips, cuts, decisions, events, knowledge, materials, observations, pictures, ranges, signals, syncs, takes, texts, trims, validations
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "clips", "cuts", "decisions", "events", "knowledge", "materials", "observations", "pictures", "ranges", "signals", "syncs", "takes", "texts", "trims", "validations"]
+__all__ = ["ORACLES", "QUERIES", "budgets", "clips", "cuts", "decisions", "events", "knowledge", "materials", "observations", "pictures", "ranges", "signals", "syncs", "takes", "texts", "trims", "validations"]
