@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import embedding
 from tidemark.functions import text as tx
 from tidemark.operators import review, segments, signals
 
@@ -98,3 +99,15 @@ def test_dense_captions(spark):
     assert got == {i: dense_by_hand(t) for i, t in enumerate(texts)}
     both = {r["i"]: r["l"] for r in frame.select("i", tx.caption_lines(F.col("t")).alias("l")).collect()}
     assert both[0] == got[0] and both[302] == got[302]
+
+
+def test_embeddings_of_batches():
+    rng = random.Random(9)
+    words = ["harbour", "a", "夜景", "é", "😀x", "x" * 70, "the", "of"]
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 30))] for _ in range(60)] + [[], None, ["a"]]
+    some = ["w:a", "c2:é😀", "", "w:" + "夜" * 40, "c3:abc"]
+    own, sign = embedding.hashes(some)
+    assert own.tolist() == [embedding.fnv1a(f) for f in some] and sign.tolist() == [embedding.fnv1a(f"{f}#sign") for f in some]
+    for t, v in zip(texts, embedding.embedded_batch(texts)):
+        assert (t is None) == (v is None) and (t is None or max(abs(a - b) for a, b in zip(v, embedding.embedded(t))) < 1e-12)
+    assert embedding.embedded_batch([]) == []

@@ -11,15 +11,15 @@ from pyspark.sql.window import Window
 from tidemark.functions.numbers import clamp, rounded
 from tidemark.operators import intervals as iv
 from tidemark.operators import planner, segments
+from tidemark.operators.components import checkpoint_folder
 from tidemark.plans.registry import RANGES, merged, query, ranges, table
 from tidemark.sources import files, writers
 from tidemark.streaming import windows
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, or below the warehouse where the session names none."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'video' WHEN page_id % 4 = 1 THEN 'audio' END AS kind FROM pages""")
