@@ -111,3 +111,26 @@ def test_embeddings_of_batches():
     for t, v in zip(texts, embedding.embedded_batch(texts)):
         assert (t is None) == (v is None) and (t is None or max(abs(a - b) for a, b in zip(v, embedding.embedded(t))) < 1e-12)
     assert embedding.embedded_batch([]) == []
+
+
+def test_chapters_limited(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for owner in range(20):
+        groups, at, i = [], 0, 0
+        for chapter in range(1, rng.choice([3, 12, 13, 30]) + 1):
+            group = []
+            for _ in range(rng.randint(1, 4)):
+                group.append((owner, owner * 1000 + i, at, at + 10, rng.random() < 0.3 if not group else False, chapter))
+                i, at = i + 1, at + 10
+            groups.append(group)
+            at += rng.choice([0, 0, 50, 700])
+        rows += [e for g in groups for e in g]
+        while len(groups) > 12:
+            free = [(groups[k][0][2] - groups[k - 1][-1][3], len(groups[k - 1]) + len(groups[k]), k) for k in range(1, len(groups)) if not groups[k][0][4]]
+            k = min(free or [(groups[k][0][2] - groups[k - 1][-1][3], len(groups[k - 1]) + len(groups[k]), k) for k in range(1, len(groups))])[2]
+            groups[k - 1 : k + 1] = [groups[k - 1] + groups[k]]
+        want |= {(e[1], n + 1) for n, g in enumerate(groups) for e in g}
+    frame = spark.createDataFrame(rows, "owner long, id long, start long, end long, card boolean, chapter long").repartition(5)
+    assert {(r["id"], r["chapter"]) for r in review.chapters_limited(frame, "owner").collect()} == want
+    assert review.chapters_limited(frame.limit(0), "owner").count() == 0

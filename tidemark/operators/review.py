@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.intervals import overlap_join
+from tidemark.operators.selection import per_plan
 
 
 def chapter_breaks(events: DataFrame, by: list[str], gap: int) -> DataFrame:
@@ -28,6 +31,50 @@ def chapters_folded(events: DataFrame, by: list[str], least: int = 2) -> DataFra
     return marked.withColumn("_into", into).withColumn("chapter", number.cast("long")).drop("_keep", "_kept", "_into")
 
 
+def chapters_limited(events: DataFrame, by: str, most: int = 12) -> DataFrame:
+    """Chapters joined at their weakest boundary until an owner has ``most``: ``chapter`` is numbered anew.
+
+    Weakest is the shortest time between the last event before and the first after; of equal ones that with the fewest events on both sides,
+    then the first. A chapter that a title card begins is joined to the one before only when no other boundary is left. One row for
+    each chapter comes to the pass over an owner, none for its events.
+    """
+    first, last = F.struct("start", "id"), F.struct("start", "id")
+    groups = events.groupBy(by, "chapter").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max_by("end", last).alias("end"), F.min_by(F.coalesce(F.col("card"), F.lit(False)), first).alias("card"))
+
+    def join(run: list[dict]) -> list[dict]:
+        n = [r["n"] for r in run]
+        before, after, version = list(range(-1, len(run) - 1)), list(range(1, len(run) + 1)), [0] * len(run)
+        gap = [0] + [max(0, b["start"] - a["end"]) for a, b in zip(run, run[1:])]
+        entry = lambda i: (run[i]["card"], gap[i], n[before[i]] + n[i], i, version[i])
+        queue = [entry(i) for i in range(1, len(run))]
+        heapq.heapify(queue)
+        into = list(range(len(run)))
+        left = len(run)
+        while left > most:
+            *_, i, v = heapq.heappop(queue)
+            if into[i] != i or v != version[i]:
+                continue
+            # The chapter before takes this one; boundaries on both its sides weigh other numbers of events now.
+            b, a = before[i], after[i]
+            into[i], n[b], after[b], left = b, n[b] + n[i], a, left - 1
+            if a < len(run):
+                before[a] = b
+                version[a] += 1
+                heapq.heappush(queue, entry(a))
+            if b > 0:
+                version[b] += 1
+                heapq.heappush(queue, entry(b))
+        out, number = [], 0
+        for i, r in enumerate(run):
+            number += into[i] == i
+            out.append({by: r[by], "chapter": r["chapter"], "_number": number})
+        return out
+
+    kind = dict(events.dtypes)[by]
+    numbers = per_plan(groups, by, ["chapter"], join, f"{by} {kind}, chapter long, _number long")
+    return events.join(numbers, [by, "chapter"]).drop("chapter").withColumnRenamed("_number", "chapter")
+
+
 def reviewed(clips: DataFrame, by: list[str], least: int = 900, most: int = 25000) -> DataFrame:
     """Observations on a cut, one row each: ``too_short``, ``too_long``, ``abrupt_location_change``, ``repetition``. Clips
     have ``position``, ``id``, ``ms``, ``place`` and ``event``."""

@@ -86,6 +86,12 @@ def chapters_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.chapters_folded(_chapters(spark, sf_dir), ["owner"]).select("owner", "id", "chapter")
 
 
+@query()
+def chapters_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve chapters of each owner at most; tested against a loop over all boundaries."""
+    return review.chapters_limited(review.chapters_folded(_chapters(spark, sf_dir), ["owner"]), "owner").select("owner", "id", "chapter")
+
+
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS BIGINT) AS ms, l_returnflag AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS position FROM lineitem),
   x AS (SELECT *, lag(place) OVER (PARTITION BY l_orderkey ORDER BY position) AS p, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY position) AS s FROM c)
   SELECT l_orderkey, position AS id, unnest(list_filter([CASE WHEN ms < 5000 THEN 'too_short' END, CASE WHEN ms > 60000 THEN 'too_long' END, CASE WHEN p <> place THEN 'abrupt_location_change' END, CASE WHEN s > 1 THEN 'repetition' END], lambda v: v IS NOT NULL)) AS code FROM x""")
