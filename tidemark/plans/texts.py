@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import numbers as nm
 from tidemark.functions import text as tx
 from tidemark.operators import graph, search
+from tidemark.operators.components import checkpoint_folder
 from tidemark.plans.registry import query, table
 
 _NORM = r"""trim(regexp_replace(regexp_replace(lower({0}), '[\p{{P}}\p{{S}}]+', ' ', 'g'), '\s+', ' ', 'g'))"""
@@ -121,7 +122,11 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries are documents with the vector of their number; a query is searched among the entries of its kind (label)."""
     s = _vectors(spark, sf_dir)
     both = s.join(search.calibration(s, ["query_id"]), "query_id")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.features(F.col("text")).alias("features"))
+    entries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")).distinct()
+    d = table(spark, sf_dir, "documents").join(entries, "doc_id", "left_semi").repartition("doc_id")
+    # Both sides read the features, which are worked out once.
+    checkpoint_folder(spark)
+    d = d.select(F.col("doc_id").alias("id"), tx.features(F.col("text")).alias("features")).checkpoint()
     lexical = search.lexical(d.where("id % 50 = 0").withColumnRenamed("id", "query_id"), d)
     both = both.join(lexical, ["query_id", "id"], "left")
     out = both.select("query_id", "id", search.blended(F.col("score"), F.col("centre"), F.col("spread"), F.col("undiscriminating"), F.coalesce("coverage", F.lit(0.0))).alias("score"))

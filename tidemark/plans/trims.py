@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import trim
+from tidemark.operators.components import checkpoint_folder
 from tidemark.plans.registry import query, table
 
 HANDLING = trim.Handling(pad_in=150, pad_out=250, window=900, least_pause=600, handle=100)
@@ -30,6 +31,9 @@ def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, D
     order = Window.partitionBy("conv_id").orderBy("turn", "i")
     done = F.sum(F.col("ms") + F.col("pause")).over(order)
     w = w.withColumn("done", done).select("conv_id", "turn", "i", "word", "pause", (F.col("done") - F.col("pause") - F.col("ms")).alias("start"), (F.col("done") - F.col("pause")).alias("end"))
+    # All evidence comes from the timed words, which are worked out once.
+    checkpoint_folder(spark)
+    w = w.checkpoint()
     stops = (F.col("pause") >= 700).cast("int")
     speech = w.withColumn("s", F.sum(stops).over(order) - stops).groupBy("conv_id", "s").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     silences = w.where("pause >= 700").select("conv_id", F.col("end").alias("start"), (F.col("end") + F.col("pause")).alias("end"))
