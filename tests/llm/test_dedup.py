@@ -145,6 +145,21 @@ def test_passage_whose_parts_occur_first_elsewhere(spark):
         assert any(rows[-1][1][30 : 30 + n] == " ".join(rows[-1][1])[r["start"] : r["end"]].split() for r in found), n
 
 
+@pytest.mark.parametrize("together", [1, 16])
+def test_fuzzy_passage_whose_seeds_occur_first_elsewhere(spark, monkeypatch, together):
+    monkeypatch.setattr(substring, "TOGETHER", together)  # 1: all chains are lengthened
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    some = lambda n: [word() for _ in range(n)]
+    base = [some(10) for _ in range(7)]
+    # Each ten words occur first in a document of their own; only 400 and 500 have them all, with other words between.
+    rows = [(i, some(30) + b + some(30)) for i, b in enumerate(base)]
+    rows += [(i, some(20) + sum((b + some(2) for b in base), []) + some(20)) for i in (400, 500)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)
+    found = [r for r in substring.repeated_passages(docs).collect() if r["doc_id"] == 500]
+    assert [(r["other_id"], r["n_same"]) for r in found] == [(400, 70)] and found[0]["n_words"] >= 82
+
+
 @pytest.mark.parametrize("percent, least", [(75, 0.75), (80, 0.85), (90, 0.97)])
 def test_recall_of_fuzzy_passages(spark, percent, least):
     rng = random.Random(percent)

@@ -33,6 +33,9 @@ COMBINED = 48 << 20
 BUCKET = 16 << 20
 #: Characters aligned beyond a chain's ends, at first; whole texts if a passage reaches beyond them.
 MARGIN = 800
+#: Documents that share a chain of seeds, up to which each is linked with every earlier one; more are told apart by one
+#: seed more, or if the chain is a passage long, linked with the first.
+TOGETHER = 16
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -97,16 +100,17 @@ def _seeded(ids: np.ndarray, every: list[bytes], words: int, short: bool = True)
     return [np.concatenate(c) for c in zip(*small)], [np.concatenate(c) for c in zip(*large)]
 
 
-def _linked(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch's occurrences of keys: the first of each key; and pairs of a later occurrence and an earlier one, which
-    is the one before in the same document, or else the key's first."""
+def _linked(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's occurrences of keys: the first of each key; pairs of a later occurrence and an earlier one, which is the
+    one before in the same document, or else the key's first; and the firsts that others follow. The holders that this
+    leaves out are met by ``other_holders``."""
     order = np.lexsort((at, doc, key))
     k, d = key[order], doc[order]
     new = np.diff(k, prepend=k[:1] ^ 1) != 0
     head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
     again = ~new & (np.diff(d, prepend=d[:1]) == 0)
     later = np.flatnonzero(~new)
-    return order[new], order[later], order[np.where(again, np.arange(len(k)) - 1, head)[later]]
+    return order[new], order[later], order[np.where(again, np.arange(len(k)) - 1, head)[later]], order[new & ~np.append(new[1:], True)]
 
 
 def _run_keys(seed: np.ndarray, around: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -161,11 +165,11 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def _pack(bucket: int, first: np.ndarray, columns: list[np.ndarray], around: np.ndarray) -> tuple:
-    """A row of ``_PACKS``; ``first`` are ids, nearly in order."""
-    return (bucket, len(first), _packed(np.diff(first, prepend=0)), *(_packed(c) for c in columns), around.tobytes())
+    """A row of ``_PACKS``; ``first`` are ids, nearly in order; ``columns`` are three or four."""
+    return (bucket, len(first), _packed(np.diff(first, prepend=0)), *(_packed(c) for c in columns), *[b""] * (4 - len(columns)), around.tobytes())
 
 
-_PACKS = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("doc", "at", "x", "y", "around"))])
+_PACKS = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("doc", "at", "x", "y", "z", "around"))])
 
 
 def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int = WORDS) -> DataFrame:
@@ -175,7 +179,7 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
 
     What a batch has for one of ``buckets`` classes of seeds is one row of compressed columns (``x``: keys, ``y``: proofs,
     ``around``: the words around long windows); its links are another, with ``bucket`` below 0 (``x``: other documents,
-    ``y``: places there, ``around``: proofs). A seed is in a batch's rows once, so even one that all documents hold has
+    ``y``: places there, ``z``: keys of short seeds, ``around``: proofs; a first that others follow is linked with itself). A seed is in a batch's rows once, so even one that all documents hold has
     no more rows than there are batches.
     """
 
@@ -193,15 +197,18 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
             heads, links = [], []
             kinds = (np.zeros(len(small[0]), np.int32), _proof(ends, HALF - ends), _proof(around[:, HALF], around[:, HALF + 1]))
             for proof, key, (s, d, a) in zip(kinds, (small[0], runs_[0], ctx.view(np.int64)), (small, runs_, (seed, doc, at))):
-                first, later, before = _linked(key, d, a)
+                first, later, before, led = _linked(key, d, a)
                 heads.append((s[first], d[first], a[first], proof[first]))
-                links.append((d[later], a[later], d[before], a[before], proof[later]))
-            d, a, other, other_at, proof = (np.concatenate(c) for c in zip(*links))
+                short = s is small[0]
+                links.append((d[later], a[later], d[before], a[before], s[later] if short else np.zeros(len(later), np.int64), proof[later]))
+                if short:
+                    links.append((d[led], a[led], d[led], a[led], s[led], proof[led]))
+            d, a, other, other_at, own_key, proof = (np.concatenate(c) for c in zip(*links))
             rows = []
             if len(d):
                 order = np.lexsort((a, d))
                 some = -1 - int(mix(d[:1].view(np.uint64))[0] % np.uint64(buckets))
-                rows.append(_pack(some, d[order], [a[order], other[order], other_at[order]], proof[order].astype("<i4")))
+                rows.append(_pack(some, d[order], [a[order], other[order], other_at[order], own_key[order]], proof[order].astype("<i4")))
             key, d, a, proof = (np.concatenate(c) for c in zip(*heads))
             wide = np.zeros(len(key), bool)
             wide[len(key) - len(first) :] = True
@@ -215,7 +222,7 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
             for i in range(0, len(rows), 1024):
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 1024]), _PACKS)], schema=_PACKS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, n long, doc binary, at binary, x binary, y binary, around binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, n long, doc binary, at binary, x binary, y binary, z binary, around binary")
 
 
 def common_windows(docs: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -235,15 +242,17 @@ def common_windows(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def seed_matches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``other_id``, ``at``, ``other_at``: each seed beyond its first with an earlier holder; with ``proof``
-    over 0, each long window with those that agree with it on the runs of twice HALF words that were before around it."""
+    """``doc_id``, ``other_id``, ``at``, ``other_at``, ``key``: each seed beyond its first with an earlier holder, and the
+    first with itself; with ``proof`` over 0 (and ``key`` 0), each long window with those that agree with it on the runs of
+    twice HALF words that were before around it."""
 
     def found(t: pa.Table) -> tuple:
         """Matches of one bucket."""
         parts = [(r["n"], np.cumsum(_unpacked(r["doc"], r["n"])), *(_unpacked(r[c], r["n"]) for c in ("at", "x", "y")), r["around"]) for r in t.to_pylist()]
         if t.column(0)[0].as_py() < 0:
             doc, at, other, other_at = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
-            return doc, other, at, other_at, np.concatenate([np.frombuffer(p[5], "<i4") for p in parts])
+            keys = np.concatenate([_unpacked(r["z"], r["n"]) for r in t.to_pylist()])
+            return doc, other, at, other_at, keys, np.concatenate([np.frombuffer(p[5], "<i4") for p in parts])
         n = np.array([p[0] for p in parts])
         doc, at, key, proof = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
         prints = [np.frombuffer(p[5], np.uint8).reshape(-1, HALF + 2) for p in parts]
@@ -258,26 +267,29 @@ def seed_matches(docs: DataFrame, words: int = WORDS) -> DataFrame:
         some = np.flatnonzero(~new)
         out = [(some, head[some], np.where(row[some] < 0, proof[some], 0).astype(np.int32))]
         shared = ~new | np.append(~new[1:], False)
+        plain = (row < 0) & (proof == 0)
+        some = np.flatnonzero(new & shared & plain)
+        out.append((some, some, np.zeros(len(some), np.int32)))
         some = np.flatnonzero((row >= 0) & shared)
         if len(some):
             later, first, agree = _holders(key[some], np.concatenate(prints)[row[some]])
             out.append((some[later], some[first], agree))
         i, j, w = (np.concatenate(c) for c in zip(*out))
-        return doc[i], doc[j], at[i], at[j], w
+        return doc[i], doc[j], at[i], at[j], np.where(plain[i], key[i], 0), w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["bucket"]):
             cut = [*starts(t, ["bucket"]).tolist(), t.num_rows]
             for a, b in zip(cut[:-1], cut[1:]):
-                doc, other, at, other_at, proof = found(t.slice(a, b - a))
+                doc, other, at, other_at, key, proof = found(t.slice(a, b - a))
                 for k in range(0, len(doc), 1 << 16):
-                    part = [pa.array(x[k : k + (1 << 16)]) for x in (doc, other, at, other_at)]
-                    yield pa.record_batch([*part, pa.array(proof[k : k + (1 << 16)], pa.int32())], names=["doc_id", "other_id", "at", "other_at", "proof"])
+                    part = [pa.array(x[k : k + (1 << 16)]) for x in (doc, other, at, other_at, key)]
+                    yield pa.record_batch([*part, pa.array(proof[k : k + (1 << 16)], pa.int32())], names=["doc_id", "other_id", "at", "other_at", "key", "proof"])
 
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     dealt = occurrences(docs, common_windows(docs, words), buckets, words).repartition("bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, other_id long, at long, other_at long, proof int")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, other_id long, at long, other_at long, key long, proof int")
 
 
 def chains(d: np.ndarray, h: np.ndarray) -> list[list[int]]:
@@ -480,12 +492,13 @@ def _surely(d: np.ndarray, h: np.ndarray, words: int) -> bool:
     return bool(d[-1] - d[0] + words >= LEAST and 100 * same >= PERCENT * span)
 
 
-def _document_chains(doc: int, other: np.ndarray, at: np.ndarray, other_at: np.ndarray, proof: np.ndarray, words: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _document_chains(doc: int, other: np.ndarray, at: np.ndarray, other_at: np.ndarray, proof: np.ndarray, words: int, few: int = FEW_WORDS) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
     """Chains of one document's matches, sorted by ``other``, ``at`` and ``other_at``: the other document and the seeds'
     characters in both. One that lies within another that is a passage by its seeds alone, or by a long window's proof,
-    is left out."""
+    is left out. Beside them the words, from and to, that are such passages."""
     word, other_word = at & 0xFFFFFFFF, other_at & 0xFFFFFFFF
     found = []
+    held: list[tuple[int, int]] = []
     cut = np.append(np.flatnonzero(np.diff(other, prepend=other[:1] ^ 1)), len(other)).tolist()
     for a, b in zip(cut[:-1], cut[1:]):
         if not proof[a:b].any() and (b - a < 2 or word[b - 1] - word[a] + words < SHORT):
@@ -503,10 +516,11 @@ def _document_chains(doc: int, other: np.ndarray, at: np.ndarray, other_at: np.n
             whole = _surely(d[path], h[path], words)
             if w.any():
                 x = d[path][w > 0]
+                held += zip((x - ((w[w > 0] - 1) >> 8)).tolist(), (x + HALF + ((w[w > 0] - 1) & 255)).tolist())
                 first, last = min(first, int((x - ((w[w > 0] - 1) >> 8)).min())), max(last, int((x + HALF + ((w[w > 0] - 1) & 255)).max()))
             elif len(path) < 2 or last - first < SHORT:
                 continue
-            elif last - first < FEW_WORDS and not ((word < first) & (word > first - LEAST) | (word >= last) & (word < last + LEAST)).any():
+            elif last - first < few and not ((word < first) & (word > first - LEAST) | (word >= last) & (word < last + LEAST)).any():
                 continue  # a line that others have, with nothing that any earlier document has on either side
             found.append((not whole and not w.any(), first - last, int(other[a]), first, last, whole or len(path) == 1, new[path]))
     found.sort(key=lambda f: f[:4])
@@ -518,7 +532,88 @@ def _document_chains(doc: int, other: np.ndarray, at: np.ndarray, other_at: np.n
         if whole:
             sure = np.concatenate([sure, [[first, last]]])
         out.append((to, (at[path] >> 32).astype(np.int32), (other_at[path] >> 32).astype(np.int32)))
-    return out
+    return out, np.concatenate([sure, np.array(held, np.int64).reshape(-1, 2)])
+
+
+def _unknown(at: np.ndarray, key: np.ndarray, sure: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys of one document's shared seeds, those that lie within passages that are known left out."""
+    at, some = np.unique(at, return_index=True)
+    key, word = key[some], at & 0xFFFFFFFF
+    if len(sure):
+        sure = sure[np.argsort(sure[:, 0], kind="stable")]
+        reach = np.append(0, np.maximum.accumulate(sure[:, 1]))[np.searchsorted(sure[:, 0], word, "right")]
+        at, key = at[reach < word + words], key[reach < word + words]
+    return at, key
+
+
+def _longer(at: np.ndarray, key: np.ndarray, last: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For chains that end at the places ``last``, every seed (``at``, ``key``) that may follow: so far on that two span SHORT
+    words, and no more than a gap beyond. Numbers of chains and seeds."""
+    word, end = at & 0xFFFFFFFF, last & 0xFFFFFFFF
+    low = np.searchsorted(word, end + SHORT - words)
+    n = np.searchsorted(word, end + SHORT - words + GAP, "right") - low
+    return np.repeat(np.arange(len(last)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def other_holders(seeds: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id``, ``other_id``, ``path``, ``other_path``: chains of seeds (``doc_id``, ``at``, ``key``) that a document shares with
+    earlier ones.
+
+    Chains of two seeds are looked up first. Where TOGETHER documents or fewer have the same, each meets every earlier one;
+    where more have it, as two common lines, each is linked with the first and all chains are lengthened by every seed
+    that more than TOGETHER share with what there is, until few share them or they are LEAST words long. So two documents
+    that share a chain meet, or both meet the first that has the same chain of a passage's length, and the work grows
+    with the documents rather than their pairs.
+    """
+    schema = "key long, doc_id long, path array<long>"
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                at, key = (b.column(c)[r].values.to_numpy() for c in (1, 2))
+                if b.num_columns == 3:
+                    so_far, paths = key.view(np.uint64), at[:, None]
+                else:
+                    so_far = b.column(3)[r].values.to_numpy().view(np.uint64)
+                    paths = b.column(4)[r].values.flatten().to_numpy().reshape(len(so_far), -1)
+                i, j = _longer(at, key, paths[:, -1], words)
+                if b.num_columns > 3:  # chains that few share, as they share two seeds of them, have met
+                    ends = lambda x, y: (x & 0xFFFFFFFF) << 32 | y & 0xFFFFFFFF
+                    two = b.column(5)[r].values.flatten().to_numpy().reshape(-1, 2)
+                    two = np.unique(ends(two[:, 0], two[:, 1]))
+                    for c in range(paths.shape[1]):
+                        far = (at[j] & 0xFFFFFFFF) - (paths[i, c] & 0xFFFFFFFF) >= SHORT - words + GAP
+                        near = far | np.isin(ends(paths[i, c], at[j]), two)
+                        i, j = i[near], j[near]
+                for k in range(0, len(i), 1 << 16):
+                    some, more = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    out = np.column_stack([paths[some], at[more]])
+                    new = mix(so_far[some] * np.uint64(0x9E3779B97F4A7C15) + key[more].view(np.uint64)).view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+                    yield pa.record_batch([pa.array(new), pa.array(np.full(len(out), b.column(0)[r].as_py())), lists], names=["key", "doc_id", "path"])
+
+    shared = seeds.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    both = F.sort_array(F.collect_list(F.struct("at", "key")))
+    own = written(seeds.join(shared.hint("merge"), "key").groupBy("doc_id").agg(both.alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.key").alias("key")))
+    level, out, pairs = written(own.mapInArrow(grown, schema)), None, None
+    word = lambda n: F.element_at("path", n).bitwiseAND(0xFFFFFFFF)
+    span = word(-1) - word(1) + words
+    while True:
+        # Of a document's places of one chain the first is met by others.
+        held = written(level.groupBy("key", "doc_id").agg(F.min("path").alias("other_path")))
+        groups = held.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "other_path")).alias("first")).where("n > 1")
+        known = written(level.join(groups.hint("merge"), "key"))
+        few = known.where(F.col("n") <= TOGETHER).select("key", "doc_id", "path")
+        every = few.join(held.withColumnRenamed("doc_id", "other_id").hint("merge"), "key").where("other_id < doc_id").select("doc_id", "other_id", "path", "other_path")
+        first = known.where((F.col("n") > TOGETHER) & (span >= FEW_WORDS) & (F.col("first.doc_id") < F.col("doc_id"))).select("doc_id", F.col("first.doc_id").alias("other_id"), "path", "first.other_path")
+        out = every.union(first) if out is None else out.union(every).union(first)
+        many = known.where((F.col("n") > TOGETHER) & (span < LEAST))
+        if not many.limit(1).count():
+            return out
+        chains_ = many.groupBy("doc_id").agg(F.collect_list(F.struct("key", "path")).alias("c")).select("doc_id", F.col("c.key").alias("so_far"), F.col("c.path").alias("paths"))
+        if pairs is None:
+            pairs = written(known.where(F.col("n") > TOGETHER).groupBy("doc_id").agg(F.collect_list("path").alias("two")))
+        level = written(own.join(chains_, "doc_id").join(pairs, "doc_id").select("doc_id", "at", "key", "so_far", "paths", "two").mapInArrow(grown, schema))
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -528,26 +623,44 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Returns ``doc_id``, ``start``, ``end`` (characters), ``other_id``, ``other_start``, ``other_end``, ``n_words`` and
     ``n_same``. ``other_id`` is one of the documents with a smaller id, or the same id, that hold the passage: each repeat
     is linked with an earlier holder rather than with every one, and what has none is never listed. Every run of 50 words
-    that an earlier document holds lies in a passage, wherever its parts occur first. A passage within a longer one
+    that an earlier document holds lies in a passage, wherever its parts occur first; seeds that lie in no passage for
+    sure then meet all earlier documents that share two of them or more (``other_holders``). A passage within a longer one
     of the same document is left out; others may overlap. Null and empty texts and null ids hold no passages; rows that
     repeat an id count once, with the least text; extra columns are ignored; an empty table gives an empty result.
     """
     docs = one_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null"))
     texts_, matches = docs, seed_matches(docs, words)
 
+    schema = "doc_id long, other_id long, d array<int>, h array<int>, at array<long>, key array<long>"
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 2]
+
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chains; and, with a null ``other_id``, a document's shared seeds outside the passages that are known."""
+        for t in runs(batches, ["doc_id"]):
+            doc, other, at, other_at, key, proof = (t.column(i).to_numpy() for i in range(6))
+            cut = np.append(starts(t, ["doc_id"]), t.num_rows)
+            out: list[tuple] = []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                linked = a + np.flatnonzero((other[a:b] != doc[a]) | (at[a:b] != other_at[a:b]))
+                more, sure = _document_chains(int(doc[a]), other[linked], at[linked], other_at[linked], proof[linked], words)
+                out += [(int(doc[a]), *c, None, None) for c in more]
+                short = a + np.flatnonzero(key[a:b])
+                out.append((int(doc[a]), None, None, None, *_unknown(at[short], key[short], sure, words)))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], schema=pa.schema(list(zip(["doc_id", "other_id", "d", "h", "at", "key"], kinds))))
+
+    def chain_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["doc_id"]):
-            doc, other, at, other_at, proof = (t.column(i).to_numpy() for i in range(5))
+            doc, other, at, other_at = (t.column(i).to_numpy() for i in range(4))
             cut = np.append(starts(t, ["doc_id"]), t.num_rows)
             out: list[tuple] = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                out += [(int(doc[a]), *c) for c in _document_chains(int(doc[a]), other[a:b], at[a:b], other_at[a:b], proof[a:b], words)]
-            columns = list(zip(*out)) if out else [(), (), (), ()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["doc_id", "other_id", "d", "h"])
+                out += [(int(doc[a]), *c) for c in _document_chains(int(doc[a]), other[a:b], at[a:b], other_at[a:b], np.zeros(b - a, np.int32), words, few=SHORT)[0]]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], names=["doc_id", "other_id", "d", "h"])
 
     # A document's matches are bounded by its seeds and long windows.
-    dealt = matches.repartition("doc_id").sortWithinPartitions("doc_id", "other_id", "at", "other_at")
-    found = written(dealt.mapInArrow(chain, "doc_id long, other_id long, d array<int>, h array<int>"))
+    order = ["doc_id", "other_id", "at", "other_at"]
+    every = written(matches.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(chain, schema))
+    found = written(every.where("other_id is not null").select("doc_id", "other_id", "d", "h"))
 
     def part(text: str, at: str, margin: int | None) -> list:
         if margin is None:
@@ -583,10 +696,36 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*names, "wider", "d", "h"])
 
     schema = "doc_id long, start long, end long, other_id long, other_start long, other_end long, n_words long, n_same long, wider boolean, d array<int>, h array<int>"
-    first = written(texts_of(found, MARGIN).mapInArrow(align, schema))
+    def tried(chains_: DataFrame) -> DataFrame:
+        first = written(texts_of(chains_, MARGIN).mapInArrow(align, schema))
+        whole = texts_of(first.where("wider").select("doc_id", "other_id", "d", "h"), None).mapInArrow(align, schema)
+        return written(first.where("not wider").union(whole).drop("wider", "d", "h").distinct())
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i in range(b.num_rows):
+                at, key, start, end = (b.column(c)[i].values for c in (1, 2, 3, 4))
+                at, key = at.to_numpy(), key.to_numpy()
+                if start is not None:
+                    order = np.argsort(start.to_numpy(), kind="stable")
+                    reach = np.append(-1, np.maximum.accumulate(end.to_numpy()[order]))
+                    left = reach[np.searchsorted(start.to_numpy()[order], at >> 32, "right")] <= at >> 32
+                    at, key = at[left], key[left]
+                rows.append((np.full(len(at), b.column(0)[i].as_py()), at, key))
+            columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3
+            yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "at", "key"])
+
+    one = tried(found)
     discard(found)
-    whole = texts_of(first.where("wider").select("doc_id", "other_id", "d", "h"), None).mapInArrow(align, schema)
-    out = first.where("not wider").union(whole).drop("wider", "d", "h").distinct()
+    # Seeds within passages that are found have their holder; all others meet whoever else shares them.
+    spans = one.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("p")).select("doc_id", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+    left = every.where("other_id is null and size(at) > 0").select("doc_id", "at", "key").join(spans, "doc_id", "left")
+    seeds = written(left.mapInArrow(unknown, "doc_id long, at long, key long"))
+    discard(every)
+    more = other_holders(seeds, words).select("doc_id", "other_id", F.explode(F.arrays_zip("path", "other_path")).alias("s")).select("doc_id", "other_id", F.col("s.path").alias("at"), F.col("s.other_path").alias("other_at")).distinct()
+    others = written(more.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(chain_others, "doc_id long, other_id long, d array<int>, h array<int>"))
+    out = one.union(tried(others)).distinct()
     # Of a document's passages, by their starts, those that end no later than one before lie within it.
     before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "other_id", "other_start", "other_end").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("_reach", F.max("end").over(before)).where("_reach is null or _reach < end").drop("_reach")
