@@ -99,3 +99,13 @@ def test_packing_edges(spark):
 
 def codec_id(word):
     return int(np.frombuffer(codec(word_bpe()).encode(word.encode()), "<u4")[0])
+
+
+def test_frequent_words_stay_remembered(monkeypatch):
+    c = type(codec(word_bpe()))(word_bpe())
+    monkeypatch.setattr(type(c), "REMEMBERED", 8)
+    met, plain = [], c.automaton.encode
+    c.automaton.encode = lambda symbols: met.append(symbols) or plain(symbols)
+    for i in range(40):
+        c.encode(f"often, {'abcdefghij'[i % 10] * (2 + i // 10)}".encode())
+    assert met.count("often") == 1 and len(met) == 42

@@ -110,20 +110,22 @@ class MergeAutomaton:
         """Tokens on the only path that spells ``symbols`` and ends with a last arc; longest arcs are tried first."""
         n, trie, final, arc, arcs = len(symbols), self.trie, self.last, self.arc, self.arcs
         path: list[int] = []
+        steps: list[tuple[int, list[tuple[int, int]]]] = []  # where a step began, the inner arcs left to try there
         i, last = 0, -1
         while True:  # mostly the longest arcs will do
             t = final.get(symbols[i:] if i else symbols)
             if t is None:
-                node, t, j = trie, None, i
+                node, left, j = trie, [], i
                 for c in symbols[i:-1]:
                     node = node.get(c)
                     if node is None:
                         break
                     j += 1
                     if "" in node:
-                        t, end = node[""], j
-                if t is None:
+                        left.append((j, node[""]))
+                if not left:
                     break
+                end, t = left.pop()
             else:
                 end = n
             if last >= 0:
@@ -133,12 +135,10 @@ class MergeAutomaton:
             path.append(t)
             if end == n:
                 return path
+            steps.append((i, left))
             i, last = end, t
-        path.clear()
-        steps: list[tuple[int, list[tuple[int, int]]]] = []  # where a step began, the inner arcs left to try there
         dead: set[tuple[int, int]] = set()
-        i, last = 0, -1
-        while True:
+        while True:  # on from there, as there is one path only
             t = final.get(symbols[i:])
             if t is not None:
                 known = True if last < 0 else arcs.get(last << 20 | t)
@@ -176,7 +176,8 @@ class MergeAutomaton:
 class WordCodec:
     """Encoder and decoder for one ``tokenizers`` file with an end-of-word BPE model, as that library has them."""
 
-    #: Words, and white-space-separated pieces, whose ids are remembered; forgotten when full.
+    #: Words, and white-space-separated pieces, whose ids are remembered; those that weren't met again while half as many new
+    #: ones were are forgotten.
     REMEMBERED = 500_000
 
     def __init__(self, path: str):
@@ -203,13 +204,20 @@ class WordCodec:
         self.specials = re.compile("|".join(map(re.escape, self.special)))
         self.marks = [s.encode() for s in self.special]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         codec = self
 
         class Pieces(dict):
+            older: dict[bytes, bytes] = {}
+
             def __missing__(self, piece: bytes) -> bytes:
                 if len(self) >= codec.REMEMBERED // 2:
+                    self.older = dict(self)
                     self.clear()
-                ids = self[piece] = codec._piece(piece.decode())
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = codec._piece(piece.decode())
+                self[piece] = ids
                 return ids
 
         self.pieces = Pieces()
@@ -225,8 +233,12 @@ class WordCodec:
         """Ids of a pre-split word as little-endian 32-bit numbers."""
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= self.REMEMBERED:
-                self.words.clear()
+            if len(self.words) >= self.REMEMBERED // 2:
+                self.older, self.words = self.words, {}
+            ids = self.older.get(word)
+            if ids is not None:
+                self.words[word] = ids
+                return ids
             symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.of_bytes)
             ids = self.words[word] = b"".join([self.ids[t] for t in self.automaton.encode(symbols)])
         return ids
