@@ -155,7 +155,7 @@ def test_fuzzy_passage_whose_seeds_occur_first_elsewhere(spark, monkeypatch, tog
     # Each ten words occur first in a document of their own; only 400 and 500 have them all, with other words between.
     rows = [(i, some(30) + b + some(30)) for i, b in enumerate(base)]
     rows += [(i, some(20) + sum((b + some(2) for b in base), []) + some(20)) for i in (400, 500)]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA).coalesce(1)
     found = [r for r in substring.repeated_passages(docs).collect() if r["doc_id"] == 500]
     assert [(r["other_id"], r["n_same"]) for r in found] == [(400, 70)] and found[0]["n_words"] >= 82
 
