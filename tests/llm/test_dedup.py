@@ -160,6 +160,25 @@ def test_fuzzy_passage_whose_seeds_occur_first_elsewhere(spark, monkeypatch, tog
     assert [(r["other_id"], r["n_same"]) for r in found] == [(400, 70)] and found[0]["n_words"] >= 82
 
 
+def test_repeated_lines_are_one_row_a_chain(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    some = lambda n: [word() for _ in range(n)]
+    line, n = some(9), []
+    rows = [(i, sum((line + some(6) for _ in range(12)), [])) for i in range(18)]
+    write = substring.written
+
+    def counted(df):
+        out = write(df)
+        n.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring, "written", counted)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)
+    assert substring.repeated_passages(docs).collect() == []  # 9 of 15 words are equal
+    assert max(n) < 6_000
+
+
 @pytest.mark.parametrize("percent, least", [(75, 0.75), (80, 0.85), (90, 0.97)])
 def test_recall_of_fuzzy_passages(spark, percent, least):
     rng = random.Random(percent)

@@ -32,6 +32,14 @@ _BASE = 0x5851F42D4C957F2D
 _UP = _powers(1 << 16, _BASE)
 
 
+def word_edges(text: bytes) -> np.ndarray:
+    """First byte and end of every word, in turn."""
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    inside = np.zeros(len(space) + 2, bool)
+    np.logical_not(space, out=inside[1:-1])
+    return np.flatnonzero(inside[1:] != inside[:-1])
+
+
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of every word; words lie between ASCII white space, A-Z read as a-z."""
     b = np.frombuffer(text.lower(), np.uint8)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import discard, gathered, of_ids, one_each, runs, starts, texts, written
-from tidemark.llm.shingles import WORDS, batched_words, mix, windows, word_hashes
+from tidemark.llm.shingles import WORDS, batched_words, mix, windows, word_edges
 
 #: Of this many successive k-mers one at least is a seed: all exact runs of 8 words hold one.
 WINDOW = 4
@@ -36,6 +36,8 @@ MARGIN = 800
 #: Documents that share a chain of seeds, up to which each is linked with every earlier one; more are told apart by one
 #: seed more, or if the chain is a passage long, linked with the first.
 TOGETHER = 16
+#: Characters of text whose words are kept in memory for the next chain.
+MEMORY = 1 << 20
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -365,9 +367,9 @@ def _common(x: list[int], y: list[int]) -> int:
                 row[k + 1] = diagonal + 1 if v == w else max(up, row[k])
                 diagonal = up
         return a + b + row[-1]
-    ys, wide = np.array(y, np.uint64), np.zeros(len(y) + 1, np.int32)
+    ys, wide = np.array(y, np.int64), np.zeros(len(y) + 1, np.int32)
     for w in x:
-        new = np.maximum(wide[1:], wide[:-1] + (ys == np.uint64(w)))
+        new = np.maximum(wide[1:], wide[:-1] + (ys == w))
         wide[1:] = np.maximum.accumulate(new)
     return a + b + int(wide[-1])
 
@@ -408,11 +410,15 @@ _CHANGES = sorted(((a, b) for a in range(5) for b in range(5) if a + b), key=lam
 
 
 class _Words:
-    """A text's words as hashes, and their first characters and ends."""
+    """A text's words as hashes that are compared in this process only, as a list and an array; their first characters
+    and ends."""
 
     def __init__(self, text: str):
         raw = text.encode()
-        self.h, self.begin, self.end = word_hashes(raw)
+        self.list = list(map(hash, raw.lower().split()))
+        self.h = np.array(self.list, np.int64)
+        edge = word_edges(raw)
+        self.begin, self.end = edge[::2], edge[1::2]
         if len(raw) > len(text):
             at = _code_points(raw)
             self.begin, self.end = at[self.begin], at[self.end]
@@ -422,7 +428,7 @@ def aligned(x: _Words, y: _Words, i: np.ndarray, j: np.ndarray, words: int = WOR
     """Passages along a chain of seeds at words ``i`` of ``x`` and ``j`` of ``y``: start and end in both, words and
     matches."""
     hx, hy = x.h, y.h
-    lx, ly = hx.tolist(), hy.tolist()
+    lx, ly = x.list, y.list
     out = []
 
     def gaps(p: int, q: int) -> int:
@@ -454,7 +460,7 @@ def aligned(x: _Words, y: _Words, i: np.ndarray, j: np.ndarray, words: int = WOR
 def every_match(x: _Words, y: _Words, at: np.ndarray, to: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """All k-mers of ``x`` that ``y`` has, not only seeds: where they are in both, in ``y`` the place that is nearest to
     the line through the matches ``at`` and ``to``. Of long runs each fourth is kept, and the ends."""
-    kx, ky = windows(x.h, words), windows(y.h, words)
+    kx, ky = (windows(t.h.view(np.uint64), words) for t in (x, y))
     order = np.argsort(ky, kind="stable")
     sorted_ = ky[order]
     low = np.searchsorted(sorted_, kx)
@@ -470,10 +476,10 @@ def every_match(x: _Words, y: _Words, at: np.ndarray, to: np.ndarray, words: int
     return i[~inner], j[~inner]
 
 
-def passages(a: str, b: str, d: np.ndarray, h: np.ndarray, words: int = WORDS) -> list[tuple[int, int, int, int, int, int]]:
+def passages(a: str | _Words, b: str | _Words, d: np.ndarray, h: np.ndarray, words: int = WORDS) -> list[tuple[int, int, int, int, int, int]]:
     """Passages about a chain of seeds at characters ``d`` and ``h``, as ``aligned`` gives them; where one alone doesn't
     cover the chain, and where the chain is short, all k-mers that both texts have are chained anew."""
-    x, y = _Words(a), _Words(b)
+    x, y = (_Words(t) if isinstance(t, str) else t for t in (a, b))
     i, j = np.searchsorted(x.begin, d), np.searchsorted(y.begin, h)
     out = aligned(x, y, i, j, words)
     if not any(s <= d[0] and e > d[-1] for s, e, *_ in out):
@@ -546,74 +552,135 @@ def _unknown(at: np.ndarray, key: np.ndarray, sure: np.ndarray, words: int) -> t
     return at, key
 
 
-def _longer(at: np.ndarray, key: np.ndarray, last: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For chains that end at the places ``last``, every seed (``at``, ``key``) that may follow: so far on that two span SHORT
-    words, and no more than a gap beyond. Numbers of chains and seeds."""
+def _followed(at: np.ndarray, last: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For chains that end at the places ``last``, which of the seeds at ``at`` may follow: so far on that two span SHORT
+    words, and no more than a gap beyond. The first of them, and how many."""
     word, end = at & 0xFFFFFFFF, last & 0xFFFFFFFF
     low = np.searchsorted(word, end + SHORT - words)
-    n = np.searchsorted(word, end + SHORT - words + GAP, "right") - low
-    return np.repeat(np.arange(len(last)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    return low, np.searchsorted(word, end + SHORT - words + GAP, "right") - low
+
+
+def _apart(so_far: np.ndarray, paths: np.ndarray) -> np.ndarray:
+    """Of chains of equal hashes and ends, which a document of repeated lines has by the thousand, the first and the last
+    path: numbers, sorted by hash and path."""
+    order = np.lexsort((*paths.T[::-1], paths[:, -1], so_far))
+    k, end = so_far[order], paths[order, -1]
+    new = (np.diff(k, prepend=k[:1] ^ 1) != 0) | (np.diff(end, prepend=end[:1]) != 0)
+    order = order[new | np.append(new[1:], True)]
+    return order[np.lexsort((*paths[order].T[::-1], so_far[order]))]
+
+
+def _lengthened(at: np.ndarray, key: np.ndarray, so_far: np.ndarray, paths: np.ndarray, shared: np.ndarray | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chains of one document (hashes and paths), lengthened by every one of its seeds (``at``, ``key``) that may follow.
+    Where ``shared`` are given, hashes of two seeds that many documents share, a chain holds no other two but such that
+    are too far apart for a chain of two: documents that share those have met."""
+    low, n = _followed(at, paths[:, -1], words)
+    found = [(np.zeros(0, np.int64), np.zeros((0, paths.shape[1] + 1), np.int64))]
+    total, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + (1 << 18), "right")))
+        i = np.repeat(np.arange(a, b), n[a:b])
+        j = np.arange(len(i)) - np.repeat(total[a:b] - n[a:b] - (total[a] - n[a]), n[a:b]) + np.repeat(low[a:b], n[a:b])
+        for c in range(paths.shape[1] if shared is not None else 0):
+            own = key[np.searchsorted(at, paths[i, c])].view(np.uint64)
+            two = mix(own * np.uint64(0x9E3779B97F4A7C15) + key[j].view(np.uint64)).view(np.int64)
+            far = (at[j] & 0xFFFFFFFF) - (paths[i, c] & 0xFFFFFFFF) >= SHORT - words + GAP
+            some = far | np.isin(two, shared)
+            i, j = i[some], j[some]
+        new = mix(so_far[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key[j].view(np.uint64)).view(np.int64)
+        longer = np.column_stack([paths[i], at[j]])
+        some = _apart(new, longer)
+        found.append((new[some], longer[some]))
+        a = b
+    new, longer = (np.concatenate(c) for c in zip(*found))
+    some = _apart(new, longer)
+    return new[some], longer[some]
 
 
 def other_holders(seeds: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``other_id``, ``path``, ``other_path``: chains of seeds (``doc_id``, ``at``, ``key``) that a document shares with
-    earlier ones.
+    """``doc_id``, ``other_id``, ``at``, ``other_at``: seeds (``doc_id``, ``at``, ``key``) of chains that a document shares with
+    earlier ones, all its places of such a seed with those of the earlier document's first chain of that kind.
 
     Chains of two seeds are looked up first. Where TOGETHER documents or fewer have the same, each meets every earlier one;
     where more have it, as two common lines, each is linked with the first and all chains are lengthened by every seed
     that more than TOGETHER share with what there is, until few share them or they are LEAST words long. So two documents
     that share a chain meet, or both meet the first that has the same chain of a passage's length, and the work grows
-    with the documents rather than their pairs.
+    with the documents rather than their pairs. What a document has of one chain is one row, however often it is repeated.
     """
-    schema = "key long, doc_id long, path array<long>"
+    schema = "key long, doc_id long, paths array<long>, least int, most int"
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 at, key = (b.column(c)[r].values.to_numpy() for c in (1, 2))
                 if b.num_columns == 3:
-                    so_far, paths = key.view(np.uint64), at[:, None]
+                    new, paths = _lengthened(at, key, key, at[:, None], None, words)
                 else:
-                    so_far = b.column(3)[r].values.to_numpy().view(np.uint64)
-                    paths = b.column(4)[r].values.flatten().to_numpy().reshape(len(so_far), -1)
-                i, j = _longer(at, key, paths[:, -1], words)
-                if b.num_columns > 3:  # chains that few share, as they share two seeds of them, have met
-                    ends = lambda x, y: (x & 0xFFFFFFFF) << 32 | y & 0xFFFFFFFF
-                    two = b.column(5)[r].values.flatten().to_numpy().reshape(-1, 2)
-                    two = np.unique(ends(two[:, 0], two[:, 1]))
-                    for c in range(paths.shape[1]):
-                        far = (at[j] & 0xFFFFFFFF) - (paths[i, c] & 0xFFFFFFFF) >= SHORT - words + GAP
-                        near = far | np.isin(ends(paths[i, c], at[j]), two)
-                        i, j = i[near], j[near]
-                for k in range(0, len(i), 1 << 16):
-                    some, more = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    out = np.column_stack([paths[some], at[more]])
-                    new = mix(so_far[some] * np.uint64(0x9E3779B97F4A7C15) + key[more].view(np.uint64)).view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
-                    yield pa.record_batch([pa.array(new), pa.array(np.full(len(out), b.column(0)[r].as_py())), lists], names=["key", "doc_id", "path"])
+                    so_far, shared = (b.column(c)[r].values.to_numpy() for c in (3, 5))
+                    lists = b.column(4)[r].values
+                    n = lists.value_lengths().to_numpy()
+                    paths = lists.flatten().to_numpy().reshape(-1, width)
+                    so_far = np.repeat(so_far, n // width)
+                    some = (paths[:, -1] & 0xFFFFFFFF) - (paths[:, 0] & 0xFFFFFFFF) + words < LEAST
+                    new, paths = _lengthened(at, key, so_far[some], paths[some], shared, words)
+                if not len(new):
+                    continue
+                span = ((paths[:, -1] & 0xFFFFFFFF) - (paths[:, 0] & 0xFFFFFFFF) + words).astype(np.int32)
+                first = np.flatnonzero(np.diff(new, prepend=new[:1] ^ 1))
+                ends = np.append(first, len(new)) * paths.shape[1]
+                least, most = np.minimum.reduceat(span, first), np.maximum.reduceat(span, first)
+                for k in range(0, len(first), 1 << 14):
+                    some = slice(k, k + (1 << 14))
+                    n = len(first[some])
+                    offsets = ends[k : k + n + 1]
+                    lists = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(paths.ravel()[offsets[0] : offsets[-1]]))
+                    yield pa.record_batch([pa.array(new[first[some]]), pa.array(np.full(n, b.column(0)[r].as_py())), lists, pa.array(least[some]), pa.array(most[some])], names=["key", "doc_id", "paths", "least", "most"])
+
+    def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All places of a document's shared seeds."""
+        for b in batches:
+            for r in range(b.num_rows):
+                at, key = (b.column(c)[r].values.to_numpy() for c in (1, 2))
+                met = b.column(3)[r].values
+                other, place, other_at = (met.field(c).to_numpy() for c in range(3))
+                match = np.unique(np.column_stack([other, key[np.searchsorted(at, place)], other_at]), axis=0)
+                order = np.argsort(key, kind="stable")
+                low = np.searchsorted(key[order], match[:, 1])
+                n = np.searchsorted(key[order], match[:, 1], "right") - low
+                total, a = np.cumsum(n), 0
+                while a < len(n):
+                    c = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + (1 << 16), "right")))
+                    i = np.repeat(np.arange(a, c), n[a:c])
+                    j = np.arange(len(i)) - np.repeat(total[a:c] - n[a:c] - (total[a] - n[a]), n[a:c]) + np.repeat(low[a:c], n[a:c])
+                    yield pa.record_batch([pa.array(x) for x in (np.full(len(i), b.column(0)[r].as_py()), match[i, 0], at[order[j]], match[i, 2])], names=["doc_id", "other_id", "at", "other_at"])
+                    a = c
 
     shared = seeds.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
     both = F.sort_array(F.collect_list(F.struct("at", "key")))
     own = written(seeds.join(shared.hint("merge"), "key").groupBy("doc_id").agg(both.alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.key").alias("key")))
-    level, out, pairs = written(own.mapInArrow(grown, schema)), None, None
-    word = lambda n: F.element_at("path", n).bitwiseAND(0xFFFFFFFF)
-    span = word(-1) - word(1) + words
+    width, out, pairs = 2, None, None
+    level = written(own.mapInArrow(grown, schema))
     while True:
-        # Of a document's places of one chain the first is met by others.
-        held = written(level.groupBy("key", "doc_id").agg(F.min("path").alias("other_path")))
-        groups = held.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "other_path")).alias("first")).where("n > 1")
+        path = F.slice("paths", 1, width)  # of a document's places of one chain the first is met by others
+        groups = level.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", path.alias("path"))).alias("first")).where("n > 1")
         known = written(level.join(groups.hint("merge"), "key"))
-        few = known.where(F.col("n") <= TOGETHER).select("key", "doc_id", "path")
-        every = few.join(held.withColumnRenamed("doc_id", "other_id").hint("merge"), "key").where("other_id < doc_id").select("doc_id", "other_id", "path", "other_path")
-        first = known.where((F.col("n") > TOGETHER) & (span >= FEW_WORDS) & (F.col("first.doc_id") < F.col("doc_id"))).select("doc_id", F.col("first.doc_id").alias("other_id"), "path", "first.other_path")
-        out = every.union(first) if out is None else out.union(every).union(first)
-        many = known.where((F.col("n") > TOGETHER) & (span < LEAST))
-        if not many.limit(1).count():
-            return out
-        chains_ = many.groupBy("doc_id").agg(F.collect_list(F.struct("key", "path")).alias("c")).select("doc_id", F.col("c.key").alias("so_far"), F.col("c.path").alias("paths"))
+        discard(level)
+        few = known.where(F.col("n") <= TOGETHER).select("key", "doc_id", path.alias("path"))
+        every = few.join(few.select("key", F.col("doc_id").alias("other_id"), F.col("path").alias("other_path")).hint("merge"), "key").where("other_id < doc_id").select("doc_id", "other_id", "path", "other_path")
+        first = known.where((F.col("n") > TOGETHER) & (F.col("most") >= FEW_WORDS) & (F.col("first.doc_id") < F.col("doc_id"))).select("doc_id", F.col("first.doc_id").alias("other_id"), path.alias("path"), F.col("first.path").alias("other_path"))
+        met = every.union(first).select("doc_id", "other_id", F.explode(F.arrays_zip("path", "other_path")).alias("s")).select("doc_id", "other_id", F.col("s.path").alias("at"), F.col("s.other_path").alias("other_at")).distinct()
+        out = written(met) if out is None else out.union(written(met))
+        many = known.where(F.col("n") > TOGETHER)
+        if not many.where(F.col("least") < LEAST).limit(1).count():
+            break
+        chains_ = many.where(F.col("least") < LEAST).groupBy("doc_id").agg(F.collect_list(F.struct("key", "paths")).alias("c")).select("doc_id", F.col("c.key").alias("so_far"), F.col("c.paths").alias("paths"))
         if pairs is None:
-            pairs = written(known.where(F.col("n") > TOGETHER).groupBy("doc_id").agg(F.collect_list("path").alias("two")))
-        level = written(own.join(chains_, "doc_id").join(pairs, "doc_id").select("doc_id", "at", "key", "so_far", "paths", "two").mapInArrow(grown, schema))
+            pairs = written(many.groupBy("doc_id").agg(F.collect_list("key").alias("shared")))
+        level = written(own.join(chains_, "doc_id").join(pairs, "doc_id").select("doc_id", "at", "key", "so_far", "paths", "shared").mapInArrow(grown, schema))
+        discard(known)
+        width += 1
+    met = out.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "at", "other_at")).alias("met"))
+    return own.join(met, "doc_id").select("doc_id", "at", "key", "met").mapInArrow(everywhere, "doc_id long, other_id long, at long, other_at long")
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -665,8 +732,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def part(text: str, at: str, margin: int | None) -> list:
         if margin is None:
             return [F.lit(0), F.col(text), F.lit(True), F.lit(True)]
-        begin = F.greatest(F.lit(0), F.element_at(at, 1) - margin)
-        length = F.element_at(at, -1) - begin + 2 * margin
+        begin = F.greatest(F.lit(0), F.element_at(F.element_at(at, 1), 1) - margin)
+        length = F.element_at(F.element_at(at, 1), -1) - begin + 2 * margin
         return [begin, F.substring(F.col(text), begin + 1, length), begin == 0, begin + length >= F.length(text)]
 
     def texts_of(chains_: DataFrame, margin: int | None) -> DataFrame:
@@ -679,26 +746,37 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "n_words", "n_same"]
         kinds = [*[pa.int64()] * 8, pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        known: dict[str, _Words] = {}
+        size = 0
         for b in batches:
             rows = []
             for i in range(b.num_rows):
                 (r,) = b.slice(i, 1).to_pylist()
-                d, h = np.array(r["d"]) - r["da"], np.array(r["h"]) - r["ha"]
+                for text in (r["a"], r["b"]):  # chains of the same texts follow one another
+                    if text not in known:
+                        size += len(text)
+                        if size > MEMORY:
+                            known, size = {k: v for k, v in known.items() if k == r["a"]}, len(r["a"]) + len(text)
+                        known[text] = _Words(text)
+                x, y = known[r["a"]], known[r["b"]]
                 ends = len(r["a"].rstrip()), len(r["b"].rstrip())
-                some, wider = [], False
-                for s, e, os, oe, n, same in passages(r["a"], r["b"], d, h, words):
-                    # Words cut in two at a part's ends don't match: a passage that comes close to them may go on.
-                    wider |= (not r["a_begins"] and s < MARGIN // 2) or (not r["b_begins"] and os < MARGIN // 2)
-                    wider |= (not r["a_ends"] and e > ends[0] - MARGIN // 2) or (not r["b_ends"] and oe > ends[1] - MARGIN // 2)
-                    some.append((r["doc_id"], s + r["da"], e + r["da"], r["other_id"], os + r["ha"], oe + r["ha"], n, same, False, None, None))
-                rows += [(r["doc_id"], None, None, r["other_id"], *[None] * 4, True, r["d"], r["h"])] if wider else some
+                for d, h in zip(r["d"], r["h"]):
+                    some, wider = [], False
+                    for s, e, os, oe, n, same in passages(x, y, np.array(d) - r["da"], np.array(h) - r["ha"], words):
+                        # Words cut in two at a part's ends don't match: a passage that comes close to them may go on.
+                        wider |= (not r["a_begins"] and s < MARGIN // 2) or (not r["b_begins"] and os < MARGIN // 2)
+                        wider |= (not r["a_ends"] and e > ends[0] - MARGIN // 2) or (not r["b_ends"] and oe > ends[1] - MARGIN // 2)
+                        some.append((r["doc_id"], s + r["da"], e + r["da"], r["other_id"], os + r["ha"], oe + r["ha"], n, same, False, None, None))
+                    rows += [(r["doc_id"], None, None, r["other_id"], *[None] * 4, True, d, h)] if wider else some
             columns = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*names, "wider", "d", "h"])
 
     schema = "doc_id long, start long, end long, other_id long, other_start long, other_end long, n_words long, n_same long, wider boolean, d array<int>, h array<int>"
     def tried(chains_: DataFrame) -> DataFrame:
-        first = written(texts_of(chains_, MARGIN).mapInArrow(align, schema))
-        whole = texts_of(first.where("wider").select("doc_id", "other_id", "d", "h"), None).mapInArrow(align, schema)
+        first = written(texts_of(chains_.select("doc_id", "other_id", F.array("d").alias("d"), F.array("h").alias("h")), MARGIN).mapInArrow(align, schema))
+        # Whole texts go once with all chains of a pair.
+        pairs = first.where("wider").groupBy("doc_id", "other_id").agg(F.collect_list(F.struct("d", "h")).alias("c"))
+        whole = texts_of(pairs.select("doc_id", "other_id", F.col("c.d").alias("d"), F.col("c.h").alias("h")), None).mapInArrow(align, schema)
         return written(first.where("not wider").union(whole).drop("wider", "d", "h").distinct())
 
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -723,11 +801,11 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     left = every.where("other_id is null and size(at) > 0").select("doc_id", "at", "key").join(spans, "doc_id", "left")
     seeds = written(left.mapInArrow(unknown, "doc_id long, at long, key long"))
     discard(every)
-    more = other_holders(seeds, words).select("doc_id", "other_id", F.explode(F.arrays_zip("path", "other_path")).alias("s")).select("doc_id", "other_id", F.col("s.path").alias("at"), F.col("s.other_path").alias("other_at")).distinct()
+    more = other_holders(seeds, words)
     others = written(more.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(chain_others, "doc_id long, other_id long, d array<int>, h array<int>"))
     out = one.union(tried(others)).distinct()
     # Of a document's passages, by their starts, those that end no later than one before lie within it.
-    before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "other_id", "other_start", "other_end").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("n_same"), "n_words", "other_id", "other_start", "other_end").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("_reach", F.max("end").over(before)).where("_reach is null or _reach < end").drop("_reach")
 
 
