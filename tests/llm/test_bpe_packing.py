@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 tokenizers = pytest.importorskip("tokenizers")
 
 from tidemark.llm import packing  # noqa: E402
-from tidemark.llm.bpe import codec, decode_ids, encode_documents, token_digests  # noqa: E402
+from tidemark.llm.bpe import MergeAutomaton, WordCodec, codec, decode_ids, encode_documents, token_digests  # noqa: E402
 from tidemark.llm.queries import word_bpe  # noqa: E402
 
 ODD = ["", " \n\t", "aaaaaaaaaaaaa", "Hello<|endoftext|>World <|ENDOFTEXT|>", "İstanbul ΣΑΣ ß é", "it's WE'LL 123 ²½ _-_", "\x1c\x1f\x85\xa0a b", "中文 ١٢٣ 😀", "x" * 5000]
@@ -109,3 +109,13 @@ def test_frequent_words_stay_remembered(monkeypatch):
     for i in range(40):
         c.encode(f"often, {'abcdefghij'[i % 10] * (2 + i // 10)}".encode())
     assert met.count("often") == 1 and len(met) == 42
+
+
+def test_arcs_are_listed_only_to_turn_back(monkeypatch):
+    c, listed = WordCodec(word_bpe()), []
+    inner = MergeAutomaton._inner
+    monkeypatch.setattr(MergeAutomaton, "_inner", lambda self, *a: listed.append(a[0]) or inner(self, *a))
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["th", "er", "an", "in", "ou", "le", "qu", "z"]) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
+    assert [np.frombuffer(c.encode(w.encode()), "<u4").tolist() for w in words] == [e.ids for e in c.library.encode_batch(words, add_special_tokens=False)]
+    assert 0 < len(set(listed)) < len(words) // 2

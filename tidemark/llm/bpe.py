@@ -110,22 +110,23 @@ class MergeAutomaton:
         """Tokens on the only path that spells ``symbols`` and ends with a last arc; longest arcs are tried first."""
         n, trie, final, arc, arcs = len(symbols), self.trie, self.last, self.arc, self.arcs
         path: list[int] = []
-        steps: list[tuple[int, list[tuple[int, int]]]] = []  # where a step began, the inner arcs left to try there
+        # Where a step began, the inner arcs left to try there; None: all that are shorter than its own.
+        steps: list[tuple[int, list[tuple[int, int]] | None]] = []
         i, last = 0, -1
         while True:  # mostly the longest arcs will do
             t = final.get(symbols[i:] if i else symbols)
             if t is None:
-                node, left, j = trie, [], i
+                node, longest, j = trie, None, i
                 for c in symbols[i:-1]:
                     node = node.get(c)
                     if node is None:
                         break
                     j += 1
                     if "" in node:
-                        left.append((j, node[""]))
-                if not left:
+                        longest, end = node, j
+                if longest is None:
                     break
-                end, t = left.pop()
+                t = longest[""]
             else:
                 end = n
             if last >= 0:
@@ -135,7 +136,7 @@ class MergeAutomaton:
             path.append(t)
             if end == n:
                 return path
-            steps.append((i, left))
+            steps.append((i, None))
             i, last = end, t
         dead: set[tuple[int, int]] = set()
         while True:  # on from there, as there is one path only
@@ -145,16 +146,12 @@ class MergeAutomaton:
                 if arc(last, t) if known is None else known:
                     path.append(t)
                     return path
-            node, left = trie, []
-            for j in range(i, n - 1):
-                node = node.get(symbols[j])
-                if node is None:
-                    break
-                if "" in node:
-                    left.append((j + 1, node[""]))
-            steps.append((i, left))
+            steps.append((i, self._inner(symbols, i, n - 1)))
             while True:
-                i, left = steps[-1]
+                beyond, (i, left) = i, steps[-1]
+                if left is None:
+                    left = self._inner(symbols, i, beyond - 1)
+                    steps[-1] = i, left
                 last = path[-1] if path else -1
                 found = False
                 while left:
@@ -172,6 +169,17 @@ class MergeAutomaton:
                     raise ValueError(f"no path spells {symbols!r}")
                 dead.add((i, path.pop()))
 
+    def _inner(self, symbols: str, i: int, end: int) -> list[tuple[int, int]]:
+        """Ends, ``end`` at most, and tokens of the inner arcs that spell what follows ``i``, shortest first."""
+        node, out = self.trie, []
+        for j in range(i, end):
+            node = node.get(symbols[j])
+            if node is None:
+                break
+            if "" in node:
+                out.append((j + 1, node[""]))
+        return out
+
 
 class WordCodec:
     """Encoder and decoder for one ``tokenizers`` file with an end-of-word BPE model, as that library has them."""
