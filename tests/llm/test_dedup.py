@@ -10,6 +10,7 @@ import pytest
 
 from tidemark.llm import _common, minhash, substring
 from tidemark.llm.shingles import shingle_sets
+from tidemark.operators.components import connected_components
 
 SCHEMA = "doc_id long, text string"
 
@@ -77,6 +78,21 @@ def test_links_of_what_hubs_leave_apart(monkeypatch, least):
     assert len(links) == len(members) - len(set(true.values()))
 
 
+def test_rounds_of_components_are_tables_of_known_size(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(a, b) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(70))] + [(i, i + 1) for i in range(100, 140)] + [(5, 5), (None, 3)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    monkeypatch.setattr(type(edges), "checkpoint", None)  # its rows' size isn't known: nothing is broadcast, jobs run twice
+    root = {x: x for r in rows for x in r}
+    for _ in rows:
+        for a, b in rows:
+            if a is not None and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in rows if a is not None and a != b for x in (a, b)}
+    found = connected_components(edges).collect()
+    assert sorted(map(tuple, found)) == sorted((x, root[x]) for x in linked)
+
+
 def test_near_duplicate_edges(spark):
     text = " ".join(f"w{i}" for i in range(40))
     long = " ".join(f"v{i}" for i in range(60_000))

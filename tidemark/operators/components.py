@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,21 +28,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id for every node of ``edges`` (longs ``u``, ``v``): rows ``node``, ``component_id``.
 
     Alternates small-star and large-star steps until the edges form stars; each step is a pre-aggregated minimum and an
-    equi-join, and each round is checkpointed in the folder that ``spark.checkpoint.dir`` names. Self loops and nulls
-    are ignored; a node without an edge to another is absent from the result.
+    equi-join, and each round is written to the folder that ``spark.checkpoint.dir`` names, so that the next knows its
+    size and broadcasts what is small. Self loops and nulls are ignored; a node without an edge to another is absent from
+    the result.
     """
-    checkpoint_folder(edges.sparkSession)
-    e = edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct().checkpoint()
+    e = _kept(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct())
     while not _stars(e):
-        small = e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
-        e = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(e.select("v", "u"))
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        small = low.select("u", F.col("m").alias("v")).union(e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        both = small.select(F.col("u").alias("a"), F.col("v").alias("b")).union(small.select("v", "u"))
         large = both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a").where("b > a")
-        e = large.select(F.col("b").alias("u"), F.least("a", "m").alias("v")).where("u <> v").distinct().checkpoint()
+        e = _kept(large.select(F.col("b").alias("u"), F.least("a", "m").alias("v")).where("u <> v").distinct())
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component_id", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(roots)
 
 
+def _kept(edges: DataFrame) -> DataFrame:
+    """A round's edges as a Parquet table."""
+    spark = edges.sparkSession
+    path = f"{checkpoint_folder(spark)}/edges-{uuid.uuid4().hex}"
+    edges.write.parquet(path)
+    return spark.read.schema(edges.schema).parquet(path)
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node hangs on one other that hangs on none itself: then no step changes anything."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
