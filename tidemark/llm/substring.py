@@ -28,7 +28,7 @@ GAP, SHORT = 80, 12
 #: Words of a chain that counts even if nothing about it is known from earlier documents.
 FEW_WORDS = 25
 #: Bytes of text whose seeds are combined before they are shuffled.
-COMBINED = 48 << 20
+COMBINED = 16 << 20
 #: Bytes of text whose seeds a bucket holds, on average: a task has one bucket's in memory at a time.
 BUCKET = 16 << 20
 #: Characters aligned beyond a chain's ends, at first; whole texts if a passage reaches beyond them.
