@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 tokenizers = pytest.importorskip("tokenizers")
 
 from tidemark.llm import packing  # noqa: E402
-from tidemark.llm.bpe import MergeAutomaton, WordCodec, codec, decode_ids, encode_documents, token_digests  # noqa: E402
+from tidemark.llm.bpe import LibraryCodec, MergeAutomaton, WordCodec, codec, decode_ids, encode_documents, token_digests  # noqa: E402
 from tidemark.llm.queries import word_bpe  # noqa: E402
 
 ODD = ["", " \n\t", "aaaaaaaaaaaaa", "Hello<|endoftext|>World <|ENDOFTEXT|>", "İstanbul ΣΑΣ ß é", "it's WE'LL 123 ²½ _-_", "\x1c\x1f\x85\xa0a b", "中文 ١٢٣ 😀", "x" * 5000]
@@ -119,3 +119,13 @@ def test_arcs_are_listed_only_to_turn_back(monkeypatch):
     words = ["".join(rng.choice(["th", "er", "an", "in", "ou", "le", "qu", "z"]) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
     assert [np.frombuffer(c.encode(w.encode()), "<u4").tolist() for w in words] == [e.ids for e in c.library.encode_batch(words, add_special_tokens=False)]
     assert 0 < len(set(listed)) < len(words) // 2
+
+
+def test_packing_takes_merges_from_the_library(library, monkeypatch):
+    monkeypatch.setattr(MergeAutomaton, "encode", None)
+    c = codec(word_bpe(), LibraryCodec)
+    rng = random.Random(7)
+    alphabet = "aehotrn étöß'.,!?ÀİΣς\x1c 中😀½²_-\ń"
+    for t in [*ODD, *("".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(3000))]:
+        assert np.frombuffer(c.encode(t.encode()), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert not hasattr(c, "automaton")

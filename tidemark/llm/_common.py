@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -68,6 +69,32 @@ def one_each(docs: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("text").alias("text")).union(docs.where("doc_id is null").select("doc_id", "text"))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What a Python worker keeps under a name from task to task, until another operator needs the room."""
+    return _KEPT.setdefault(name, {})
+
+
+def _released() -> None:
+    """Hands memory that is free, but held by Arrow's and the C library's allocators, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task that needs much memory: what its worker kept for other operators goes first, and what its own
+    batches took is handed back after the last, as workers outlive their tasks."""
+    for x in _KEPT.values():
+        x.clear()
+    _released()
+    yield from batches
+    _released()
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null reads as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

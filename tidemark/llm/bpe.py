@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm._common import each_text
+from tidemark.llm._common import each_text, kept
 
 #: Pre-split words of text that is lower-case and within Latin-1, by the vocabulary's own pattern.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
@@ -195,12 +195,8 @@ class WordCodec:
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.alphabet = byte_alphabet()
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        symbols = [c + e for c in self.alphabet for e in ("", self.end)]
-        self.automaton = MergeAutomaton(symbols, merges)
-        self.automaton.index(self.end)
         vocab = model["vocab"]
-        self.ids = [vocab[s].to_bytes(4, "little") for s in self.automaton.label]
+        self._compile(model)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.small = size <= 1 << 16  # whether ids fit in 16 bits
@@ -230,6 +226,17 @@ class WordCodec:
 
         self.pieces = Pieces()
 
+    def _compile(self, model: dict) -> None:
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        symbols = [c + e for c in self.alphabet for e in ("", self.end)]
+        self.automaton = MergeAutomaton(symbols, merges)
+        self.automaton.index(self.end)
+        self.ids = [model["vocab"][s].to_bytes(4, "little") for s in self.automaton.label]
+
+    def _merged(self, symbols: str) -> bytes:
+        """Ids of a word that isn't remembered."""
+        return b"".join([self.ids[t] for t in self.automaton.encode(symbols)])
+
     @functools.cached_property
     def library(self):
         """The library's tokenizer, whose normalizer and pre-tokenizer serve text beyond Latin-1."""
@@ -248,7 +255,7 @@ class WordCodec:
                 self.words[word] = ids
                 return ids
             symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.of_bytes)
-            ids = self.words[word] = b"".join([self.ids[t] for t in self.automaton.encode(symbols)])
+            ids = self.words[word] = self._merged(symbols)
         return ids
 
     def _piece(self, piece: str) -> bytes:
@@ -283,14 +290,25 @@ class WordCodec:
         return b" ".join(map(self.labels.__getitem__, ids))
 
 
-_codecs: dict[str, WordCodec] = {}
+class LibraryCodec(WordCodec):
+    """The same, with the library's own merges for words that aren't remembered: no automaton is compiled or kept."""
+
+    def _compile(self, model: dict) -> None:
+        self.model = self.library.model
+        self.ids = {i: i.to_bytes(4, "little") for i in model["vocab"].values()}
+
+    def _merged(self, symbols: str) -> bytes:
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(symbols)])
+
+
+_codecs = kept("codecs")
 
 
-def codec(path: str) -> WordCodec:
+def codec(path: str, kind: type[WordCodec] = WordCodec) -> WordCodec:
     """The codec of a vocabulary file, compiled once in each Python worker."""
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
+    if (path, kind) not in _codecs:
+        _codecs[path, kind] = kind(path)
+    return _codecs[path, kind]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

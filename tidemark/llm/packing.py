@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import each_text
-from tidemark.llm.bpe import codec
+from tidemark.llm.bpe import LibraryCodec, codec
 
 LENGTH = 2048
 #: Bytes of text in a group, on average.
@@ -101,7 +101,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, end = codec(path), end_id.to_bytes(4, "little")
+        c, end = codec(path, LibraryCodec), end_id.to_bytes(4, "little")
         for b in batches:
             ids = (c.encode(t) + end for t in each_text(b.column(1)))
             ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if c.small else x for x in ids]
