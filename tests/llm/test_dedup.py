@@ -281,3 +281,23 @@ def test_batches_are_gathered_whole():
     got = list(_common.gathered(iter(batches), 1500))
     assert [r for b in got for r in b.column(0).to_pylist()] == [r for b in batches for r in b.column(0).to_pylist()]
     assert len(got) == 3 and list(_common.gathered(iter([]), 10)) == []
+
+
+@pytest.mark.parametrize("tasks", [minhash.signatures, lambda docs: substring.occurrences(docs, np.zeros(0, np.int64), 4)])
+def test_tasks_give_up_what_workers_kept(monkeypatch, tasks):
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    given = []
+    plain = _common.make_room
+    monkeypatch.setattr(_common, "make_room", lambda forget=False: given.append(forget) or plain(forget))
+    _common.kept("codecs")["some"] = object()
+    words = " ".join(f"w{i}" for i in range(80))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([words, words])], names=["doc_id", "text"])
+    out = list(tasks(Docs())(iter([batch])))
+    assert sum(b.num_rows for b in out) >= 2
+    assert not _common.kept("codecs") and given == [True, False]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,22 +78,29 @@ def kept(name: str) -> dict:
     return _KEPT.setdefault(name, {})
 
 
-def _released() -> None:
-    """Hands memory that is free, but held by Arrow's and the C library's allocators, back to the system."""
+def make_room(forget: bool = False) -> None:
+    """Hands memory that is free, but held by Arrow's and the C library's allocators, back to the system; beforehand, what
+    the worker keeps, if wanted."""
+    if forget and any(_KEPT.values()):
+        for x in _KEPT.values():
+            x.clear()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:
         trim(0)
 
 
-def lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task that needs much memory: what its worker kept for other operators goes first, and what its own
-    batches took is handed back after the last, as workers outlive their tasks."""
-    for x in _KEPT.values():
-        x.clear()
-    _released()
-    yield from batches
-    _released()
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that needs much memory: what its worker kept for other operators goes first, and what it took itself is handed
+    back at its end, as workers outlive their tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(forget=True)
+        yield from run(batches)
+        make_room()
+
+    return task
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -111,8 +119,9 @@ def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Record
     held, size = [], 0
     for b in batches:
         if held and size + b.nbytes > most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0  # only what is handed on stays
+            yield whole.pop()
         if b.num_rows:
             held.append(b)
             size += b.nbytes

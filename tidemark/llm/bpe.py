@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm._common import each_text, kept
+from tidemark.llm._common import each_text, kept, make_room
 
 #: Pre-split words of text that is lower-case and within Latin-1, by the vocabulary's own pattern.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
@@ -308,6 +308,7 @@ def codec(path: str, kind: type[WordCodec] = WordCodec) -> WordCodec:
     """The codec of a vocabulary file, compiled once in each Python worker."""
     if (path, kind) not in _codecs:
         _codecs[path, kind] = kind(path)
+        make_room()  # of the file's contents
     return _codecs[path, kind]
 
 

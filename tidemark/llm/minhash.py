@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import FEW, discard, one_each, texts, written
+from tidemark.llm._common import FEW, discard, lean, one_each, texts, written
 from tidemark.llm.features import by_size
 from tidemark.llm.shingles import WORDS, mix, shingle_sets
 from tidemark.operators.components import connected_components
@@ -46,6 +46,7 @@ def _seeds() -> np.ndarray:
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n`` (size of the shingle set), ``h1`` and ``h2`` (the set's digest) and ``sig``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds()
         for b in batches:
@@ -63,6 +64,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def chunk_keys(reps: DataFrame) -> DataFrame:
     """``key``, ``doc_id``, ``n``: for each chunk of a signature and each place of an error, the other symbols."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
@@ -109,6 +111,7 @@ def full_sets(docs: DataFrame, member: DataFrame, words: int = WORDS) -> DataFra
     names = member.columns
     few = member.count() <= FEW // 4  # a member is some 90 bytes
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, some in by_size(texts(b.column(0))):
@@ -122,6 +125,7 @@ def full_sets(docs: DataFrame, member: DataFrame, words: int = WORDS) -> DataFra
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """Of distinct ``a``, ``b`` pairs of ids, those whose full sets' intersection is ``percent`` of the union or more."""
 
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []

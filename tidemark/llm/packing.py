@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import each_text
+from tidemark.llm._common import each_text, make_room
 from tidemark.llm.bpe import LibraryCodec, codec
 
 LENGTH = 2048
@@ -106,6 +106,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
             ids = (c.encode(t) + end for t in each_text(b.column(1)))
             ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if c.small else x for x in ids]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array([c.small] * len(ids))], names=["doc_id", "ids", "small"])
+        make_room()
 
     def run(table: pa.Table) -> pa.Table:
         ids = [np.frombuffer(x, "<u2" if s else "<u4").astype("<u4") for x, s in zip(table.column("ids").to_pylist(), table.column("small").to_pylist())]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import discard, gathered, of_ids, one_each, runs, starts, texts, written
+from tidemark.llm._common import discard, gathered, lean, make_room, of_ids, one_each, runs, starts, texts, written
 from tidemark.llm.shingles import WORDS, batched_words, mix, windows, word_edges
 
 #: Of this many successive k-mers one at least is a seed: all exact runs of 8 words hold one.
@@ -185,9 +185,11 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
     no more rows than there are batches.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches, COMBINED):
             small, (seed, doc, at, around) = _seeded(b.column(0).to_numpy(), texts(b.column(1)), words)
+            del b  # here and below: each part goes once the next is made from it
             often = np.isin(seed, common)
             keys = [(mix(key + np.uint64(i)).view(np.int64), np.flatnonzero(often)[some]) for i, (some, key) in enumerate(_run_keys(seed[often], around[often]))]
             runs_ = [np.concatenate([k for k, _ in keys]), *(x[np.concatenate([s for _, s in keys])] for x in (doc, at))]
@@ -205,24 +207,32 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
                 links.append((d[later], a[later], d[before], a[before], s[later] if short else np.zeros(len(later), np.int64), proof[later]))
                 if short:
                     links.append((d[led], a[led], d[led], a[led], s[led], proof[led]))
+            around, some = around[first], len(first)
+            del small, runs_, keys, kinds, ctx, seed, doc, at, ends, often, first, later, before, led, s, proof, key
             d, a, other, other_at, own_key, proof = (np.concatenate(c) for c in zip(*links))
+            del links
             rows = []
             if len(d):
                 order = np.lexsort((a, d))
-                some = -1 - int(mix(d[:1].view(np.uint64))[0] % np.uint64(buckets))
-                rows.append(_pack(some, d[order], [a[order], other[order], other_at[order], own_key[order]], proof[order].astype("<i4")))
+                bucket = -1 - int(mix(d[:1].view(np.uint64))[0] % np.uint64(buckets))
+                rows.append(_pack(bucket, d[order], [a[order], other[order], other_at[order], own_key[order]], proof[order].astype("<i4")))
+            del other, other_at, own_key
             key, d, a, proof = (np.concatenate(c) for c in zip(*heads))
+            del heads
             wide = np.zeros(len(key), bool)
-            wide[len(key) - len(first) :] = True
+            wide[len(key) - some :] = True
             bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((a, d, wide, bucket))
             cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
             for i, j in zip(cut[:-1], cut[1:]):
                 o = order[i:j]
-                own = around[first[o[wide[o]] - (len(key) - len(first))]]
+                own = around[o[wide[o]] - (len(key) - some)]
                 rows.append(_pack(int(bucket[o[0]]), d[o], [a[o], key[o], proof[o]], own))
+            del key, d, a, proof, wide, bucket, order, around
             for i in range(0, len(rows), 1024):
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 1024]), _PACKS)], schema=_PACKS)
+            del rows
+            make_room()
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, n long, doc binary, at binary, x binary, y binary, z binary, around binary")
 
@@ -231,6 +241,7 @@ def common_windows(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Long windows that one document in COMMON holds, judged by a sample. As many can be COMMON times those of a mean
     document at most, so the list doesn't grow with the corpus; it only decides how windows are dealt out."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, (seed, doc, _, _) = _seeded(b.column(0).to_numpy(), texts(b.column(1)), words, short=False)
@@ -258,6 +269,7 @@ def seed_matches(docs: DataFrame, words: int = WORDS) -> DataFrame:
         n = np.array([p[0] for p in parts])
         doc, at, key, proof = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
         prints = [np.frombuffer(p[5], np.uint8).reshape(-1, HALF + 2) for p in parts]
+        del parts
         m = np.array([len(p) for p in prints])
         row = np.full(len(key), -1)  # of the words around it
         ends = np.cumsum(n)
@@ -279,6 +291,7 @@ def seed_matches(docs: DataFrame, words: int = WORDS) -> DataFrame:
         i, j, w = (np.concatenate(c) for c in zip(*out))
         return doc[i], doc[j], at[i], at[j], np.where(plain[i], key[i], 0), w
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["bucket"]):
             cut = [*starts(t, ["bucket"]).tolist(), t.num_rows]
@@ -609,6 +622,7 @@ def other_holders(seeds: DataFrame, words: int = WORDS) -> DataFrame:
     """
     schema = "key long, doc_id long, paths array<long>, least int, most int"
 
+    @lean
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
@@ -636,6 +650,7 @@ def other_holders(seeds: DataFrame, words: int = WORDS) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(paths.ravel()[offsets[0] : offsets[-1]]))
                     yield pa.record_batch([pa.array(new[first[some]]), pa.array(np.full(n, b.column(0)[r].as_py())), lists, pa.array(least[some]), pa.array(most[some])], names=["key", "doc_id", "paths", "least", "most"])
 
+    @lean
     def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All places of a document's shared seeds."""
         for b in batches:
@@ -701,6 +716,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     schema = "doc_id long, other_id long, d array<int>, h array<int>, at array<long>, key array<long>"
     kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 2]
 
+    @lean
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chains; and, with a null ``other_id``, a document's shared seeds outside the passages that are known."""
         for t in runs(batches, ["doc_id"]):
@@ -715,6 +731,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 out.append((int(doc[a]), None, None, None, *_unknown(at[short], key[short], sure, words)))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], schema=pa.schema(list(zip(["doc_id", "other_id", "d", "h", "at", "key"], kinds))))
 
+    @lean
     def chain_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["doc_id"]):
             doc, other, at, other_at = (t.column(i).to_numpy() for i in range(4))
@@ -743,6 +760,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
         mine = chains_.join(docs, "doc_id").select(*chains_.columns, *[c.alias(n) for c, n in zip(part("text", "d", margin), names)])
         return mine.join(other.withColumnRenamed("doc_id", "other_id"), "other_id").select(*mine.columns, *[c.alias(n.replace("a", "b", 1) if n != "da" else "ha") for c, n in zip(part("text", "h", margin), names)])
 
+    @lean
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "n_words", "n_same"]
         kinds = [*[pa.int64()] * 8, pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -779,6 +797,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
         whole = texts_of(pairs.select("doc_id", "other_id", F.col("c.d").alias("d"), F.col("c.h").alias("h")), None).mapInArrow(align, schema)
         return written(first.where("not wider").union(whole).drop("wider", "d", "h").distinct())
 
+    @lean
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
