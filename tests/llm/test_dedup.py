@@ -270,6 +270,29 @@ def test_substring_edges(spark):
     assert substring.without_repeats(docs.limit(0)).columns == docs.columns
 
 
+def test_own_passages_are_not_linked_with_their_own_place(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    some = lambda n: [word() for _ in range(n)]
+    line = some(20)  # twice, apart: short of a passage, so all k-mers of the text are looked at
+    rows = [(i, " ".join(line[:15] + some(90 + i) + line + some(30) + line[:12])) for i in range(8)]
+    found = substring.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r for r in found if r["doc_id"] == r["other_id"]] == []
+
+
+def test_alike_places_nearest_to_the_line():
+    rng = random.Random(6)
+    for k in range(60):
+        a, b = ([rng.choice("abc") for _ in range(80)] for _ in range(2))
+        x, y = substring._Words(" ".join(a)), substring._Words(" ".join(b))
+        at, to = np.array([10, 40]), np.array([5 + k % 30, 60])
+        got = dict(zip(*(c.tolist() for c in substring.every_match(x, y, at, to))))
+        for i, j in got.items():
+            line = np.interp(i, at, to) + min(i - 10, 0) + max(i - 40, 0)
+            alike = [n for n in range(76) if b[n : n + 5] == a[i : i + 5]]
+            assert j == min(alike, key=lambda n: (abs(n - line), n))
+
+
 def test_packed_columns_come_back():
     rng = np.random.default_rng(3)
     for x in (np.zeros(0, np.int64), np.array([-1, 2**62, -(2**63)]), rng.integers(-(2**63), 2**63 - 1, 1000)):

@@ -31,6 +31,8 @@ FEW_WORDS = 25
 COMBINED = 16 << 20
 #: Bytes of text whose seeds a bucket holds, on average: a task has one bucket's in memory at a time.
 BUCKET = 16 << 20
+#: Classes that seeds and documents are dealt into, at least.
+CLASSES = 32
 #: Characters aligned beyond a chain's ends, at first; whole texts if a passage reaches beyond them.
 MARGIN = 800
 #: Documents that share a chain of seeds, up to which each is linked with every earlier one; more are told apart by one
@@ -48,10 +50,15 @@ def _code_points(text: bytes) -> np.ndarray:
 
 
 def _winnowed(key: np.ndarray, window: int) -> np.ndarray:
-    """Places that hold the least of some ``window`` successive keys."""
-    pad = np.concatenate([key, np.full(window - 1, _NONE, np.uint64)])
-    view = np.lib.stride_tricks.sliding_window_view(pad, window)
-    return np.unique(np.concatenate([(view[at : at + 65536].argmin(1) + np.arange(at, min(at + 65536, len(key)))) for at in range(0, len(key), 65536)]))
+    """Places that hold the least of some ``window`` successive keys, the first of equal ones."""
+    least = np.concatenate([key, np.full(window - 1, _NONE, np.uint64)])
+    at, wide = np.arange(len(least)), 1
+    while wide < window:  # two windows that overlap or touch make a wider one
+        step = min(wide, window - wide)
+        later = least[step:] < least[:-step]
+        at, least = np.where(later, at[step:], at[:-step]), np.where(later, least[step:], least[:-step])
+        wide += step
+    return at[np.diff(at, prepend=-1) != 0]
 
 
 def _long(k: np.ndarray, h: np.ndarray, own: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,17 +109,19 @@ def _seeded(ids: np.ndarray, every: list[bytes], words: int, short: bool = True)
     return [np.concatenate(c) for c in zip(*small)], [np.concatenate(c) for c in zip(*large)]
 
 
-def _linked(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch's occurrences of keys: the first of each key; pairs of a later occurrence and an earlier one, which is the
-    one before in the same document, or else the key's first; and the firsts that others follow. The holders that this
-    leaves out are met by ``other_holders``."""
-    order = np.lexsort((at, doc, key))
+def _linked(key: np.ndarray, doc: np.ndarray, at: np.ndarray, in_order: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's occurrences of keys, which may be in the order of documents and places: the first of each key; pairs of a
+    later occurrence and an earlier one, which is the one before in the same document, or else the key's first; and the
+    firsts that others follow. The holders that this leaves out are met by ``other_holders``."""
+    order = np.argsort(key, kind="stable") if in_order else np.lexsort((at, doc, key))
     k, d = key[order], doc[order]
     new = np.diff(k, prepend=k[:1] ^ 1) != 0
     head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
     again = ~new & (np.diff(d, prepend=d[:1]) == 0)
     later = np.flatnonzero(~new)
-    return order[new], order[later], order[np.where(again, np.arange(len(k)) - 1, head)[later]], order[new & ~np.append(new[1:], True)]
+    later, before = order[later], order[np.where(again, np.arange(len(k)) - 1, head)[later]]
+    by = np.argsort(later)
+    return np.sort(order[new]), later[by], before[by], np.sort(order[new & ~np.append(new[1:], True)])
 
 
 def _run_keys(seed: np.ndarray, around: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -174,6 +183,46 @@ def _pack(bucket: int, first: np.ndarray, columns: list[np.ndarray], around: np.
 _PACKS = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("doc", "at", "x", "y", "z", "around"))])
 
 
+def _class(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Of documents or keys, one of ``buckets`` classes."""
+    return (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """The order of buckets, and as it was within each."""
+    few = len(bucket) and bucket.max() < 1 << 16  # sorted by radix
+    return np.argsort(bucket.astype(np.uint16) if few else bucket, kind="stable")
+
+
+def _dealt(bucket: np.ndarray, doc: np.ndarray, columns: list[np.ndarray], proof: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_PACKS``, one for each bucket."""
+    order = np.argsort(doc)
+    order = order[_by_bucket(bucket[order])]
+    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
+    for k in range(0, len(cut) - 1, 1024):
+        rows = []
+        for i, j in zip(cut[k : k + 1024], cut[k + 1 : k + 1025]):
+            o = order[i:j]
+            rows.append(_pack(int(bucket[o[0]]), doc[o], [c[o] for c in columns], np.zeros(0, np.uint8) if proof is None else proof[o].astype("<i4")))
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKS)], schema=_PACKS)
+
+
+def _buckets(t: pa.Table) -> Iterator[pa.Table]:
+    """Rows of each bucket."""
+    cut = [*starts(t, ["bucket"]).tolist(), t.num_rows]
+    return (t.slice(a, b - a) for a, b in zip(cut[:-1], cut[1:]))
+
+
+def _read(t: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Documents of packed rows, and what else is asked for."""
+    parts = t.to_pylist()
+    doc = np.concatenate([np.cumsum(_unpacked(r["doc"], r["n"])) for r in parts])
+    return [doc, *(np.concatenate([_unpacked(r[c], r["n"]) for r in parts]) for c in columns)]
+
+
+_PACKED = "bucket long, n long, doc binary, at binary, x binary, y binary, z binary, around binary"
+
+
 def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int = WORDS) -> DataFrame:
     """Seeds, combined within each batch: a seed's first occurrence there goes on alone, the others are links with it. Long
     windows are combined where all words around them agree. Those of ``common`` go on as runs of twice HALF words, so
@@ -188,8 +237,10 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches, COMBINED):
-            small, (seed, doc, at, around) = _seeded(b.column(0).to_numpy(), texts(b.column(1)), words)
-            del b  # here and below: each part goes once the next is made from it
+            ids, every = b.column(0).to_numpy(), texts(b.column(1))
+            order = np.argsort(ids, kind="stable").tolist()
+            small, (seed, doc, at, around) = _seeded(ids[order], [every[i] for i in order], words)
+            del b, ids, every  # here and below: each part goes once the next is made from it
             often = np.isin(seed, common)
             keys = [(mix(key + np.uint64(i)).view(np.int64), np.flatnonzero(often)[some]) for i, (some, key) in enumerate(_run_keys(seed[often], around[often]))]
             runs_ = [np.concatenate([k for k, _ in keys]), *(x[np.concatenate([s for _, s in keys])] for x in (doc, at))]
@@ -201,7 +252,7 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
             heads, links = [], []
             kinds = (np.zeros(len(small[0]), np.int32), _proof(ends, HALF - ends), _proof(around[:, HALF], around[:, HALF + 1]))
             for proof, key, (s, d, a) in zip(kinds, (small[0], runs_[0], ctx.view(np.int64)), (small, runs_, (seed, doc, at))):
-                first, later, before, led = _linked(key, d, a)
+                first, later, before, led = _linked(key, d, a, proof is not kinds[1])
                 heads.append((s[first], d[first], a[first], proof[first]))
                 short = s is small[0]
                 links.append((d[later], a[later], d[before], a[before], s[later] if short else np.zeros(len(later), np.int64), proof[later]))
@@ -213,16 +264,15 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
             del links
             rows = []
             if len(d):
-                order = np.lexsort((a, d))
-                bucket = -1 - int(mix(d[:1].view(np.uint64))[0] % np.uint64(buckets))
-                rows.append(_pack(bucket, d[order], [a[order], other[order], other_at[order], own_key[order]], proof[order].astype("<i4")))
+                bucket = -1 - int(_class(d[:1], buckets)[0])
+                rows.append(_pack(bucket, d, [a, other, other_at, own_key], proof.astype("<i4")))
             del other, other_at, own_key
             key, d, a, proof = (np.concatenate(c) for c in zip(*heads))
             del heads
             wide = np.zeros(len(key), bool)
             wide[len(key) - some :] = True
             bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((a, d, wide, bucket))
+            order = _by_bucket(bucket)  # long windows come last in each
             cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
             for i, j in zip(cut[:-1], cut[1:]):
                 o = order[i:j]
@@ -234,7 +284,7 @@ def occurrences(docs: DataFrame, common: np.ndarray, buckets: int, words: int =
             del rows
             make_room()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, n long, doc binary, at binary, x binary, y binary, z binary, around binary")
+    return docs.select("doc_id", "text").mapInArrow(run, _PACKED)
 
 
 def common_windows(docs: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -254,10 +304,19 @@ def common_windows(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.array(sorted(r[0] for r in rows), np.int64)
 
 
-def seed_matches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``other_id``, ``at``, ``other_at``, ``key``: each seed beyond its first with an earlier holder, and the
-    first with itself; with ``proof`` over 0 (and ``key`` 0), each long window with those that agree with it on the runs of
-    twice HALF words that were before around it."""
+def classes(docs: DataFrame) -> int:
+    """How many classes seeds and documents are dealt into."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(CLASSES, -(-size // BUCKET))  # rows are packed for each pair of classes, so small tables have few
+
+
+def seed_matches(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
+    """Each seed beyond its first with an earlier holder, and the first with itself; with a proof over 0 (and a key of 0), each
+    long window with those that agree with it on the runs of twice HALF words that were before around it.
+
+    Rows are like those of ``occurrences``, and ``matched`` reads them: what a bucket of seeds has for one class of documents
+    is one row of compressed columns (``x``: other documents, ``y``: places there, ``z``: keys of short seeds, ``around``:
+    proofs). All rows of a class (``bucket``) are in one partition, one after another."""
 
     def found(t: pa.Table) -> tuple:
         """Matches of one bucket."""
@@ -267,24 +326,26 @@ def seed_matches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             keys = np.concatenate([_unpacked(r["z"], r["n"]) for r in t.to_pylist()])
             return doc, other, at, other_at, keys, np.concatenate([np.frombuffer(p[5], "<i4") for p in parts])
         n = np.array([p[0] for p in parts])
+        m = np.array([len(p[5]) // (HALF + 2) for p in parts])
         doc, at, key, proof = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
         prints = [np.frombuffer(p[5], np.uint8).reshape(-1, HALF + 2) for p in parts]
         del parts
-        m = np.array([len(p) for p in prints])
         row = np.full(len(key), -1)  # of the words around it
         ends = np.cumsum(n)
         row[np.repeat(ends - m, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)] = np.arange(m.sum())
-        order = np.lexsort((at, doc, key))
+        order = np.argsort(key)
+        again = np.diff(key[order], prepend=key[order[:1]] ^ 1) == 0
+        order = order[again | np.append(again[1:], False)]  # what is shared
+        order = order[np.lexsort((at[order], doc[order], key[order]))]
         doc, at, key, proof, row = (x[order] for x in (doc, at, key, proof, row))
         new = np.diff(key, prepend=key[:1] ^ 1) != 0
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         some = np.flatnonzero(~new)
         out = [(some, head[some], np.where(row[some] < 0, proof[some], 0).astype(np.int32))]
-        shared = ~new | np.append(~new[1:], False)
         plain = (row < 0) & (proof == 0)
-        some = np.flatnonzero(new & shared & plain)
+        some = np.flatnonzero(new & plain)
         out.append((some, some, np.zeros(len(some), np.int32)))
-        some = np.flatnonzero((row >= 0) & shared)
+        some = np.flatnonzero(row >= 0)
         if len(some):
             later, first, agree = _holders(key[some], np.concatenate(prints)[row[some]])
             out.append((some[later], some[first], agree))
@@ -297,14 +358,18 @@ def seed_matches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             cut = [*starts(t, ["bucket"]).tolist(), t.num_rows]
             for a, b in zip(cut[:-1], cut[1:]):
                 doc, other, at, other_at, key, proof = found(t.slice(a, b - a))
-                for k in range(0, len(doc), 1 << 16):
-                    part = [pa.array(x[k : k + (1 << 16)]) for x in (doc, other, at, other_at, key)]
-                    yield pa.record_batch([*part, pa.array(proof[k : k + (1 << 16)], pa.int32())], names=["doc_id", "other_id", "at", "other_at", "key", "proof"])
+                yield from _dealt(_class(doc, buckets), doc, [at, other, other_at, key], proof)
+                del doc, other, at, other_at, key, proof
 
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     dealt = occurrences(docs, common_windows(docs, words), buckets, words).repartition("bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, other_id long, at long, other_at long, key long, proof int")
+    matches = dealt.sortWithinPartitions("bucket").mapInArrow(run, _PACKED)
+    return matches.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def matched(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Matches of one class of documents: document, other document, places in both, key and proof."""
+    doc, at, other, other_at, key = _read(t, "at", "x", "y", "z")
+    return doc, other, at, other_at, key, np.concatenate([np.frombuffer(x, "<i4") for x in t.column("around").to_pylist()])
 
 
 def chains(d: np.ndarray, h: np.ndarray) -> list[list[int]]:
@@ -343,7 +408,13 @@ def chains(d: np.ndarray, h: np.ndarray) -> list[list[int]]:
         waiting.append(i)
     used = [False] * n
     out = []
-    for i in sorted(range(n), key=lambda i: (-score[i], i)):
+    for i in np.argsort(-np.array(score), kind="stable").tolist():
+        if used[i]:
+            continue
+        if before[i] < 0 or used[before[i]]:
+            used[i] = True
+            out.append([i])
+            continue
         path = []
         while i >= 0 and not used[i]:
             used[i] = True
@@ -387,36 +458,45 @@ def _common(x: list[int], y: list[int]) -> int:
     return a + b + int(wide[-1])
 
 
-def _extend(x: np.ndarray, y: np.ndarray, xs: list[int], ys: list[int]) -> tuple[int, int, int]:
-    """How far two sequences, given as arrays and as lists, stay alike from their beginning: lengths of both parts and
+def _run(x: np.ndarray, y: np.ndarray, i: int, j: int, n: int) -> int:
+    """How many of ``n`` words from ``i`` and ``j`` on are equal before the first that differ."""
+    at, wide = 0, 32
+    while at < n:
+        differ = x[i + at : i + min(at + wide, n)] != y[j + at : j + min(at + wide, n)]
+        run = int(differ.argmax())
+        if differ[run]:
+            return at + run
+        at, wide = at + wide, 4 * wide
+    return n
+
+
+def _extend(x: np.ndarray, y: np.ndarray, xs: list[int], ys: list[int], i0: int, j0: int) -> tuple[int, int, int]:
+    """How far two sequences, given as arrays and as lists, stay alike from ``i0`` and ``j0`` on: lengths of both parts and
     matches. A change of up to 4 words is bridged if 4 equal words follow, and replaced words are if over twice as many
     equal ones follow."""
-    i = j = same = 0
+    i, j, same = i0, j0, 0
     while True:
         n = min(len(x) - i, len(y) - j)
-        if not n or xs[i] != ys[j]:
-            run = 0
-        else:
-            differ = x[i : i + n] != y[j : j + n]
-            run = int(differ.argmax())
-            if not differ[run]:
-                run = n
-        i, j, same = i + run, j + run, same + run
-        for a, b in _CHANGES:
-            u = xs[i + a : i + a + 4]
-            if len(u) == 4 and u == ys[j + b : j + b + 4]:
+        if n and xs[i] == ys[j]:
+            run = _run(x, y, i, j, n)
+            i, j, same = i + run, j + run, same + run
+        u, v = xs[i : i + 8], ys[j : j + 8]
+        if len(u) > 3 and len(v) > 3:
+            near = [tuple(v[b : b + 4]) for b in range(min(5, len(v) - 3))]
+            far = [tuple(u[a : a + 4]) for a in range(min(5, len(u) - 3))]
+            if not set(near).isdisjoint(far):
+                a, b = next((a, b) for a, b in _CHANGES if a < len(far) and b < len(near) and far[a] == near[b])
                 i, j = i + a, j + b
-                break
-        else:
-            n = min(len(x) - i, len(y) - j, LEAST)
-            if not n:
-                return i, j, same
-            equal = x[i : i + n] == y[j : j + n]
-            score = np.where(equal, 1, -2).cumsum()
-            n = int(score.argmax()) + 1
-            if score[n - 1] <= 0:
-                return i, j, same
-            i, j, same = i + n, j + n, same + int(equal[:n].sum())
+                continue
+        n = min(len(x) - i, len(y) - j, LEAST)
+        if not n:
+            return i - i0, j - j0, same
+        equal = x[i : i + n] == y[j : j + n]
+        score = np.where(equal, 1, -2).cumsum()
+        n = int(score.argmax()) + 1
+        if score[n - 1] <= 0:
+            return i - i0, j - j0, same
+        i, j, same = i + n, j + n, same + int(equal[:n].sum())
 
 
 _CHANGES = sorted(((a, b) for a in range(5) for b in range(5) if a + b), key=lambda c: (max(c), sum(c)))
@@ -428,13 +508,34 @@ class _Words:
 
     def __init__(self, text: str):
         raw = text.encode()
-        self.list = list(map(hash, raw.lower().split()))
+        each = raw.lower().split()
+        self.list = list(map(hash, each))
+        self.back = self.list[::-1]
         self.h = np.array(self.list, np.int64)
-        edge = word_edges(raw)
-        self.begin, self.end = edge[::2], edge[1::2]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        if len(each) and size.sum() + len(each) - 1 == len(raw):  # one character between words, none about them
+            self.end = np.cumsum(size + 1) - 1
+            self.begin = self.end - size
+        else:
+            edge = word_edges(raw)
+            self.begin, self.end = edge[::2], edge[1::2]
         if len(raw) > len(text):
             at = _code_points(raw)
             self.begin, self.end = at[self.begin], at[self.end]
+        self.shared: tuple = (None,)
+
+    def shared_with(self, other: _Words, words: int) -> tuple[np.ndarray, ...]:
+        """Where k-mers are that ``other`` has, too; from and to which number they are in its k-mers by their order, which
+        is the fourth, and the last is that order's key, to find a place near another by."""
+        if self.shared[0] is not other:
+            kx, ky = (windows(t.h.view(np.uint64), words) for t in (self, other))
+            order = np.argsort(ky, kind="stable")
+            sorted_ = ky[order]
+            low = np.searchsorted(sorted_, kx)
+            i = np.flatnonzero(sorted_[np.minimum(low, len(sorted_) - 1)] == kx) if len(sorted_) else low[:0]
+            group = np.cumsum(np.diff(sorted_, prepend=sorted_[:1]) != 0)
+            self.shared = other, i, low[i], np.searchsorted(sorted_, kx[i], "right"), order, group << 32 | order
+        return self.shared[1:]
 
 
 def aligned(x: _Words, y: _Words, i: np.ndarray, j: np.ndarray, words: int = WORDS) -> list[tuple[int, int, int, int, int, int]]:
@@ -442,20 +543,24 @@ def aligned(x: _Words, y: _Words, i: np.ndarray, j: np.ndarray, words: int = WOR
     matches."""
     hx, hy = x.h, y.h
     lx, ly = x.list, y.list
+    bx, by = hx[::-1], hy[::-1]
+    di, dj = np.diff(i), np.diff(j)
     out = []
 
     def gaps(p: int, q: int) -> int:
         """Matches from seed ``p`` to the end of seed ``q``."""
         if i[q] - i[p] == j[q] - j[p] and (hx[i[p] : i[q]] == hy[j[p] : j[q]]).all():
             return int(i[q] - i[p]) + words
-        return sum(_common(lx[i[k] : i[k + 1]], ly[j[k] : j[k + 1]]) for k in range(p, q)) + words
+        x, y = di[p:q], dj[p:q]
+        plain = (x == y) & (x <= words)  # words of the first seed
+        return int(x[plain].sum()) + sum(_common(lx[i[k] : i[k + 1]], ly[j[k] : j[k + 1]]) for k in (np.flatnonzero(~plain) + p).tolist()) + words
 
     todo = [(0, len(i) - 1)]
     while todo:
         p, q = todo.pop()
         same = gaps(p, q)
-        r, s, more = _extend(hx[i[q] + words :], hy[j[q] + words :], lx[i[q] + words :], ly[j[q] + words :])
-        t, u, less = _extend(hx[: i[p]][::-1], hy[: j[p]][::-1], lx[: i[p]][::-1], ly[: j[p]][::-1])
+        r, s, more = _extend(hx, hy, lx, ly, int(i[q]) + words, int(j[q]) + words)
+        t, u, less = _extend(bx, by, x.back, y.back, len(lx) - int(i[p]), len(ly) - int(j[p]))
         if 100 * (same + more + less) < PERCENT * max(i[q] - i[p] + words + r + t, j[q] - j[p] + words + s + u):
             r = s = more = t = u = less = 0
         i0, i1, j0, j1 = i[p] - t, i[q] + words + r, j[p] - u, j[q] + words + s
@@ -464,84 +569,103 @@ def aligned(x: _Words, y: _Words, i: np.ndarray, j: np.ndarray, words: int = WOR
             if i1 - i0 >= LEAST:
                 out.append((int(x.begin[i0]), int(x.end[i1 - 1]), int(y.begin[j0]), int(y.end[j1 - 1]), int(i1 - i0), int(same)))
         elif q > p:
-            wide = np.maximum(np.diff(i[p : q + 1]), np.diff(j[p : q + 1]))
+            wide = np.maximum(di[p:q], dj[p:q])
             k = p + int(wide.argmax())
             todo += [(p, k), (k + 1, q)]
     return out
 
 
-def every_match(x: _Words, y: _Words, at: np.ndarray, to: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """All k-mers of ``x`` that ``y`` has, not only seeds: where they are in both, in ``y`` the place that is nearest to
-    the line through the matches ``at`` and ``to``. Of long runs each fourth is kept, and the ends."""
-    kx, ky = (windows(t.h.view(np.uint64), words) for t in (x, y))
-    order = np.argsort(ky, kind="stable")
-    sorted_ = ky[order]
-    low = np.searchsorted(sorted_, kx)
-    i = np.flatnonzero(sorted_[np.minimum(low, len(sorted_) - 1)] == kx)
-    low, high = low[i], np.searchsorted(sorted_, kx[i], "right")
-    near = np.interp(i, at, to) + np.minimum(i - at[0], 0) + np.maximum(i - at[-1], 0)
-    j = order[low]
-    for n in np.flatnonzero(high - low > 1).tolist():
-        some = order[low[n] : high[n]]
-        j[n] = some[np.abs(some - near[n]).argmin()]
+def every_match(x: _Words, y: _Words, at: np.ndarray, to: np.ndarray, words: int = WORDS, near: int | None = None, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All k-mers of ``x`` that ``y`` has, not only seeds, or those within ``near`` characters of the matches ``at`` and
+    ``to``: where they are in both, in ``y`` the place that is nearest to the line through the matches, of one's
+    ``own`` text one that is a passage's length before. Of long runs each fourth is kept, and the ends."""
+    i, low, high, order, by = x.shared_with(y, words)
+    if near is not None:
+        a, b = np.searchsorted(i, np.searchsorted(x.begin, (x.begin[at[0]] - near, x.begin[at[-1]] + near)))
+        i, low, high = i[a:b], low[a:b], high[a:b]
+    if own:
+        high = np.searchsorted(by, (by[low] >> 32 << 32) + np.maximum(0, i - LEAST + 1)) if len(i) else high
+        i, low, high = i[high > low], low[high > low], high[high > low]
+    if not len(i):
+        return i, i
+    line = np.interp(i, at, to) + np.minimum(i - at[0], 0) + np.maximum(i - at[-1], 0)
+    after = np.searchsorted(by, (by[low] >> 32 << 32) + np.maximum(0, np.ceil(line)).astype(np.int64))
+    j, before = order[np.minimum(after, high - 1)], order[np.maximum(after - 1, low)]
+    j = np.where(np.abs(before - line) <= np.abs(j - line), before, j)
+    if near is not None:
+        some = (y.begin[j] >= y.begin[to[0]] - near) & (y.begin[j] < y.begin[to[-1]] + near)
+        i, j = i[some], j[some]
     follows = (np.diff(i) == 1) & (np.diff(j) == 1)
     inner = np.append(False, follows) & np.append(follows, False) & (i % 4 > 0)
     return i[~inner], j[~inner]
 
 
-def passages(a: str | _Words, b: str | _Words, d: np.ndarray, h: np.ndarray, words: int = WORDS) -> list[tuple[int, int, int, int, int, int]]:
+def passages(a: str | _Words, b: str | _Words, d: np.ndarray, h: np.ndarray, words: int = WORDS, near: int | None = None, own: bool = False) -> list[tuple[int, int, int, int, int, int]]:
     """Passages about a chain of seeds at characters ``d`` and ``h``, as ``aligned`` gives them; where one alone doesn't
-    cover the chain, and where the chain is short, all k-mers that both texts have are chained anew."""
+    cover the chain, and where the chain is short, all k-mers that both texts have are chained anew, or those within
+    ``near`` characters of the chain. Where both are one's ``own`` text, nothing is a passage of what is at its place."""
     x, y = (_Words(t) if isinstance(t, str) else t for t in (a, b))
     i, j = np.searchsorted(x.begin, d), np.searchsorted(y.begin, h)
     out = aligned(x, y, i, j, words)
     if not any(s <= d[0] and e > d[-1] for s, e, *_ in out):
-        i, j = every_match(x, y, i, j, words)
-        for path in chains(i, j):
+        i, j = every_match(x, y, i, j, words, near, own)
+        for path in chains(i, j) if len(i) else []:
             if i[path[-1]] - i[path[0]] + words >= SHORT:
                 out += aligned(x, y, i[path], j[path], words)
-    return sorted(set(out))
+    return sorted({o for o in out if not own or o[0] > o[2]})
 
 
 def _surely(d: np.ndarray, h: np.ndarray, words: int) -> bool:
     """Whether a chain's seeds alone (``d``, ``h`` in words) make it a passage."""
+    if d[-1] - d[0] + words < LEAST:
+        return False
     x, y = np.diff(d), np.diff(h)
     same = words + np.where((x == y) & (x <= words), x, np.minimum(words, np.minimum(x, y))).sum()
     span = max(d[-1] - d[0], h[-1] - h[0]) + words
-    return bool(d[-1] - d[0] + words >= LEAST and 100 * same >= PERCENT * span)
+    return bool(100 * same >= PERCENT * span)
 
 
-def _document_chains(doc: int, other: np.ndarray, at: np.ndarray, other_at: np.ndarray, proof: np.ndarray, words: int, few: int = FEW_WORDS) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
+def _document_chains(doc: int, other: np.ndarray, at: np.ndarray, other_at: np.ndarray, proof: np.ndarray, every: np.ndarray, words: int, few: int = FEW_WORDS) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
     """Chains of one document's matches, sorted by ``other``, ``at`` and ``other_at``: the other document and the seeds'
     characters in both. One that lies within another that is a passage by its seeds alone, or by a long window's proof,
-    is left out. Beside them the words, from and to, that are such passages."""
+    is left out. Beside them the words, from and to, that are such passages. ``every`` are the words, in order, of all that
+    earlier documents have of it, which may be more than its matches."""
     word, other_word = at & 0xFFFFFFFF, other_at & 0xFFFFFFFF
     found = []
     held: list[tuple[int, int]] = []
     cut = np.append(np.flatnonzero(np.diff(other, prepend=other[:1] ^ 1)), len(other)).tolist()
     for a, b in zip(cut[:-1], cut[1:]):
-        if not proof[a:b].any() and (b - a < 2 or word[b - 1] - word[a] + words < SHORT):
-            continue
-        new = a + np.flatnonzero((np.diff(at[a:b], prepend=-1) != 0) | (np.diff(other_at[a:b], prepend=-1) != 0))
-        some = np.maximum.reduceat(proof[a:b], new - a).astype(np.int64)
+        new = np.arange(a, b)
+        some = proof[a:b].astype(np.int64)
+        same = (at[a + 1 : b] == at[a : b - 1]) & (other_at[a + 1 : b] == other_at[a : b - 1])
+        if same.any():
+            new = a + np.flatnonzero(np.append(True, ~same))
+            some = np.maximum.reduceat(some, new - a)
         if other[a] == doc:  # apart by the length of a passage, or else a few words are repeated over and over
             far = word[new] - other_word[new] >= LEAST
             new, some = new[far], some[far]
             if not len(new):
                 continue
         d, h = word[new], other_word[new]
+        proven = bool(some.any())
+        places = d.tolist()
         for path in chains(d, h):
-            first, last, w = int(d[path[0]]), int(d[path[-1]]) + words, some[path]
-            whole = _surely(d[path], h[path], words)
-            if w.any():
+            first, last, w = places[path[0]], places[path[-1]] + words, some[:0]
+            if proven:
+                w = some[path]
+                w = w if w.any() else w[:0]
+            if len(w):
                 x = d[path][w > 0]
                 held += zip((x - ((w[w > 0] - 1) >> 8)).tolist(), (x + HALF + ((w[w > 0] - 1) & 255)).tolist())
                 first, last = min(first, int((x - ((w[w > 0] - 1) >> 8)).min())), max(last, int((x + HALF + ((w[w > 0] - 1) & 255)).max()))
             elif len(path) < 2 or last - first < SHORT:
                 continue
-            elif last - first < few and not ((word < first) & (word > first - LEAST) | (word >= last) & (word < last + LEAST)).any():
-                continue  # a line that others have, with nothing that any earlier document has on either side
-            found.append((not whole and not w.any(), first - last, int(other[a]), first, last, whole or len(path) == 1, new[path]))
+            elif last - first < few:
+                low, end = np.searchsorted(every, (first - LEAST + 1, last))
+                if (low == len(every) or every[low] >= first) and (end == len(every) or every[end] >= last + LEAST):
+                    continue  # a line that others have, with nothing that any earlier document has on either side
+            whole = _surely(d[path], h[path], words)
+            found.append((not whole and not len(w), first - last, int(other[a]), first, last, whole or len(path) == 1, new[path]))
     found.sort(key=lambda f: f[:4])
     out = []
     sure = np.zeros((0, 2), np.int64)
@@ -554,6 +678,31 @@ def _document_chains(doc: int, other: np.ndarray, at: np.ndarray, other_at: np.n
     return out, np.concatenate([sure, np.array(held, np.int64).reshape(-1, 2)])
 
 
+def _chained(doc: np.ndarray, other: np.ndarray, at: np.ndarray, other_at: np.ndarray, proof: np.ndarray, words: int, few: int = FEW_WORDS) -> Iterator[tuple[int, list[tuple], np.ndarray]]:
+    """Documents with their chains: for each other document those of all seeds' characters in both; and the words, from and
+    to, that are passages for sure. Matches are in any order."""
+    order = np.lexsort((other_at, at, other, doc))
+    doc, other, at, other_at, proof = (x[order] for x in (doc, other, at, other_at, proof))
+    word = at & 0xFFFFFFFF
+    first = np.flatnonzero((np.diff(doc, prepend=doc[:1] ^ 1) != 0) | (np.diff(other, prepend=other[:1] ^ 1) != 0))
+    n = np.diff(np.append(first, len(doc)))
+    far = (n > 1) & (word[first + n - 1] - word[first] + words >= SHORT)
+    if len(first):
+        far |= np.maximum.reduceat(proof, first) > 0
+    far = np.repeat(far, n)
+    cut = np.append(np.flatnonzero(np.diff(doc, prepend=doc[:1] ^ 1)), len(doc))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        some = a + np.flatnonzero(far[a:b])
+        if not len(some):
+            continue
+        every = np.sort(word[a:b])
+        found, sure = _document_chains(int(doc[a]), other[some], at[some], other_at[some], proof[some], every, words, few)
+        pairs: dict[int, list] = {}
+        for to, d, h in found:
+            pairs.setdefault(to, []).append((d, h))
+        yield int(doc[a]), [(to, [d for d, _ in p], [h for _, h in p]) for to, p in pairs.items()], sure
+
+
 def _unknown(at: np.ndarray, key: np.ndarray, sure: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and keys of one document's shared seeds, those that lie within passages that are known left out."""
     at, some = np.unique(at, return_index=True)
@@ -590,6 +739,8 @@ def _lengthened(at: np.ndarray, key: np.ndarray, so_far: np.ndarray, paths: np.n
     low, n = _followed(at, paths[:, -1], words)
     found = [(np.zeros(0, np.int64), np.zeros((0, paths.shape[1] + 1), np.int64))]
     total, a = np.cumsum(n), 0
+    if not len(n) or not total[-1]:
+        return found[0]
     while a < len(n):
         b = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + (1 << 18), "right")))
         i = np.repeat(np.arange(a, b), n[a:b])
@@ -610,9 +761,52 @@ def _lengthened(at: np.ndarray, key: np.ndarray, so_far: np.ndarray, paths: np.n
     return new[some], longer[some]
 
 
-def other_holders(seeds: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``other_id``, ``at``, ``other_at``: seeds (``doc_id``, ``at``, ``key``) of chains that a document shares with
-    earlier ones, all its places of such a seed with those of the earlier document's first chain of that kind.
+def shared_seeds(seeds: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id``, ``at``, ``key``: of each document all seeds, in order, that other documents have, too; from packed rows
+    (``at``, ``x``: keys) that are dealt out by their keys."""
+
+    @lean
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["bucket"]):
+            for some in _buckets(t):
+                doc, at, key = _read(some, "at", "x")
+                order = np.lexsort((doc, key))
+                first = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] ^ 1))
+                n = np.diff(np.append(first, len(order)))
+                order = order[np.repeat(doc[order[first]] < doc[order[first + n - 1]], n)]
+                if len(order):
+                    doc, at, key = doc[order], at[order], key[order]
+                    yield from _dealt(_class(doc, buckets), doc, [at, key])
+
+    @lean
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["bucket"]):
+            for some in _buckets(t):
+                doc, at, key = _read(some, "at", "x")
+                order = np.lexsort((key, at, doc))
+                doc, at, key = doc[order], at[order], key[order]
+                first = np.flatnonzero(np.diff(doc, prepend=doc[:1] ^ 1))
+                ends = pa.array(np.append(first, len(doc)).astype(np.int32))
+                yield pa.record_batch([pa.array(doc[first]), *(pa.ListArray.from_arrays(ends, pa.array(c)) for c in (at, key))], names=["doc_id", "at", "key"])
+
+    both = seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, _PACKED)
+    return both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, at array<long>, key array<long>")
+
+
+def everywhere(at: np.ndarray, key: np.ndarray, other: np.ndarray, place: np.ndarray, other_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For seeds at ``place`` that are in ``other`` documents at ``other_at``: all places (``at``) of the same seed (``key``)."""
+    match = np.unique(np.column_stack([other, key[np.searchsorted(at, place)], other_at]), axis=0)
+    order = np.argsort(key, kind="stable")
+    low = np.searchsorted(key[order], match[:, 1])
+    n = np.searchsorted(key[order], match[:, 1], "right") - low
+    i = np.repeat(np.arange(len(n)), n)
+    return match[i, 0], at[order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low, n)]], match[i, 2]
+
+
+def other_holders(own: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id``, ``at``, ``key``, ``met``: of ``shared_seeds`` (written) those documents that share chains of seeds with
+    earlier ones, and where such seeds are in the earlier document's first chain of that kind (``other_id``, ``at``,
+    ``other_at``). ``everywhere`` tells all places of such a seed.
 
     Chains of two seeds are looked up first. Where TOGETHER documents or fewer have the same, each meets every earlier one;
     where more have it, as two common lines, each is linked with the first and all chains are lengthened by every seed
@@ -650,29 +844,6 @@ def other_holders(seeds: DataFrame, words: int = WORDS) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(paths.ravel()[offsets[0] : offsets[-1]]))
                     yield pa.record_batch([pa.array(new[first[some]]), pa.array(np.full(n, b.column(0)[r].as_py())), lists, pa.array(least[some]), pa.array(most[some])], names=["key", "doc_id", "paths", "least", "most"])
 
-    @lean
-    def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All places of a document's shared seeds."""
-        for b in batches:
-            for r in range(b.num_rows):
-                at, key = (b.column(c)[r].values.to_numpy() for c in (1, 2))
-                met = b.column(3)[r].values
-                other, place, other_at = (met.field(c).to_numpy() for c in range(3))
-                match = np.unique(np.column_stack([other, key[np.searchsorted(at, place)], other_at]), axis=0)
-                order = np.argsort(key, kind="stable")
-                low = np.searchsorted(key[order], match[:, 1])
-                n = np.searchsorted(key[order], match[:, 1], "right") - low
-                total, a = np.cumsum(n), 0
-                while a < len(n):
-                    c = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + (1 << 16), "right")))
-                    i = np.repeat(np.arange(a, c), n[a:c])
-                    j = np.arange(len(i)) - np.repeat(total[a:c] - n[a:c] - (total[a] - n[a]), n[a:c]) + np.repeat(low[a:c], n[a:c])
-                    yield pa.record_batch([pa.array(x) for x in (np.full(len(i), b.column(0)[r].as_py()), match[i, 0], at[order[j]], match[i, 2])], names=["doc_id", "other_id", "at", "other_at"])
-                    a = c
-
-    shared = seeds.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    both = F.sort_array(F.collect_list(F.struct("at", "key")))
-    own = written(seeds.join(shared.hint("merge"), "key").groupBy("doc_id").agg(both.alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.key").alias("key")))
     width, out, pairs = 2, None, None
     level = written(own.mapInArrow(grown, schema))
     while True:
@@ -695,7 +866,7 @@ def other_holders(seeds: DataFrame, words: int = WORDS) -> DataFrame:
         discard(known)
         width += 1
     met = out.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "at", "other_at")).alias("met"))
-    return own.join(met, "doc_id").select("doc_id", "at", "key", "met").mapInArrow(everywhere, "doc_id long, other_id long, at long, other_at long")
+    return own.join(met, "doc_id").select("doc_id", "at", "key", "met")
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -711,46 +882,68 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     repeat an id count once, with the least text; extra columns are ignored; an empty table gives an empty result.
     """
     docs = one_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null"))
-    texts_, matches = docs, seed_matches(docs, words)
+    texts_, buckets = docs, classes(docs)
+    matches = seed_matches(docs, buckets, words)
 
-    schema = "doc_id long, other_id long, d array<int>, h array<int>, at array<long>, key array<long>"
-    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 2]
+    # ``chains``: sizes and characters of a pair's chains; ``d``, ``h``: from the first to the last character in both.
+    plain = pa.schema([*((c, pa.int64()) for c in ("doc_id", "other_id")), ("chains", pa.binary()), *((c, pa.int32()) for c in ("d", "d_last", "h", "h_last"))])
+    schema = "doc_id long, other_id long, chains binary, d int, d_last int, h int, h_last int"
+    full = pa.schema([*plain, ("n", pa.int64()), ("at", pa.binary()), ("key", pa.binary())])
+
+    def pair(doc: int, other: int, d: list[np.ndarray], h: list[np.ndarray]) -> tuple:
+        packed = np.concatenate([np.array([len(d), *map(len, d)], np.int32), *d, *h]).astype("<i4").tobytes()
+        sides = (d + h, d + h) if doc == other else (d, h)  # one's own passages are told from what is at their place
+        return doc, other, packed, *(x for c in sides for x in (min(int(t[0]) for t in c), max(int(t[-1]) for t in c)))
 
     @lean
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chains; and, with a null ``other_id``, a document's shared seeds outside the passages that are known."""
-        for t in runs(batches, ["doc_id"]):
-            doc, other, at, other_at, key, proof = (t.column(i).to_numpy() for i in range(6))
-            cut = np.append(starts(t, ["doc_id"]), t.num_rows)
-            out: list[tuple] = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                linked = a + np.flatnonzero((other[a:b] != doc[a]) | (at[a:b] != other_at[a:b]))
-                more, sure = _document_chains(int(doc[a]), other[linked], at[linked], other_at[linked], proof[linked], words)
-                out += [(int(doc[a]), *c, None, None) for c in more]
-                short = a + np.flatnonzero(key[a:b])
-                out.append((int(doc[a]), None, None, None, *_unknown(at[short], key[short], sure, words)))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], schema=pa.schema(list(zip(["doc_id", "other_id", "d", "h", "at", "key"], kinds))))
+        """Chains, a row for each pair of documents; and, with a null ``other_id``, a document's shared seeds outside the
+        passages that are known."""
+        for t in runs(batches, ["bucket"]):
+            for some in _buckets(t):
+                doc, other, at, other_at, key, proof = matched(some)
+                out: list[tuple] = []
+                linked = np.flatnonzero((other != doc) | (at != other_at))
+                known = {}
+                for own, pairs, sure in _chained(doc[linked], other[linked], at[linked], other_at[linked], proof[linked], words):
+                    out += [(*pair(own, *p), None, None, None) for p in pairs]
+                    known[own] = sure
+                del other, other_at, proof, linked
+                short = np.flatnonzero(key)
+                short = short[np.argsort(doc[short], kind="stable")]
+                doc, at, key = doc[short], at[short], key[short]
+                cut = np.append(np.flatnonzero(np.diff(doc, prepend=doc[:1] ^ 1)), len(doc)).tolist()
+                for a, b in zip(cut[:-1], cut[1:]):
+                    seeds = _unknown(at[a:b], key[a:b], known.get(int(doc[a]), ()), words)
+                    if len(seeds[0]):
+                        out.append((int(doc[a]), *[None] * 6, len(seeds[0]), *map(_packed, seeds)))
+                del doc, at, key
+                for k in range(0, len(out), 1024):
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 1024]), full)], schema=full)
 
     @lean
     def chain_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["doc_id"]):
-            doc, other, at, other_at = (t.column(i).to_numpy() for i in range(4))
-            cut = np.append(starts(t, ["doc_id"]), t.num_rows)
-            out: list[tuple] = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                out += [(int(doc[a]), *c) for c in _document_chains(int(doc[a]), other[a:b], at[a:b], other_at[a:b], np.zeros(b - a, np.int32), words, few=SHORT)[0]]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], names=["doc_id", "other_id", "d", "h"])
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                met = b.column(3)[r].values
+                seeds = [b.column(c)[r].values.to_numpy() for c in (1, 2)]
+                other, at, other_at = everywhere(*seeds, *(met.field(c).to_numpy() for c in range(3)))
+                doc = np.full(len(at), b.column(0)[r].as_py())
+                out += [pair(own, *p) for own, pairs, _ in _chained(doc, other, at, other_at, np.zeros(len(doc), np.int32), words, few=SHORT) for p in pairs]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(plain), plain)], schema=plain)
 
     # A document's matches are bounded by its seeds and long windows.
-    order = ["doc_id", "other_id", "at", "other_at"]
-    every = written(matches.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(chain, schema))
-    found = written(every.where("other_id is not null").select("doc_id", "other_id", "d", "h"))
+    every = written(matches.mapInArrow(chain, f"{schema}, n long, at binary, key binary"))
+    found = every.where("other_id is not null").select(*plain.names)
 
     def part(text: str, at: str, margin: int | None) -> list:
+        """What lies from ``margin`` before a pair's first chain to as much after its last: its place, text, and whether
+        it begins and ends with the document."""
         if margin is None:
             return [F.lit(0), F.col(text), F.lit(True), F.lit(True)]
-        begin = F.greatest(F.lit(0), F.element_at(F.element_at(at, 1), 1) - margin)
-        length = F.element_at(F.element_at(at, 1), -1) - begin + 2 * margin
+        begin = F.greatest(F.lit(0), F.col(at) - margin)
+        length = F.col(f"{at}_last") - begin + margin
         return [begin, F.substring(F.col(text), begin + 1, length), begin == 0, begin + length >= F.length(text)]
 
     def texts_of(chains_: DataFrame, margin: int | None) -> DataFrame:
@@ -763,65 +956,77 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     @lean
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "n_words", "n_same"]
-        kinds = [*[pa.int64()] * 8, pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        given = pa.schema([*((c, pa.int64()) for c in names), *list(plain)[2:]])
         known: dict[str, _Words] = {}
         size = 0
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
+            col = dict(zip(b.schema.names, b.columns))
             for i in range(b.num_rows):
-                (r,) = b.slice(i, 1).to_pylist()
-                for text in (r["a"], r["b"]):  # chains of the same texts follow one another
-                    if text not in known:
-                        size += len(text)
+                doc, other, da, ha, text, other_text = (col[c][i].as_py() for c in ("doc_id", "other_id", "da", "ha", "a", "b"))
+                begins, ends, other_begins, other_ends = (col[c][i].as_py() for c in ("a_begins", "a_ends", "b_begins", "b_ends"))
+                for x in (text, other_text):  # pairs of the same texts follow one another
+                    if x not in known:
+                        size += len(x)
                         if size > MEMORY:
-                            known, size = {k: v for k, v in known.items() if k == r["a"]}, len(r["a"]) + len(text)
-                        known[text] = _Words(text)
-                x, y = known[r["a"]], known[r["b"]]
-                ends = len(r["a"].rstrip()), len(r["b"].rstrip())
-                for d, h in zip(r["d"], r["h"]):
-                    some, wider = [], False
-                    for s, e, os, oe, n, same in passages(x, y, np.array(d) - r["da"], np.array(h) - r["ha"], words):
+                            known, size = {k: v for k, v in known.items() if k == text}, len(text) + len(x)
+                        known[x] = _Words(x)
+                x, y = known[text], known[other_text]
+                last, other_last = len(text.rstrip()), len(other_text.rstrip())
+                whole = begins and ends and other_begins and other_ends
+                some: set[tuple] = set()
+                wider: list[tuple] = []
+                flat = np.frombuffer(col["chains"][i].as_py(), "<i4")
+                n, cut = int(flat[0]), np.cumsum(flat[1 : flat[0] + 1])
+                flat = flat[n + 1 :].reshape(2, -1)
+                for d, h in zip(*(np.split(f, cut[:-1]) for f in flat)):
+                    beyond = False
+                    for s, e, os, oe, n, same in passages(x, y, d - da, h - ha, words, None if whole else MARGIN, doc == other):
                         # Words cut in two at a part's ends don't match: a passage that comes close to them may go on.
-                        wider |= (not r["a_begins"] and s < MARGIN // 2) or (not r["b_begins"] and os < MARGIN // 2)
-                        wider |= (not r["a_ends"] and e > ends[0] - MARGIN // 2) or (not r["b_ends"] and oe > ends[1] - MARGIN // 2)
-                        some.append((r["doc_id"], s + r["da"], e + r["da"], r["other_id"], os + r["ha"], oe + r["ha"], n, same, False, None, None))
-                    rows += [(r["doc_id"], None, None, r["other_id"], *[None] * 4, True, d, h)] if wider else some
-            columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*names, "wider", "d", "h"])
-
-    schema = "doc_id long, start long, end long, other_id long, other_start long, other_end long, n_words long, n_same long, wider boolean, d array<int>, h array<int>"
+                        beyond |= (not begins and s < MARGIN // 2) or (not other_begins and os < MARGIN // 2)
+                        beyond |= (not ends and e > last - MARGIN // 2) or (not other_ends and oe > other_last - MARGIN // 2)
+                        some.add((doc, s + da, e + da, other, os + ha, oe + ha, n, same, *[None] * 5))
+                    if beyond:
+                        wider.append((d, h))
+                if wider:
+                    _, _, *again = pair(doc, other, [d for d, _ in wider], [h for _, h in wider])
+                    rows.append((doc, None, None, other, *[None] * 4, *again))
+                rows += some
+            columns = list(zip(*rows)) if rows else [()] * len(given)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, given)], schema=given)
+
+    aligned_as = "doc_id long, start long, end long, other_id long, other_start long, other_end long, n_words long, n_same long, chains binary, d int, d_last int, h int, h_last int"
+
     def tried(chains_: DataFrame) -> DataFrame:
-        first = written(texts_of(chains_.select("doc_id", "other_id", F.array("d").alias("d"), F.array("h").alias("h")), MARGIN).mapInArrow(align, schema))
+        first = written(texts_of(chains_, MARGIN).mapInArrow(align, aligned_as))
         # Whole texts go once with all chains of a pair.
-        pairs = first.where("wider").groupBy("doc_id", "other_id").agg(F.collect_list(F.struct("d", "h")).alias("c"))
-        whole = texts_of(pairs.select("doc_id", "other_id", F.col("c.d").alias("d"), F.col("c.h").alias("h")), None).mapInArrow(align, schema)
-        return written(first.where("not wider").union(whole).drop("wider", "d", "h").distinct())
+        whole = texts_of(first.where("chains is not null").select(*plain.names), None).mapInArrow(align, aligned_as)
+        return written(first.where("chains is null").union(whole).drop(*plain.names[2:]).distinct())
 
     @lean
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i in range(b.num_rows):
-                at, key, start, end = (b.column(c)[i].values for c in (1, 2, 3, 4))
-                at, key = at.to_numpy(), key.to_numpy()
+                n, start, end = b.column(1)[i].as_py(), b.column(4)[i].values, b.column(5)[i].values
+                at, key = (_unpacked(b.column(c)[i].as_py(), n) for c in (2, 3))
                 if start is not None:
                     order = np.argsort(start.to_numpy(), kind="stable")
                     reach = np.append(-1, np.maximum.accumulate(end.to_numpy()[order]))
                     left = reach[np.searchsorted(start.to_numpy()[order], at >> 32, "right")] <= at >> 32
                     at, key = at[left], key[left]
                 rows.append((np.full(len(at), b.column(0)[i].as_py()), at, key))
-            columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3
-            yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "at", "key"])
+            if rows:
+                doc, at, key = (np.concatenate(c) for c in zip(*rows))
+                yield from _dealt(_class(key, buckets), doc, [at, key])
 
     one = tried(found)
-    discard(found)
     # Seeds within passages that are found have their holder; all others meet whoever else shares them.
     spans = one.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("p")).select("doc_id", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
-    left = every.where("other_id is null and size(at) > 0").select("doc_id", "at", "key").join(spans, "doc_id", "left")
-    seeds = written(left.mapInArrow(unknown, "doc_id long, at long, key long"))
+    left = every.where("other_id is null").select("doc_id", "n", "at", "key").join(spans, "doc_id", "left")
+    own = written(shared_seeds(left.mapInArrow(unknown, _PACKED), buckets))
     discard(every)
-    more = other_holders(seeds, words)
-    others = written(more.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(chain_others, "doc_id long, other_id long, d array<int>, h array<int>"))
+    others = written(other_holders(own, words).mapInArrow(chain_others, schema))
     out = one.union(tried(others)).distinct()
     # Of a document's passages, by their starts, those that end no later than one before lie within it.
     before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("n_same"), "n_words", "other_id", "other_start", "other_end").rowsBetween(Window.unboundedPreceding, -1)
