@@ -280,6 +280,24 @@ def test_own_passages_are_not_linked_with_their_own_place(spark):
     assert [r for r in found if r["doc_id"] == r["other_id"]] == []
 
 
+def test_chains_of_a_pair_are_one_row(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    some = lambda n: [word() for _ in range(n)]
+    parts = [some(70) for _ in range(6)]
+    rows = [(i, " ".join(w for p in parts for w in p + some(120))) for i in range(2)]
+    write, n = substring.written, []
+
+    def counted(df):
+        out = write(df)
+        n.extend([out.where("other_id = 0").count()] if "d" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(substring, "written", counted)
+    assert substring.repeated_passages(spark.createDataFrame(rows, SCHEMA)).count() == 6
+    assert n[0] == 1  # its texts are shuffled and read once
+
+
 def test_alike_places_nearest_to_the_line():
     rng = random.Random(6)
     for k in range(60):
