@@ -37,7 +37,7 @@ CLASSES = 32
 MARGIN = 800
 #: Documents that share a chain of seeds, up to which each is linked with every earlier one; more are told apart by one
 #: seed more, or if the chain is a passage long, linked with the first.
-TOGETHER = 8
+TOGETHER = 16
 #: Characters of text whose words are kept in memory for the next chain.
 MEMORY = 1 << 20
 _NONE = np.iinfo(np.uint64).max
