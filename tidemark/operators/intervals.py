@@ -122,11 +122,12 @@ def topmost(clips: DataFrame, by: list[str], width: int) -> DataFrame:
 
 def same_moments(events: DataFrame, offsets: DataFrame, width: int, least: float = 0.5) -> DataFrame:
     """Pairs of events (``asset``, ``id``, ``start``, ``end``) on two recordings that ``offsets`` (``asset``, ``reference``,
-    ``offset``) line up, which share ``least`` of the shorter one: ``source`` < ``target`` and the largest share."""
+    ``offset``) line up, which share ``least`` of the shorter one: ``source`` < ``target`` and the largest share. An event
+    without length that lies inside another is shared whole."""
     shifted = events.join(offsets, "asset").select(F.col("reference").alias("asset"), "id", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"))
     pairs = overlap_join(events.select("asset", "id", "start", "end"), shifted, ["asset"], width).where("id <> r_id")
-    share = F.col("overlap") / F.least(F.col("end") - F.col("start"), F.col("r_end") - F.col("r_start"))
-    out = pairs.withColumn("share", share).where(F.col("share") >= least)
+    shorter = F.least(F.col("end") - F.col("start"), F.col("r_end") - F.col("r_start"))
+    out = pairs.withColumn("share", F.when(shorter != 0, F.col("overlap") / shorter).otherwise(1.0)).where(F.col("share") >= least)
     strength = F.floor(F.least(F.lit(1.0), F.col("share")) * 10000 + 0.5) / 10000
     return out.groupBy(F.least("id", "r_id").alias("source"), F.greatest("id", "r_id").alias("target")).agg(F.max(strength).alias("strength"))
 
