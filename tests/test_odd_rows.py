@@ -36,3 +36,8 @@ def test_moments_without_length(spark, sf_dir, tmp_path):
     rows = [at(1, 10, 60, 30), at(2, 11, 40, 0), at(3, 12, 60, 30), at(4, 13, 60, 0), at(5, 14, 100, 60), at(6, 15, 50, 90), at(7, 16, 60, 0), at(8, 17, 30, 0)]
     got = against_sql(spark, "same_moments", tmp_path, sf_dir, events=" UNION ALL ".join(rows))
     assert [(r[0], r[2]) for r in got] == [(1.0, 2.0), (5.0, 6.0)]
+
+
+def test_frames_beyond_a_hundred_hours(spark, sf_dir, tmp_path):
+    got = against_sql(spark, "timecodes_and_frames", tmp_path, sf_dir, events="SELECT * REPLACE (event_id * 7001 AS event_id) FROM events WHERE event_id < 400")
+    assert max(len(r[-1]) for r in got) > len("99:59:59.999")

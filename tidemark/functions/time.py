@@ -36,7 +36,8 @@ def frame_at(ms: Column, rate: int, per: int = 1) -> Column:
 
 
 def smpte(frame: Column, rate: int, per: int = 1) -> Column:
-    """Frame number as a timecode; at 30000/1001 and 60000/1001 labels are dropped, 2 or 4 a minute but for each tenth."""
+    """Frame number as a timecode, with two digits of hours at least; at 30000/1001 and 60000/1001 labels are dropped, 2 or 4 a
+    minute but for each tenth."""
     base = -(-rate // per)
     drop = {(30000, 1001): 2, (60000, 1001): 4}.get((rate, per), 0)
     n = frame.cast("long")
@@ -44,7 +45,8 @@ def smpte(frame: Column, rate: int, per: int = 1) -> Column:
         tens, rest = F.floor(n / (base * 600 - 9 * drop)), n % (base * 600 - 9 * drop)
         n = n + 9 * drop * tens + F.when(rest > drop, drop * F.floor((rest - drop) / (base * 60 - drop))).otherwise(0)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat_ws(":", two(F.floor(n / (base * 3600))), two(F.floor(n / (base * 60)) % 60), F.concat(two(F.floor(n / base) % 60), F.lit(";" if drop else ":"), two(n % base)))
+    hours = F.floor(n / (base * 3600))
+    return F.concat_ws(":", F.when(hours < 10, two(hours)).otherwise(hours.cast("string")), two(F.floor(n / (base * 60)) % 60), F.concat(two(F.floor(n / base) % 60), F.lit(";" if drop else ":"), two(n % base)))
 
 
 def frame_of_smpte(text: Column, rate: int, per: int = 1) -> Column:
