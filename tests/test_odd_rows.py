@@ -32,12 +32,23 @@ def against_sql(spark, name, folder, sf_dir, **tables):
 
 def test_moments_without_length(spark, sf_dir, tmp_path):
     at = lambda id, user, minute, value: f"SELECT {id}::BIGINT AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {minute} MINUTE AS ts, {user}::BIGINT AS user_id, 'view' AS event_type, {value}::DOUBLE AS value, '' AS props"
-    # 2 has no length and lies inside 1; 4, without length too, lies inside nothing; 5 and 6 share two thirds; 7 is as short as 8 and at its place.
+    # 2 has no length and lies inside 1; 4, without length too, lies inside nothing; 6 holds all of 5; 7 is as short as 8 and at its place.
     rows = [at(1, 10, 60, 30), at(2, 11, 40, 0), at(3, 12, 60, 30), at(4, 13, 60, 0), at(5, 14, 100, 60), at(6, 15, 50, 90), at(7, 16, 60, 0), at(8, 17, 30, 0)]
     got = against_sql(spark, "same_moments", tmp_path, sf_dir, events=" UNION ALL ".join(rows))
     assert [(r[0], r[2]) for r in got] == [(1.0, 2.0), (5.0, 6.0)]
 
 
+def test_signals_of_odd_words(spark, sf_dir, tmp_path):
+    said = [
+        "1 22. 333! — " * 40, "red " * 60 + "car.", None, "one.\u0085 two\u2028 x\x0by a\u00a0b. " * 20 + "\u00a0", " ", "\u0130stanbul \u0130. " * 30 + "\n", "12 34? " * 60, "\n sun. moon " * 40,
+    ]
+    turn = lambda conv, at, text: f"SELECT {conv} AS conv_id, {at} AS turn, 'user' AS role, {'NULL' if text is None else chr(39) + text + chr(39)} AS text"
+    rows = [turn(f"{c}::BIGINT", f"{(k * 3 + c) % 8}::BIGINT", text) for c in range(8) for k, text in enumerate(said)]
+    rows += [turn("3::BIGINT", "NULL::BIGINT", "last red words. " * 30), turn("NULL::BIGINT", "0::BIGINT", "of nobody. " * 90)]
+    got = against_sql(spark, "boundary_signals", tmp_path, sf_dir, conversations=" UNION ALL ".join(rows))
+    assert len(got) > 50
+
+
 def test_frames_beyond_a_hundred_hours(spark, sf_dir, tmp_path):
     got = against_sql(spark, "timecodes_and_frames", tmp_path, sf_dir, events="SELECT * REPLACE (event_id * 7001 AS event_id) FROM events WHERE event_id < 400")
     assert max(len(r[-1]) for r in got) > len("99:59:59.999")

@@ -79,8 +79,9 @@ def boundary_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = last.select("conv_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") + 8999) / 9000) - 1)).alias("k"))
     atoms = k.select("conv_id", (F.col("k") * 9000).alias("start"), F.least("last", (F.col("k") + 1) * 9000).alias("end"), F.when(F.col("k") % 3 != 1, F.col("k") * 7 % 10 / 10).alias("change_score"))
     said = e["speech"].select("conv_id", "start", "end", F.col("start").alias("id"))
-    letters = F.filter(F.split(F.lower("word"), "[^a-z]+"), lambda x: x != "")
-    spoken = w.withColumn("s", F.sum((F.col("pause") >= 700).cast("int")).over(Window.partitionBy("conv_id").orderBy("turn", "i")) - (F.col("pause") >= 700).cast("int"))
+    # In the SQL the dotted capital I is an i in lower case.
+    letters = F.filter(F.split(F.lower(F.translate("word", "\u0130", "i")), "[^a-z]+"), lambda x: x != "")
+    spoken = w.withColumn("s", F.sum((F.col("pause") >= 700).cast("int")).over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "i")) - (F.col("pause") >= 700).cast("int"))
     features = spoken.groupBy("conv_id", "s").agg(F.min("start").alias("id"), F.array_distinct(F.flatten(F.collect_list(letters))).alias("features")).drop("s")
     said = said.join(features, ["conv_id", "id"]).withColumn("speaker", F.col("start") % 3)
     n, c = F.floor(F.col("start") / 9000), F.col("conv_id")
@@ -88,5 +89,5 @@ def boundary_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = atoms.where(n % 4 == 2).select("conv_id", (F.col("start") + F.when(c % 4 < 2, 300).otherwise(150)).alias("at"), kind.alias("kind"))
     marks = marks.unionByName(atoms.where(n % 8 == 2).select("conv_id", (F.col("start") - 100).alias("at"), F.lit("card_end").alias("kind")))
     out = takes.boundary_signals(atoms, said, e["silences"], marks, ["conv_id"], WIDTH)
-    four = lambda x: (F.floor(F.col(x) * 10000 + 0.5) / 10000).alias(x)
+    four = lambda x: F.when(F.isnan(x), F.col(x)).otherwise(F.floor(F.col(x) * 10000 + 0.5) / 10000).alias(x)
     return out.select("conv_id", "at", "forced", "speech_spans", "speaker_change", four("topic"), four("silence"), "shot_change")

@@ -24,11 +24,13 @@ clips AS (SELECT conv_id, turn AS id, greatest(0, min(start) - 700) AS start, ma
 
 def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Turns as events, and the evidence of their conversations. A seventh of the events have no speech in them."""
-    c = table(spark, sf_dir, "conversations").where(F.trim("text") != "")
-    w = c.select("conv_id", "turn", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "word"), (F.size(F.split(F.trim("text"), r"\s+")) - 1).alias("last"))
-    pause = F.when(F.col("i") == F.col("last"), 1500).when(F.col("word").rlike("[.!?]$"), 700).otherwise(80)
+    # The SQL trims all separators of words, splits at ASCII white space only and ends a word where it ends.
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"\A\p{Zs}+|\p{Zs}+\z", "")).where("text <> ''")
+    words = F.split("text", r"[ \t\n\f\r]+")
+    w = c.select("conv_id", "turn", F.posexplode(words).alias("i", "word"), (F.size(words) - 1).alias("last"))
+    pause = F.when(F.col("i") == F.col("last"), 1500).when(F.col("word").rlike(r"[.!?]\z"), 700).otherwise(80)
     w = w.withColumns({"ms": 40 + 60 * F.length("word"), "pause": pause})
-    order = Window.partitionBy("conv_id").orderBy("turn", "i")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "i")
     done = F.sum(F.col("ms") + F.col("pause")).over(order)
     w = w.withColumn("done", done).select("conv_id", "turn", "i", "word", "pause", (F.col("done") - F.col("pause") - F.col("ms")).alias("start"), (F.col("done") - F.col("pause")).alias("end"))
     # All evidence comes from the timed words, which are worked out once.
