@@ -47,7 +47,26 @@ def test_calibration(tables, monkeypatch, rows, scores):
 def test_no_row_for_each_pair(spark, sf_dir):
     from tidemark import plans
 
-    for name in ("flat_vector_search", "robust_calibration", "corpus_discrimination"):
+    for name in ("flat_vector_search", "robust_calibration", "corpus_discrimination", "hybrid_search"):
         frame = plans.QUERIES[name](spark, sf_dir)
         # Cosines of pairs in Spark's own rows are what took the time.
         assert "zip_with" not in frame._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_hybrid(spark, tables, monkeypatch):
+    from tidemark.functions.numbers import rounded, strength
+
+    monkeypatch.setattr(search, "ROWS", 5)
+    monkeypatch.setattr(search, "TILE", 2)
+    rng = random.Random(6)
+    words = spark.createDataFrame([(i, rng.sample(["red", "car", "sun", "été", "日本"], rng.randrange(6))) for i in range(0, 230) if i % 9], "id long, features array<string>")
+    q, e = tables
+    c = search.vector_calibration(q, e, "kind")
+    text = words.select("id", F.array_join("features", " ").alias("words"))
+    got = search.hybrid(q.join(text.withColumnRenamed("id", "query_id"), "query_id", "left").join(c, "query_id", "left"), e.join(text, "id", "left"), "kind", 5)
+    lexical = search.lexical(words.withColumnRenamed("id", "query_id"), words)
+    both = pairs(q, e).join(c, "query_id").join(lexical, ["query_id", "id"], "left")
+    similar = F.when(F.col("centre").isNull(), F.col("score")).otherwise(strength(F.col("score"), F.col("centre"), F.col("spread"), F.col("undiscriminating")))
+    each = both.select("query_id", "id", rounded(0.65 * similar + 0.35 * F.coalesce("coverage", F.lit(0.0))).alias("score")).where("score > 0")
+    expected = {tuple(r) for r in search.best(each, 5, ["query_id"]).collect()}
+    assert {tuple(r) for r in got.select("query_id", "id", "score", "rank").collect()} == expected and len(expected) > 80
