@@ -72,3 +72,12 @@ def test_fold(spark):
 def test_numbered(spark):
     rows = spark.range(1000).selectExpr("id * 7919 % 1000 AS a").repartition(9)
     assert all(r["a"] + 1 == r["n"] for r in numbered(rows, ["a"], "n").collect())
+
+
+def test_mentions_stay_with_their_text(spark):
+    texts = spark.createDataFrame([(1, "日本tokyo tower日本, red car!"), (2, "tokyo日 tower red-car redcar"), (3, "Red  CAR red car tokyo")], "id long, text string")
+    known = spark.createDataFrame([("tokyo tower", "places", 1, ["tower"]), ("red car", "places", 0, ["red", "car"]), ("x", "people", 2, ["car"])], "entity string, kind string, place long, names array<string>")
+    out = known_entities(texts, known)
+    assert sorted((r["id"], r["kind"], *r["entities"]) for r in out.collect()) == [(i, k, *e) for i in (1, 2, 3) for k, e in (("people", ["x"]), ("places", ["red car", "tokyo tower"] if i < 3 else ["red car"]))]
+    # Texts and forms meet once; mentions, many times the texts, aren't joined with the texts again.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

@@ -11,8 +11,8 @@ from tidemark.operators.components import checkpoint_folder
 
 #: Surface forms that are broadcast; a larger vocabulary is joined by a shuffle.
 FORMS = 500_000
-#: Letters and digits beside which a Latin name doesn't end.
-_LATIN = r"[\p{IsLatin}\p{N}]"
+#: Parts in which texts meet the forms: mentions are many times the texts, and those of a part are sorted together.
+PARTS = 256
 
 
 def surface_forms(entities: DataFrame) -> DataFrame:
@@ -29,23 +29,29 @@ def known_entities(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities that each text (``id``, unique, ``text``) mentions: ``id``, ``kind`` and ``entities``, in the order of ``place``.
 
     A Latin form must not stand beside another Latin letter or digit; one in another script, or in several, may stand anywhere.
-    Texts and forms meet on seeds, so the work grows with the texts and the mentions, not with texts times names; only texts that hold
-    a form's seed are looked at again. Texts without a mention have no row.
+    A text meets each distinct form once, however many entities have it: Latin forms as runs of its words, others where it holds their
+    first two characters. Mentions of Latin forms stay where their text is, so that only texts are shuffled. Texts without a mention have no row.
     """
     said = texts.where("text is not null").select("id", normalize_text(F.col("text")).alias("said"))
-    chars = F.split("said", "")
-    pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.lit(0), F.size(chars) - 1)), lambda a, b: F.concat(F.lit("c"), a, b))
-    words = F.transform(F.regexp_extract_all("said", F.lit(_LATIN + "+"), F.lit(0)), lambda w: F.concat(F.lit("w"), w))
     forms = surface_forms(entities)
     few = forms.limit(FORMS + 1).count() <= FORMS
-    # Pairs of characters are only listed if some form needs them.
-    others = not forms.where("not latin").isEmpty()
-    seeds = said.select("id", F.explode(F.array_distinct(F.concat(words, pairs) if others else words)).alias("seed"))
-    found = seeds.join(F.broadcast(forms) if few else forms, "seed").select("id", "entity", "kind", "place", "form", "latin")
-    edges = F.regexp_like("said", F.concat(F.lit(rf"(?<!{_LATIN})\Q"), "form", F.lit(rf"\E(?!{_LATIN})")))
-    sure = found.join(said, "id").where(F.when(F.col("latin"), edges).otherwise(F.contains("said", "form")))
-    each = sure.select("id", "kind", "place", "entity").distinct()
-    return each.groupBy("id", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entity"))), lambda s: s["entity"]).alias("entities"))
+    spread = lambda frame: F.broadcast(frame) if few else frame
+    of = forms.where("latin").groupBy("form").agg(F.collect_set(F.struct("kind", "place", "entity")).alias("of"))
+    lengths = [r[0] for r in of.select(F.size(F.split("form", " "))).distinct().collect()]
+    # What is neither blank nor Latin parts words and is itself in no Latin form.
+    words = F.split(F.regexp_replace("said", r"[^\p{IsLatin}\p{N} ]+", " | "), " ")
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+    runs = [F.col("w") if n == 1 else F.when(F.size("w") >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
+    each = said.repartition(PARTS, "id").withColumn("w", words).select("id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("form"))
+    found = each.join(spread(of), "form").select("id", F.explode("of").alias("o")).select("id", "o.kind", "o.place", "o.entity")
+    others = forms.where("not latin")
+    if not others.isEmpty():
+        chars = F.split("said", "")
+        pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.lit(0), F.size(chars) - 1)), lambda a, b: F.concat(F.lit("c"), a, b))
+        seeds = said.select("id", F.explode(F.array_distinct(pairs)).alias("seed"))
+        held = seeds.join(spread(others), "seed").join(said, "id").where(F.contains("said", "form"))
+        found = found.unionByName(held.select("id", "kind", "place", "entity"))
+    return found.groupBy("id", "kind").agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "entity"))), lambda s: s["entity"]).alias("entities"))
 
 
 #: Types of annotations that set one value; the last one counts.
